@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumaria.llm import chat, pii, quality
+from plumaria.llm import bpe, chat, pii, quality
 from plumaria.llm.common import table
 
 
@@ -23,5 +23,9 @@ def op4_quality_forest(spark, sf_dir):
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_pii_anchors, op4_quality_forest)}
+def op8_bpe_merge_rounds(spark, sf_dir):
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_pii_anchors, op4_quality_forest, op8_bpe_merge_rounds)}
 ORACLE_SQL = {"op1_chat_windows": chat.ORACLE_SQL}
