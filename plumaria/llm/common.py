@@ -113,7 +113,8 @@ def shingles(texts: list[bytes], words: WordHashes, size: int = SHINGLE) -> tupl
     at = np.arange(len(ids))
     factors = mixed(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
     for k in range(size):  # words past the text's end count as nothing
-        out[: len(ids) - k] += np.where(at[k:] < ends[: len(ids) - k], h[k:], np.uint64(0)) * factors[k]
+        m = max(0, len(ids) - k)
+        out[:m] += np.where(at[k:] < ends[:m], h[k:], np.uint64(0)) * factors[k]
     first = np.concatenate([[0], np.cumsum(count)])
     keep = np.repeat(starts[:-1] - first[:-1], count) + np.arange(first[-1])
     return mixed(out[keep]), first

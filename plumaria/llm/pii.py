@@ -100,10 +100,13 @@ def account_at(text: str, cue: int) -> tuple[int, int] | None:
     if not (m := AFTER_CUE.match(text, cue)):
         return None
     start, word = m.start(1), m[1].split(" ")[0]
-    if iban(spaced := m[1].replace(" ", "").replace("-", "")):
-        return start, start + len(m[1])
+    if re.match("[A-Z]{2}[0-9]{2}", m[1]):  # an IBAN, maybe in groups: the longest run of whole groups with a right checksum
+        for end in sorted({g.end() for g in re.finditer("[A-Za-z0-9]+", m[1][:48])}, reverse=True):
+            if iban(re.sub("[ -]", "", m[1][:end])):
+                return start, start + end
+        return None
     digits = sum(c in DIGITS for c in word)
-    return (start, start + len(word)) if 6 <= len(word) <= 34 and digits >= 4 and not re.match("[A-Z]{2}[0-9]{2}[A-Z]", spaced) else None
+    return (start, start + len(word)) if 6 <= len(word) <= 34 and digits >= 4 else None
 
 
 def find_spans(text: str) -> list[tuple[str, int, int]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumaria.llm import bpe, chat, pii, quality
+from plumaria.llm import bpe, chat, decontam, jaccard, lines, pii, quality
 from plumaria.llm.common import table
 
 
@@ -23,9 +23,22 @@ def op4_quality_forest(spark, sf_dir):
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontaminate(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_line_chunks(spark, sf_dir):
+    docs = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return docs.select("doc_id", "n_lines", "n_chunks", "n_dropped", "dropped_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_bpe_merge_rounds(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_pii_anchors, op4_quality_forest, op8_bpe_merge_rounds)}
+def op10_chosen_path(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_pii_anchors, op4_quality_forest, op5_decontaminate, op6_line_chunks, op8_bpe_merge_rounds, op10_chosen_path)}
 ORACLE_SQL = {"op1_chat_windows": chat.ORACLE_SQL}
