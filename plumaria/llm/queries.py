@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumaria.llm import bpe, chat, decontam, jaccard, lines, pii, quality
+from plumaria.llm import bpe, chat, decontam, jaccard, lines, pii, quality, substrings
 from plumaria.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_line_chunks(spark, sf_dir):
     return docs.select("doc_id", "n_lines", "n_chunks", "n_dropped", "dropped_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op7_compact_windows(spark, sf_dir):
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_merge_rounds(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_chosen_path(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_pii_anchors, op4_quality_forest, op5_decontaminate, op6_line_chunks, op8_bpe_merge_rounds, op10_chosen_path)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_pii_anchors, op4_quality_forest, op5_decontaminate, op6_line_chunks, op7_compact_windows, op8_bpe_merge_rounds, op10_chosen_path)}
 ORACLE_SQL = {"op1_chat_windows": chat.ORACLE_SQL}
