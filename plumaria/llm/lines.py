@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumaria.llm.common import arrow_parts, arrow_rows, id_type
+from plumaria.llm.common import arrow_parts, arrow_rows, id_type, written
 
 WINDOW, DIVISOR, LEAST, MOST = 2, 3, 2, 64
 BASE = 0x9E3779B97F4A7C15
@@ -78,7 +78,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "chunk_no")
     repeated = chunk_rows(docs, False).select("h1", "h2", place.alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     repeated = repeated.where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first")
-    members = chunk_rows(docs, True).select("h1", "h2", place.alias("at"), "chunk").join(repeated, ["h1", "h2"])
+    # Written once: else the bytes of all chunks would be shuffled for either side below.
+    members = written(chunk_rows(docs, True).select("h1", "h2", place.alias("at"), "chunk").join(repeated, ["h1", "h2"]), "chunks")
     # Only bytes of repeated chunks come this far. The first's bytes go to the others by hash, then are compared.
     first = members.where(F.col("at").eqNullSafe(F.col("first"))).groupBy("h1", "h2").agg(F.min("chunk").alias("bytes"))
     others = members.where(~F.col("at").eqNullSafe(F.col("first"))).select("h1", "h2", "at", "chunk")
