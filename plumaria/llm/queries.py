@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumaria.llm import bpe, chat, decontam, jaccard, lines, pii, quality, substrings
+from plumaria.llm import bpe, chat, decontam, idfile, jaccard, lines, pii, quality, substrings
 from plumaria.llm.common import table
 
 
@@ -40,9 +40,13 @@ def op8_bpe_merge_rounds(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_range_coder(spark, sf_dir):
+    return idfile.read_ids(spark, idfile.write_ids(table(spark, sf_dir, "documents")))
+
+
 def op10_chosen_path(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_pii_anchors, op4_quality_forest, op5_decontaminate, op6_line_chunks, op7_compact_windows, op8_bpe_merge_rounds, op10_chosen_path)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_pii_anchors, op4_quality_forest, op5_decontaminate, op6_line_chunks, op7_compact_windows, op8_bpe_merge_rounds, op9_range_coder, op10_chosen_path)}
 ORACLE_SQL = {"op1_chat_windows": chat.ORACLE_SQL}
