@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumaria.llm import bpe, chat, decontam, idfile, jaccard, lines, pii, quality, substrings
+from plumaria.llm import bpe, chat, decontam, gru, idfile, jaccard, lines, pii, quality, substrings
 from plumaria.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_chat_windows(spark, sf_dir):
     return chat.digests(chat.chat_windows(turns.unionByName(extra)))
 
 
+def op2_gru_lm(spark, sf_dir):
+    return gru.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_pii_anchors(spark, sf_dir):
     return pii.digests(pii.pii_spans(table(spark, sf_dir, "documents")))
 
@@ -48,5 +52,5 @@ def op10_chosen_path(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_pii_anchors, op4_quality_forest, op5_decontaminate, op6_line_chunks, op7_compact_windows, op8_bpe_merge_rounds, op9_range_coder, op10_chosen_path)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_gru_lm, op3_pii_anchors, op4_quality_forest, op5_decontaminate, op6_line_chunks, op7_compact_windows, op8_bpe_merge_rounds, op9_range_coder, op10_chosen_path)}
 ORACLE_SQL = {"op1_chat_windows": chat.ORACLE_SQL}
