@@ -6,6 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumaria.functions import text as X
+from plumaria.operators import chunks as C
+from plumaria.operators import confidence as P
+from plumaria.operators import entities as E
 from plumaria.operators import relate as R
 
 CONCEPTS = [("root", None), ("words", "root"), ("articles", "words"), ("german", "root")]
@@ -115,7 +118,43 @@ def watch_stability(spark, sf_dir):
     return e.withColumn("ready", (F.col("size") > 0) & (F.col("size") == F.lag("size").over(order))).where("ready").select("user_id", "event_id", "size")
 
 
-QUERIES = {f.__name__: f for f in (tokens_per_doc, stem_counts, term_df_idf, doc_keywords_top8, surface_forms, content_hash, page_kind, clean_text, slugs, ancestor_closure, concept_vectors, near_dup_links, related_topk, embedding_topk, temporal_proximity, publish_skip, organise_counts, running_lines, watch_stability)}
+def note_entities(spark, sf_dir):
+    return E.entities(notes(spark, sf_dir))
+
+
+def linkable_entities(spark, sf_dir):
+    docs = notes(spark, sf_dir)
+    return E.linkable(E.entities(docs), docs.count())
+
+
+def joined_lines(spark, sf_dir):
+    return notes(spark, sf_dir).select("doc_id", F.md5(X.join_lines(F.split("text", "\n"))).alias("joined_md5"))
+
+
+def note_dates(spark, sf_dir):
+    return notes(spark, sf_dir).select("doc_id", F.date_format(X.doc_date(F.lit(""), F.col("text")), "yyyy-MM-dd").alias("date"))
+
+
+def list_lines(spark, sf_dir):
+    lines = notes(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.where(X.is_list_line(F.col("text"))).select("doc_id", F.col("line").cast("long").alias("line"), X.strip_list_marker(F.col("text")).alias("item"))
+
+
+def note_chunks(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n"), "text").alias("text"))
+    return C.chunks(d).select("doc_id", F.col("seq.k").alias("k"), F.col("seq.piece").alias("piece"), "text", "heading_path", "page")
+
+
+def pair_confidence(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = E.entities(docs.select("doc_id", "text"))
+    info = docs.select("doc_id", F.col("lang").alias("event"), X.doc_date(F.lit(""), F.col("text")).alias("date"))
+    words = R.weights(docs.select("doc_id", "text")).select("doc_id", F.col("stem").alias("key"), "w", "df")
+    pairs = P.pair_confidence(words, None, E.entity_weights(found, docs.count()), info)
+    return pairs.select("a", "b", F.round("confidence", 3).alias("confidence"), F.array_join("reasons", ", ").alias("reasons"))
+
+
+QUERIES = {f.__name__: f for f in (note_entities, linkable_entities, joined_lines, note_dates, list_lines, note_chunks, pair_confidence, tokens_per_doc, stem_counts, term_df_idf, doc_keywords_top8, surface_forms, content_hash, page_kind, clean_text, slugs, ancestor_closure, concept_vectors, near_dup_links, related_topk, embedding_topk, temporal_proximity, publish_skip, organise_counts, running_lines, watch_stability)}
 
 _stem = "CASE WHEN length(raw) <= 4 THEN raw " + " ".join(f"WHEN ends_with(raw, '{e}') AND length(raw) >= {len(e) + 3} THEN left(raw, length(raw) - {len(e)})" for e in X.ENDINGS) + " WHEN ends_with(raw, 'ces') THEN left(raw, length(raw) - 3) || 'z' WHEN regexp_matches(raw, '[^aeiou]es$') THEN left(raw, length(raw) - 2) WHEN regexp_matches(raw, '[aeiou]s$') THEN left(raw, length(raw) - 1) ELSE raw END"
 _stop = ", ".join(f"'{w}'" for w in X.STOPWORDS)
@@ -133,8 +172,44 @@ _pairs = f"""WITH {_tokens},
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS cosine FROM nw a JOIN nw b ON a.stem = b.stem AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.8)"""
 _closure = """WITH RECURSIVE c(cid, parent) AS (VALUES ('root', NULL), ('words', 'root'), ('articles', 'words'), ('german', 'root')),
 cl AS (SELECT cid, cid AS ancestor, 0 AS k FROM c UNION ALL SELECT cl.cid, c.parent, k + 1 FROM cl JOIN c ON cl.ancestor = c.cid WHERE c.parent IS NOT NULL)"""
+_months = "|".join(E.MONTHS)
+_quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+_plain = f"translate(lower(d), '{X.ACCENTS}', '{X.PLAIN}')"
+# DuckDB's \b knows ASCII only, so every run of word characters is put between marks.
+_M = ""
+_name = rf"[A-ZÁÉÍÓÚÑ][a-záéíóúñü]{{2,}}{_M}(?:\\s+{_M}(?:de|del|la|las|los|y|e){_M}\\s+|\\s+)".replace("\\\\", "\\")
+_last = "[A-ZÁÉÍÓÚÑ][a-záéíóúñü]{2,}"
+_marked = (
+    rf"{_M}([A-ZÁÉÍÓÚÑ]{{2,8}}){_M}",
+    rf"((?:{_M}[A-Za-zÁÉÍÓÚÑ]{{1,4}}(?:{_M}-{_M})?|{_M}-{_M}|{_M})\d{{2,4}}(?:{_M}-{_M}\d{{1,4}})+){_M}",
+    rf"{_M}(\d{{1,2}}{_M}[/-]{_M}\d{{1,2}}{_M}[/-]{_M}\d{{2,4}}|\d{{4}}{_M}-{_M}\d{{2}}{_M}-{_M}\d{{2}}){_M}",
+    rf"(?i){_M}(\d{{1,2}}{_M}\s+{_M}de{_M}\s+{_M}(?:{_months})(?:{_M}\s+{_M}de{_M}\s+{_M}\d{{4}})?)",
+    rf"{_M}((?:{_name}{_M}){{1,3}}{_last}){_M}",
+)
+_entities = f"WITH b AS (SELECT doc_id, regexp_replace(text, '([\\p{{L}}\\p{{N}}\\p{{M}}_]+)', '{_M}\\1{_M}', 'g') AS t FROM documents), m0 AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS o, '{E.PATTERNS[i][0]}' AS kind, unnest(regexp_extract_all(t, '{pattern}', 1)) AS d, generate_subscripts(regexp_extract_all(t, '{pattern}', 1), 1) AS i FROM b" for i, pattern in enumerate(_marked)) + f"""),
+m AS (SELECT doc_id, o, kind, replace(d, '{_M}', '') AS d, i FROM m0),
+c AS (SELECT *, trim(d, ' .,:;') AS display FROM m WHERE NOT (kind = 'sigla' AND (d IN ({_quoted(E.NOT_ACRONYM)}) OR {_plain} IN ({_stop}))) AND NOT (kind = 'nombre' AND regexp_extract({_plain}, '^(\\S+)', 1) IN ({_quoted(E.NOT_FIRST)}))),
+k AS (SELECT *, trim(regexp_replace(translate(lower(display), '{X.ACCENTS}', '{X.PLAIN}'), '\\s+', ' ', 'g')) AS key FROM c),
+g AS (SELECT doc_id, key, count(*) AS freq, min((o, i, kind, display)) AS f FROM k WHERE length(key) >= 2 GROUP BY ALL),
+e AS (SELECT doc_id, key, f[3] AS kind, f[4] AS display, freq FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, f[3], key) <= 40)"""
+_date = r"""SELECT doc_id, strftime(try_cast(CASE WHEN x <> '' THEN regexp_extract(x, '[/-](\d{4})$', 1) || '-' || lpad(regexp_extract(x, '[/-](\d+)[/-]', 1), 2, '0') || '-' || lpad(regexp_extract(x, '^(\d+)', 1), 2, '0') END AS DATE), '%Y-%m-%d') AS date FROM (SELECT doc_id, regexp_extract(text, '\b(\d{1,2}[/-]\d{1,2}[/-]\d{4})\b', 1) AS x FROM documents)"""
 
 ORACLE_SQL = {
+    "note_entities": f"{_entities} SELECT * FROM e",
+    "linkable_entities": f"{_entities} SELECT key, count(DISTINCT doc_id) AS df FROM e GROUP BY key HAVING count(DISTINCT doc_id) BETWEEN 2 AND greatest(2, (SELECT count(*) // 2 FROM documents))",
+    "joined_lines": r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+$', '')), lambda x: x <> ''), chr(10)), '-\n(\p{Ll})', '\1', 'g'), '\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS joined_md5 FROM documents",
+    "note_dates": _date,
+    "list_lines": rf"SELECT doc_id, line, regexp_replace(regexp_replace(regexp_replace(t, '{X.BULLET}', ''), '{X.ORDERED}', ''), '^\s+|\s+$', '', 'g') AS item FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) WHERE regexp_matches(t, '{X.BULLET}') OR regexp_matches(t, '{X.ORDERED}')",
+    "pair_confidence": f"""{_entities}, {_tokens},
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS t FROM nw a JOIN nw b ON a.stem = b.stem AND a.doc_id < b.doc_id GROUP BY ALL),
+        ei AS (SELECT key, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM e GROUP BY key),
+        ew AS (SELECT doc_id, key, idf / sqrt(sum(idf * idf) OVER (PARTITION BY doc_id)) AS w FROM e JOIN ei USING (key)),
+        ep AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS en FROM ew a JOIN ew b ON a.key = b.key AND a.doc_id < b.doc_id GROUP BY ALL),
+        dates AS ({_date}),
+        s AS (SELECT a, b, coalesce(t, 0) AS t, coalesce(en, 0) AS en, x.lang = y.lang AS ev, coalesce(greatest(0.0, 1 - abs(date_diff('day', CAST(v.date AS DATE), CAST(w.date AS DATE))) / 21.0), 0.0) AS ti
+            FROM p FULL JOIN ep USING (a, b) JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b JOIN dates v ON v.doc_id = a JOIN dates w ON w.doc_id = b),
+        r AS (SELECT *, 0.38 * t + 0.18 * en + 0.05 * (CASE WHEN ev THEN 1 ELSE 0 END) + 0.05 * ti AS conf FROM s WHERE en > 0 OR t >= 0.08)
+        SELECT a, b, round(least(conf, 1.0), 3) AS confidence, concat_ws(', ', CASE WHEN en > 0.05 THEN 'entidad' END, CASE WHEN t >= 0.08 THEN 'texto' END, CASE WHEN ev THEN 'evento' END, CASE WHEN ti > 0 THEN 'fecha' END) AS reasons FROM r WHERE least(conf, 1.0) >= 0.22""",
     "tokens_per_doc": f"WITH {_tokens} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT stem) AS n_stems FROM tok GROUP BY doc_id",
     "stem_counts": f"WITH {_tokens} SELECT stem, count(*) AS n FROM tok GROUP BY stem",
     "term_df_idf": f"WITH {_tokens} SELECT stem, df, round(idf, 6) AS idf FROM idf",
