@@ -6,8 +6,9 @@ that every store Spark writes to can hold them.
 
 A block starts with its distinct ids; what follows are places in that list. Each place is predicted by the order-2 and order-1 contexts (what followed there
 last, with a confidence) and by order-0 counts. Adaptive probabilities of the three are mixed in the logistic domain with weights that
-learn, in integers only, and the mix codes whether the prediction holds. If it does not, adaptive order-0 counts in two levels code the place.
-A carryless 64-bit range coder takes all decisions. Blocks are lanes of numpy arrays: encoder and decoder take one step for all blocks at a time.
+learn, in integers only, and the mix gives the share of the range that says the prediction holds. The rest of the range is dealt out by order-0 counts, brought
+up to date at the steps of `FRESH`. A carryless 64-bit range coder takes one decision an id. Blocks are lanes of numpy arrays: encoder and decoder
+take one step for all blocks at a time.
 
 Defined cases: a null or empty text has the end id alone; texts of any length are whole, and a segment has whole documents; rows are in ascending doc_id order, nulls
 first, and rows that repeat a doc_id each keep their ids; an empty table gives no segment.
@@ -26,168 +27,180 @@ from pyspark.sql import functions as F
 from plumaria.llm.bpe import Bpe, default_path
 from plumaria.llm.common import arrow_parts, arrow_rows, shared_dir, written
 
-BLOCK, GROUP, RATE = 4096, 64, 24
+BLOCK, RATE, PAIRS = 4096, 24, 4096
+#: Steps before which the order-0 shares are computed anew from the counts so far.
+FRESH = frozenset([0, 64, 192, 448, 960, 1984])
 U = np.uint64
-MASK32, TOP = U(0xFFFFFFFF), U(1 << 48)
-STRETCH = np.array([int(round(256 * np.log((p + 0.5) / (4095.5 - p)))) for p in range(4096)], np.int64)
-SQUASH = np.array([min(4095, max(1, int(round(4096 / (1 + np.exp(-x / 256)))))) for x in range(-2048, 2048)], np.int64)
+MASK32, SHIFT16, SHIFT32 = U(0xFFFFFFFF), U(16), U(32)
+STRETCH = np.array([int(round(256 * np.log((p + 0.5) / (4096.5 - p)))) for p in range(4097)], np.int64)
+#: In 65,536ths; a miss keeps a sixteenth, so that each place, of 16 of 65,536 at least, keeps a share.
+SQUASH = np.array([min(61440, max(32, int(round(65536 / (1 + np.exp(-x / 256)))))) for x in range(-2048, 2048)], np.int64)
 
 
 class Coder:
-    """Low end and range of each lane, and its 16-bit words."""
+    """Low end and range of each lane, and its 32-bit words; the range is 2 ** 32 at least before each decision of 16 bits."""
 
     def __init__(self, lanes: int, words: list[np.ndarray] | None = None):
         self.low, self.range, self.at = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U), np.zeros(lanes, np.int64)
-        self.every = np.arange(lanes)
         self.reading = words is not None
         if words is None:
-            self.words = np.zeros((lanes, 256), np.uint16)
+            self.words = np.zeros((lanes, 256), np.uint32)
         else:
-            self.words = np.zeros((lanes, max(map(len, words)) + 8), np.uint16)
+            self.words = np.zeros((lanes, max(map(len, words)) + 4), np.uint32)
             for i, w in enumerate(words):
                 self.words[i, : len(w)] = w
-            self.code = np.zeros(lanes, U)
-            for k in range(4):
-                self.code = (self.code << U(16)) | self.words[:, k].astype(U)
-            self.at += 4
-
-    def target(self, total: np.ndarray) -> np.ndarray:
-        self.unit = self.range // total.astype(U)
-        return np.minimum((self.code - self.low) // self.unit, total.astype(U) - U(1)).astype(np.int64)
-
-    def take(self, start: np.ndarray, size: np.ndarray, total: np.ndarray, on: np.ndarray) -> None:
-        unit = self.range // total.astype(U)
-        self.low = np.where(on, self.low + unit * start.astype(U), self.low)
-        self.range = np.where(on, unit * size.astype(U), self.range)
-        while True:
-            same = (self.low ^ (self.low + self.range)) < TOP
-            short = ~same & (self.range <= MASK32)
-            lanes = np.flatnonzero(same | short)
-            if not len(lanes):
-                return
-            self.range = np.where(short, (U(0) - self.low) & MASK32, self.range)
-            self.shift(lanes)
-
-    def shift(self, lanes: np.ndarray) -> None:
+            self.code = (self.words[:, 0].astype(U) << SHIFT32) | self.words[:, 1].astype(U)
+            self.at += 2
+
+    def target(self, n: int) -> np.ndarray:
+        """Where in 0 .. 65535 the code of each of the first n lanes is."""
+        return np.minimum((self.code[:n] - self.low[:n]) // (self.range[:n] >> SHIFT16), U(65535)).astype(np.int64)
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        n = len(start)
+        low, span = self.low[:n], self.range[:n]
+        span >>= SHIFT16
+        low += span * start.view(U)
+        span *= size.view(U)
+        lanes = np.flatnonzero(span <= MASK32)
+        if len(lanes):
+            lo, sp = low[lanes], span[lanes]
+            # Where the high words of both ends differ, the range is cut at the border between them.
+            span[lanes] = np.where((lo ^ (lo + sp)) > MASK32, (U(0) - lo) & MASK32, sp) << SHIFT32
+            self.shift(lanes, lo)
+
+    def shift(self, lanes: np.ndarray, lo: np.ndarray) -> None:
+        at = self.at[lanes]
         if self.reading:
-            self.code[lanes] = (self.code[lanes] << U(16)) | self.words[lanes, np.minimum(self.at[lanes], self.words.shape[1] - 1)].astype(U)
+            self.code[lanes] = (self.code[lanes] << SHIFT32) | self.words[lanes, np.minimum(at, self.words.shape[1] - 1)]
         else:
-            if self.at.max() + 1 >= self.words.shape[1]:
+            if at.max() + 1 >= self.words.shape[1]:
                 self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
-            self.words[lanes, self.at[lanes]] = (self.low[lanes] >> U(48)).astype(np.uint16)
-        self.at[lanes] += 1
-        self.low[lanes] <<= U(16)
-        self.range[lanes] <<= U(16)
+            self.words[lanes, at] = lo >> SHIFT32
+        self.at[lanes] = at + 1
+        self.low[lanes] = lo << SHIFT32
 
     def finish(self) -> list[np.ndarray]:
-        for _ in range(4):
-            self.shift(self.every)
+        for _ in range(2):
+            self.shift(np.arange(len(self.low)), self.low.copy())
         return [self.words[i, :n].copy() for i, n in enumerate(self.at)]
 
 
 def coded(places: np.ndarray | None, lengths: np.ndarray, kinds: np.ndarray, words: list[np.ndarray] | None = None):
-    """Encodes places (lanes x BLOCK; row i has lengths[i] of kinds[i] kinds) to words, or decodes words to places."""
+    """Encodes places (BLOCK x lanes; column i has lengths[i] of kinds[i] kinds) to words, or decodes words to places. Lengths never rise from lane to lane."""
     lanes, steps = len(lengths), int(lengths.max())
     coder, every = Coder(lanes, words), np.arange(lanes)
-    out = np.zeros((lanes, steps), np.int64)
-    groups = int(kinds.max() + GROUP - 1) // GROUP
-    low = (np.arange(groups * GROUP)[None, :] < kinds[:, None]).astype(np.int32).reshape(lanes, groups, GROUP)
-    high = low.sum(2)
-    one, one_sure = np.full((lanes, groups * GROUP + 1), -1, np.int32), np.zeros((lanes, groups * GROUP + 1), np.int8)
-    two, two_sure = np.full((lanes, 8192), -1, np.int32), np.zeros((lanes, 8192), np.int8)
-    p2, p1, weight = np.full((lanes, 8), 32768, np.int64), np.full((lanes, 16), 32768, np.int64), np.full((lanes, 3), 22000, np.int64)
-    a = b = np.full(lanes, groups * GROUP)
-    bits = np.full(lanes, 4096)
+    out = places if places is not None else np.zeros((steps, lanes), np.int64)
+    # Tables by place lie end to end, a lane's and then an entry more, which stands for "none" and for the end of the range.
+    at_k = np.cumsum(kinds + 1) - kinds - 1
+    lane_of, ends = np.repeat(every, kinds + 1), at_k + kinds
+    counts = np.ones(len(lane_of), np.int64)
+    counts[ends] = 0
+    cum, freq, slots = np.zeros(len(lane_of), np.int32), np.zeros(len(lane_of), np.int32), np.zeros(lanes * 4096 * (places is None), np.int16)
+    one, two = np.zeros(len(lane_of), np.int32), np.zeros(lanes * PAIRS, np.int32)  # the place that followed plus 1, times 8, plus a confidence of 1 to 7
+    p2, p1 = np.full(lanes * 8, 32768), np.full(lanes * 16, 32768)
+    w2, w1, w0 = (np.full(lanes, 22000) for _ in range(3))
+    a = b = kinds
+    first, at_pairs, at_8, at_16, at_slots = at_k, every * PAIRS, every * 8, every * 16, every * 4096
+    n, since, live = lanes, 0, (lengths[:, None] > np.arange(steps)).sum(0).tolist()
     for t in range(steps):
-        live = lengths > t
-        h = (a * 2654435 + b * 40503) & 8191
-        guess2, guess1 = two[every, h], one[every, b]
-        sure2, sure1 = np.where(guess2 >= 0, two_sure[every, h], 0), one_sure[every, b]
-        guess = np.where(guess2 >= 0, guess2, guess1)
-        on = live & (guess >= 0)
-        g = np.maximum(guess, 0)
-        total = high.sum(1)
-        c1 = 2 * sure1 + (guess1 == guess)
-        s2, s1 = STRETCH[p2[every, sure2] >> 4], STRETCH[p1[every, c1] >> 4]
-        s0 = STRETCH[np.minimum(4095, low[every, g // GROUP, g % GROUP].astype(np.int64) * 4096 // total)]
-        dot = (weight[:, 0] * s2 + weight[:, 1] * s1 + weight[:, 2] * s0) >> 16
-        p = SQUASH[np.clip(dot, -2048, 2047) + 2048]
+        if live[t] < n:
+            n = live[t]
+            w2, w1, w0, a, b, at_k, at_pairs, at_8, at_16, at_slots = (x[:n] for x in (w2, w1, w0, a, b, at_k, at_pairs, at_8, at_16, at_slots))
+        if t in FRESH:
+            if t:
+                np.add.at(counts, (at_k + out[since:t, :n]).ravel(), RATE)
+                since = t
+            scale = ((65536 - 16 * kinds) << 15) // (kinds + RATE * np.minimum(t, lengths))
+            share = (counts * np.repeat(scale, kinds + 1) >> 15) + 16
+            share[ends] = 0
+            share[ends - 1] += 65536 - np.add.reduceat(share, first)
+            freq[:] = share
+            cum[:] = np.cumsum(share) - share - 65536 * lane_of
+            cum[ends] = 65536
+            if places is None:  # the place at each 16th of the range: no share is less, so the one sought is it or the next
+                slots[:] = 0
+                slots[np.delete(lane_of * 4096 + (cum + 15 >> 4), ends)] = 1
+                slots = (np.cumsum(slots.reshape(lanes, 4096), 1, dtype=np.int16) - np.int16(1)).ravel()
+        i1, i2 = at_k + b, at_pairs + ((a * 40503 + b * 2654435 >> 3) & PAIRS - 1)
+        e1, e2 = one.take(i1).astype(np.int64), two.take(i2).astype(np.int64)
+        e = np.where(e2 > 0, e2, e1)
+        key, key1 = e >> 3, e1 >> 3
+        has = (key > 0).astype(np.int64)
+        guess = key - 1
+        i_p2, i_p1 = at_8 + (e2 & 7), at_16 + ((e1 & 7) * 2 + (key1 == key))
+        v2, v1 = p2.take(i_p2), p1.take(i_p1)
+        s2, s1, s0 = STRETCH.take(v2 >> 4), STRETCH.take(v1 >> 4), STRETCH.take(freq.take(at_k + np.maximum(guess, 0)) >> 4)
+        dot = w2 * s2 + w1 * s1 + w0 * s0 >> 16
+        p = SQUASH.take(np.maximum(np.minimum(dot, 2047), -2048) + 2048) * has
+        q = 65536 - p
         if places is None:
-            hit = coder.target(bits) < p
+            x = coder.target(n)
+            hit = x < p
+            # The last y with (y * q >> 16) <= x - p; floats hold all of these numbers exactly enough.
+            y = np.maximum(((x - p + 1 << 16) - 1) / q, 0).astype(np.int64)
+            y = np.minimum(y, 65535)
+            sym = slots.take(at_slots + (y >> 4)).astype(np.int64)
+            sym += y >= cum.take(at_k + sym + 1)
+            sym = np.where(hit, guess, sym)
+            out[t, :n] = sym
         else:
-            sym = places[:, t]
+            sym = places[t, :n]
             hit = sym == guess
-        coder.take(np.where(hit, 0, p), np.where(hit, p, 4096 - p), bits, on)
-        hit &= on
-        # Order 0 for the rest: the group, then the place in it.
-        rest = live & ~hit
-        lanes_rest = np.flatnonzero(rest)
-        if len(lanes_rest):
-            cum = np.cumsum(high, 1)
-            if places is None:
-                x = coder.target(total)
-                group = np.minimum((cum <= x[:, None]).sum(1), groups - 1)
-            else:
-                group = sym // GROUP
-            size = high[every, group]
-            coder.take(cum[every, group] - size, np.maximum(size, 1), total, rest)
-            inner = low[every, group]
-            cum_in = np.cumsum(inner, 1)
-            size_in = np.maximum(cum_in[:, -1], 1)
-            if places is None:
-                x = coder.target(size_in)
-                place = np.minimum((cum_in <= x[:, None]).sum(1), GROUP - 1)
-                sym = np.where(hit, g, group * GROUP + place)
-            else:
-                place = sym % GROUP
-            size = inner[every, place]
-            coder.take(cum_in[every, place] - size, np.maximum(size, 1), size_in, rest)
-        elif places is None:
-            sym = g.copy()
-        sym = np.where(live, sym, 0)
-        out[:, t] = sym
+        i = at_k + sym
+        c = cum.take(i)
+        start = c * q >> 16
+        size = ((c + freq.take(i)) * q >> 16) - start
+        coder.take(np.where(hit, 0, start + p), np.where(hit, p, size))
         # What was coded teaches every order.
-        target = np.where(hit, 65535, 0)
-        for table, ctx in ((p2, sure2), (p1, c1)):
-            old = table[every, ctx]
-            table[every, ctx] = np.where(on, old + ((target - old) >> 5), old)
-        error = (np.where(hit, 4095, 0) - p) * 6
-        weight += np.where(on[:, None], (np.stack([s2, s1, s0], 1) * error[:, None] + 0x8000) >> 12, 0)
-        np.clip(weight, -1 << 20, 1 << 20, out=weight)
-        for table, sure, ctx in ((two, two_sure, h), (one, one_sure, b)):
-            right = table[every, ctx] == sym
-            sure[every, ctx] = np.where(live, np.where(right, np.minimum(sure[every, ctx] + 1, 7), 0), sure[every, ctx])
-            table[every, ctx] = np.where(live, sym, table[every, ctx])
-        up = np.where(live, RATE, 0).astype(np.int32)
-        high[every, sym // GROUP] += up
-        low[every, sym // GROUP, sym % GROUP] += up
+        top = hit * 65535
+        p2[i_p2] = v2 + ((top - v2) * has >> 5)
+        p1[i_p1] = v1 + ((top - v1) * has >> 5)
+        error = (top - p) * has * 3 >> 3
+        w2 += s2 * error >> 12
+        w1 += s1 * error >> 12
+        w0 += s0 * error >> 12
+        new, fresh = sym + 1, (sym << 3) + 9
+        one[i1] = np.where(key1 == new, e1 + ((e1 & 7) < 7), fresh)
+        two[i2] = np.where(e2 >> 3 == new, e2 + ((e2 & 7) < 7), fresh)
         a, b = b, sym
     return out if places is None else coder.finish()
 
 
+def places_in(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a block, rising, and the place of each of its ids among them."""
+    if block.max() >= 1 << 20:
+        return np.unique(block, return_inverse=True)
+    there = np.zeros(int(block.max()) + 1, np.int32)
+    there[block] = 1
+    distinct = np.flatnonzero(there)
+    there[distinct] = np.arange(len(distinct))
+    return distinct, there[block]
+
+
 def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """A segment of documents, their ids end to end."""
     blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    kinds, places = [], np.zeros((len(blocks), BLOCK), np.int64)
+    kinds, places = [], np.zeros((BLOCK, len(blocks)), np.int64)
     for i, block in enumerate(blocks):
-        distinct, at = np.unique(block, return_inverse=True)
+        distinct, at = places_in(block)
         kinds.append(distinct)
-        places[i, : len(block)] = at
+        places[: len(block), i] = at
     lengths = np.array([len(b) for b in blocks], np.int64)
     words = coded(places, lengths, np.array([len(k) for k in kinds], np.int64))
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    head = struct.pack("<5sqqq", b"PLID1", len(doc_ids), len(ids), len(blocks)) + known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + counts.astype("<i8").tobytes()
+    head = struct.pack("<5sqqq", b"PLID2", len(doc_ids), len(ids), len(blocks)) + known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + counts.astype("<i8").tobytes()
     parts = [head]
     for block, distinct, coded_words in zip(blocks, kinds, words, strict=True):
-        listed = zlib.compress(np.diff(distinct, prepend=0).astype("<u4").tobytes(), 6)
-        parts += [struct.pack("<IIIII", len(block), len(distinct), len(listed), len(coded_words), zlib.crc32(block.astype("<u4").tobytes())), listed, coded_words.astype("<u2").tobytes()]
+        listed = zlib.compress(np.diff(distinct, prepend=0).astype("<u4").tobytes(), 1)
+        parts += [struct.pack("<IIIII", len(block), len(distinct), len(listed), len(coded_words), zlib.crc32(block.astype("<u4").tobytes())), listed, coded_words.astype("<u4").tobytes()]
     return b"".join(parts)
 
 
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, counts and ids of a segment. Raises ValueError where a checksum does not hold."""
     magic, docs, total, n = struct.unpack_from("<5sqqq", data)
-    if magic != b"PLID1":
+    if magic != b"PLID2":
         raise ValueError("not a segment of token ids")
     at = struct.calcsize("<5sqqq")
     known = np.frombuffer(data, np.uint8, docs, at)
@@ -199,12 +212,12 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         length, distinct, listed, size, crc = struct.unpack_from("<IIIII", data, at)
         at += 20
         kinds.append(np.cumsum(np.frombuffer(zlib.decompress(data[at : at + listed]), "<u4").astype(np.int64)))
-        words.append(np.frombuffer(data, "<u2", size, at + listed))
-        at += listed + 2 * size
+        words.append(np.frombuffer(data, "<u4", size, at + listed))
+        at += listed + 4 * size
         lengths.append(length)
         sums.append(crc)
     places = coded(None, np.array(lengths), np.array([len(k) for k in kinds]), words)
-    out = [k[places[i, :m]] for i, (k, m) in enumerate(zip(kinds, lengths, strict=True))]
+    out = [k[places[:m, i]] for i, (k, m) in enumerate(zip(kinds, lengths, strict=True))]
     for i, (block, crc) in enumerate(zip(out, sums, strict=True)):
         if zlib.crc32(block.astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i} is damaged")
@@ -236,7 +249,7 @@ def library(path: str) -> LibraryIds:
     return LibraryIds(path)
 
 
-def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 1, segment_ids: int = 4_000_000, folder: str | None = None) -> str:
+def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 1, segment_ids: int = 8_000_000, folder: str | None = None) -> str:
     """Writes segments (part, seq, before, n_ids, data) in ascending doc_id order and returns their folder; before: ids of the part's earlier segments."""
     import uuid
 
