@@ -82,39 +82,54 @@ class Model:
         return np.where(y < self.vocabulary, y // CLASS, self.neural + y - self.vocabulary)
 
     def losses(self, h, y, grads=None):
-        """log probabilities (natural) of symbols y after states h; with grads, adds their gradients and returns that of h too."""
+        """log probabilities (natural) of symbols y after states h; with grads, adds their gradients and returns that of h too.
+
+        Rows are put in class order, so that each class is a slice; logits have a column for each row, as numpy reduces along columns of short rows slowly.
+        """
         p = self.p
         k = self.classes_of(y)
-        s = h @ p["C"] + p["c"]
-        s -= s.max(1, keepdims=True)
-        q = np.exp(s)
-        total = q.sum(1)
+        order = np.argsort(k.astype(np.int16), kind="stable")
+        h, y, k = h[order], y[order], k[order]
+        cuts = np.searchsorted(k, np.arange(self.neural + 1))
+        s = p["C"].T @ h.T
+        s += p["c"][:, None]
+        s -= s.max(0)
         every = np.arange(len(y))
-        out = s[every, k] - np.log(total)
+        own = s[k, every]
+        q = np.exp(s, out=s)
+        total = q.sum(0)
+        got = own - np.log(total)
         dh = None
         if grads is not None:
-            q /= total[:, None]
-            q[every, k] -= 1
-            grads["C"] += h.T @ q
-            grads["c"] += q.sum(0)
-            dh = q @ p["C"].T
-        order = np.argsort(k, kind="stable")
-        cuts = np.searchsorted(k[order], np.arange(self.neural + 1))
+            q /= total
+            q[k, every] -= 1
+            grads["C"] += (q @ h).T
+            grads["c"] += q.sum(1)
+            dh = q.T @ p["C"].T
         for c in range(self.neural):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                rows = slice(c * CLASS, (c + 1) * CLASS)
-                t = h[at] @ p["W"][rows].T + p["w"][rows]
-                t -= t.max(1, keepdims=True)
-                v = np.exp(t)
-                sums, j, own = v.sum(1), y[at] - c * CLASS, np.arange(len(at))
-                out[at] += t[own, j] - np.log(sums)
+            rows, at = slice(c * CLASS, (c + 1) * CLASS), slice(cuts[c], cuts[c + 1])
+            m = at.stop - at.start
+            if m:
+                t = p["W"][rows] @ h[at].T
+                t += p["w"][rows, None]
+                t -= t.max(0)
+                j = y[at] - c * CLASS
+                own = t[j, every[:m]]
+                v = np.exp(t, out=t)
+                sums = v.sum(0)
+                got[at] += own - np.log(sums)
                 if grads is not None:
-                    v /= sums[:, None]
-                    v[own, j] -= 1
-                    grads["W"][rows] += v.T @ h[at]
-                    grads["w"][rows] += v.sum(0)
-                    dh[at] += v @ p["W"][rows]
+                    v /= sums
+                    v[j, every[:m]] -= 1
+                    grads["W"][rows] += v @ h[at]
+                    grads["w"][rows] += v.sum(1)
+                    dh[at] += v.T @ p["W"][rows]
+        out = np.empty_like(got)
+        out[order] = got
+        if dh is not None:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
         return out, dh
 
     def train(self, stream: np.ndarray, start: int, lanes: int = LANES, rate: float = 0.05, squares=None):
@@ -173,16 +188,14 @@ class Model:
         for i in range(0, len(order), lanes):
             at = order[i : i + lanes]
             lengths = np.array([len(texts[j]) for j in at])
-            wide = np.zeros((len(at), lengths[0]), np.int64)
-            for row, j in enumerate(at):
-                wide[row, : len(texts[j])] = texts[j]
+            flat, first = np.concatenate([texts[j] for j in at]), np.cumsum(lengths) - lengths
             h, last = np.zeros((len(at), HIDDEN), np.float32), np.full(len(at), start)
             for t0 in range(0, lengths[0], STEPS):
                 states, targets, rows = [], [], []
                 for t in range(t0, min(t0 + STEPS, lengths[0])):
                     live = int(np.searchsorted(-lengths, -t, side="left"))
                     h, _ = self.step(h[:live], last[:live])
-                    last = wide[:live, t]
+                    last = flat[first[:live] + t]
                     states.append(h)
                     targets.append(last)
                     rows.append(at[:live])
