@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from plumaria.llm.bpe import Bpe, default_path
 from plumaria.llm.common import arrow_parts, arrow_rows, shared_dir, written
 
-BLOCK, RATE, PAIRS = 4096, 24, 4096
+BLOCK, RATE, PAIRS, TOGETHER = 4096, 24, 4096, 256
 #: Steps before which the order-0 shares are computed anew from the counts so far.
 FRESH = frozenset([0, 64, 192, 448, 960, 1984])
 U = np.uint64
@@ -234,11 +234,28 @@ class LibraryIds(Bpe):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        plain = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark = min(plain, default=None)
+
+    def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for f in found for i in f], np.int32), np.array([len(f) for f in found], np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.library.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        self.lengths.append(np.array([len(f) for f in found], np.int64))
-        self.ids.append(np.array([i for f in found for i in f], np.int32))
+        """The library splits a text at added tokens before all else, so words between such marks get the ids they get alone, and many come in one call."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        groups = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
+        mark_id, mark = self.mark or (None, None)
+        joined = self.library.encode_batch_fast(["" if mark is None else mark.join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, joined, strict=True):
+            ids = np.array([*e.ids, mark_id if mark else -1], np.int32)
+            at = np.flatnonzero(ids == mark_id) if mark else ()
+            if len(at) == len(group):
+                ids, lengths = ids[ids != mark_id], np.diff(at, prepend=-1) - 1
+            else:  # a word holds the mark itself
+                ids, lengths = self.one_by_one(group)
+            self.ids.append(ids)
+            self.lengths.append(lengths)
 
 
 @lru_cache(2)
@@ -262,11 +279,12 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 1, segment
         coder = library(path)
         for batch, texts in arrow_parts(batches, 4_000_000):
             ids, starts, *_ = coder.encode(texts)
-            raw = ids.astype("<u4")
-            yield arrow_rows({"doc_id": batch.column("doc_id"), "ids": pa.array([raw[a:b].tobytes() + struct.pack("<I", end_id) for a, b in zip(starts, starts[1:], strict=False)], pa.binary())})
+            small = max(int(ids.max(initial=0)), end_id) < 1 << 16
+            raw, end = (ids.astype("<u2"), struct.pack("<H", end_id)) if small else (ids.astype("<u4"), struct.pack("<I", end_id))
+            yield arrow_rows({"doc_id": batch.column("doc_id"), "ids": pa.array([raw[a:b].tobytes() + end for a, b in zip(starts, starts[1:], strict=False)], pa.binary()), "small": [small] * batch.num_rows})
 
     # Written first: sorting by range reads its input twice, and encoding is the dear part.
-    ids = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary"), "encoded")
+    ids = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, small boolean"), "encoded")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def segments(batches):
@@ -284,8 +302,8 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 1, segment
 
         size = 0
         for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                x = np.frombuffer(raw, "<u4")
+            for doc_id, raw, small in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), batch.column("small").to_pylist(), strict=True):
+                x = np.frombuffer(raw, "<u2" if small else "<u4")
                 if held and size + len(x) > segment_ids:
                     yield flush()
                     size = 0
