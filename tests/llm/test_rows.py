@@ -152,6 +152,29 @@ def test_leaks_edited_copies_and_blocks(spark):
     assert decontam.leaks(documents(spark, docs), items.limit(0)).count() == 0
 
 
+def test_leaks_equal_alignment_of_all_pairs(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    usual = [word(2) for _ in range(12)]
+    text = lambda n: [rng.choice(usual) if rng.random() < 0.4 else word(6) for _ in range(n)]
+    items = [text(rng.randint(40, 60)) for _ in range(24)]
+    docs = []
+    for d in range(120):
+        item = list(items[d % 24])
+        if d >= 24 or d % 2:  # else a verbatim leak of every second item
+            kind, k = d // 24, len(item)
+            places = range(2, k, 3) if kind == 4 else rng.sample(range(k), round(k * rng.uniform(0.25, 0.34)))
+            for p in sorted(places, reverse=True):
+                item[p : p + 1] = [item[p], word(6)] if kind == 3 else [word(6)]
+            if kind == 2:
+                item[k // 2 : k // 2] = text(15)
+        docs.append((d, " ".join(text(80) + item + text(80))))
+    want = {(d, i) for d, t in docs for i, item in enumerate(items) if decontam.align(*map(np.array, (item, t.split())))[0] >= len(item)}
+    assert 80 < len(want) < 120
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(documents(spark, docs), table).collect()} == want
+
+
 def test_chat_equals_sql_and_keeps_budget(spark, small):
     rng = random.Random(6)
     rows = [(c, t, rng.choice(["user", "assistant"]) if t else "system" if c % 3 else "user", "".join(rng.choice(["<|im_end|>", "<\\|", "é", "word ", "\n"]) for _ in range(rng.randint(0, 900 if c < 9 and t else 40)))) for c in range(12) for t in range(rng.randint(1, 30))]
