@@ -175,6 +175,15 @@ def test_leaks_equal_alignment_of_all_pairs(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(documents(spark, docs), table).collect()} == want
 
 
+def test_leaks_of_items_without_id(spark):
+    item = "one two three four five six seven eight"
+    docs = documents(spark, [(1, f"before {item} after"), (2, "something else")])
+    for kind in ("long", "int", "string"):
+        table = spark.createDataFrame([(None, item), (None, None)], f"item_id {kind}, text string")
+        assert [tuple(r) for r in decontam.leaks(docs, table).collect()] == [(1, None, 1.0, 1, 9)]
+        assert [r.doc_id for r in decontam.clean_documents(docs, table).collect()] == [2]
+
+
 def test_chat_equals_sql_and_keeps_budget(spark, small):
     rng = random.Random(6)
     rows = [(c, t, rng.choice(["user", "assistant"]) if t else "system" if c % 3 else "user", "".join(rng.choice(["<|im_end|>", "<\\|", "é", "word ", "\n"]) for _ in range(rng.randint(0, 900 if c < 9 and t else 40)))) for c in range(12) for t in range(rng.randint(1, 30))]
