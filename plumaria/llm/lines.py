@@ -5,6 +5,10 @@ has `LEAST` lines (and at `MOST` in any case). Boundaries depend on nearby lines
 or more that occurs again anywhere, the first occurrence (least doc_id, then place) stays and the others go, each after its bytes
 were compared with the first's.
 
+With `runs`, as the queries use it, no boundary is left to chance: every two neighbouring lines that are not blank (with the blank ones between) are a piece,
+and what repeated pieces cover goes, so that each repeated run of two such lines or more goes whole wherever it starts. A line's first occurrence always stays: what makes
+a line go is a piece that holds it and came before. n_chunks and n_dropped then count the stretches that stay or go.
+
 Locations are (doc_id, hash of the text, chunk number), so that rows repeated in full share their locations and agree, and a recomputed
 task gives the same ones. Groups by chunk hash are aggregates that combine before the shuffle; no group is gathered.
 
@@ -54,7 +58,32 @@ def chunks_of(text: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
-def chunk_rows(docs: DataFrame, with_text: bool) -> DataFrame:
+def line_pairs(text: bytes) -> list[tuple[int, int]]:
+    """(start, end), in lines, of every two neighbouring lines that are not blank."""
+    full = [i for i, line in enumerate(text.split(b"\n")) if line.strip()]
+    return [(a, b + 1) for a, b in zip(full, full[1:], strict=False)]
+
+
+def stretches(text: bytes, gone: set[int]) -> list[tuple[int, bytes, bool]]:
+    """(lines, bytes, whether it goes) of the stretches that the numbered pairs of lines cover, and of those between."""
+    lines, out = text.split(b"\n"), []
+    goes = np.zeros(len(lines), bool)
+    for no, (a, b) in enumerate(line_pairs(text) if gone else []):
+        goes[a:b] |= no in gone
+    edges = [0, *(np.flatnonzero(np.diff(goes)) + 1).tolist(), len(lines)] if text else []
+    for a, b in zip(edges, edges[1:], strict=False):
+        out.append((b - a, b"\n".join(lines[a:b]), bool(goes[a])))
+    return out
+
+
+def pieces_of(text: bytes, runs: bool) -> list[tuple[int, bytes]]:
+    if not runs:
+        return chunks_of(text)
+    lines = text.split(b"\n")
+    return [(b - a, b"\n".join(lines[a:b])) for a, b in line_pairs(text)]
+
+
+def chunk_rows(docs: DataFrame, with_text: bool, runs: bool = False) -> DataFrame:
     """A row for each chunk that could go: its two hashes and location, and its bytes if asked."""
 
     def run(batches):
@@ -62,7 +91,7 @@ def chunk_rows(docs: DataFrame, with_text: bool) -> DataFrame:
         import xxhash
 
         for batch, texts in arrow_parts(batches):
-            rows = [(i, no, c) for i, text in enumerate(texts) for no, (n, c) in enumerate(chunks_of(text)) if n > 1 and c.strip()]
+            rows = [(i, no, c) for i, text in enumerate(texts) for no, (n, c) in enumerate(pieces_of(text, runs)) if n > 1 and c.strip()]
             if rows:
                 at = pa.array([r[0] for r in rows])
                 digest = [xxhash.xxh3_128_digest(r[2]) for r in rows]
@@ -73,13 +102,13 @@ def chunk_rows(docs: DataFrame, with_text: bool) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"h1 long, h2 long, doc_id {id_type(docs)}, text_hash long, chunk_no long" + ", chunk binary" * with_text)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, runs: bool = False) -> DataFrame:
     """(doc_id, text_hash, drop array<long>): the chunks that each text loses."""
     place = F.struct("doc_id", "text_hash", "chunk_no")
-    repeated = chunk_rows(docs, False).select("h1", "h2", place.alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    repeated = chunk_rows(docs, False, runs).select("h1", "h2", place.alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     repeated = repeated.where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first")
     # Written once: else the bytes of all chunks would be shuffled for either side below.
-    members = written(chunk_rows(docs, True).select("h1", "h2", place.alias("at"), "chunk").join(repeated, ["h1", "h2"]), "chunks")
+    members = written(chunk_rows(docs, True, runs).select("h1", "h2", place.alias("at"), "chunk").join(repeated, ["h1", "h2"]), "chunks")
     # Only bytes of repeated chunks come this far. The first's bytes go to the others by hash, then are compared.
     first = members.where(F.col("at").eqNullSafe(F.col("first"))).groupBy("h1", "h2").agg(F.min("chunk").alias("bytes"))
     others = members.where(~F.col("at").eqNullSafe(F.col("first"))).select("h1", "h2", "at", "chunk")
@@ -87,10 +116,10 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return same.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(F.collect_set("at.chunk_no").alias("drop"))
 
 
-def without_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, counts: bool = False, runs: bool = False) -> DataFrame:
     """docs with shorter texts; with counts also n_lines, n_chunks, n_dropped, dropped_chars (long)."""
     names = [c for c in docs.columns if c not in ("__h", "__drop")]
-    drop = repeated_chunks(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h2"), F.col("drop").alias("__drop"))
+    drop = repeated_chunks(docs, runs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h2"), F.col("drop").alias("__drop"))
     keyed = docs.withColumn("__h", F.xxhash64("text"))
     joined = keyed.join(drop, (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__h2")), "left").select(*names, "__drop")
     extra = ["n_lines", "n_chunks", "n_dropped", "dropped_chars"] if counts else []
@@ -103,10 +132,11 @@ def without_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
             new, told = batch.column("text").to_pylist(), []
             for i, (text, gone) in enumerate(zip(texts, drops, strict=True)):
                 if gone or counts:
-                    chunks, gone = chunks_of(text), set(gone or ())
+                    gone = set(gone or ())
+                    chunks = stretches(text, gone) if runs else [(n, c, k in gone) for k, (n, c) in enumerate(chunks_of(text))]
                     if gone:
-                        new[i] = b"\n".join([c for k, (_, c) in enumerate(chunks) if k not in gone]).decode("utf-8", "surrogatepass")
-                    told.append((sum(n for n, _ in chunks), len(chunks), len(gone), sum(len(chunks[k][1].decode("utf-8", "replace")) for k in gone)))
+                        new[i] = b"\n".join([c for _, c, goes in chunks if not goes]).decode("utf-8", "surrogatepass")
+                    told.append((sum(n for n, _, _ in chunks), len(chunks), sum(goes for _, _, goes in chunks), sum(len(c.decode("utf-8", "replace")) for _, c, goes in chunks if goes)))
             out = {c: batch.column(c) for c in names} | {"text": pa.array(new, pa.string())}
             if "n_chars" in out:
                 out["n_chars"] = pa.array([len(t) if g and t is not None else n for t, g, n in zip(new, drops, out["n_chars"].to_pylist(), strict=True)], out["n_chars"].type)

@@ -32,7 +32,7 @@ def op5_decontaminate(spark, sf_dir):
 
 
 def op6_line_chunks(spark, sf_dir):
-    docs = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    docs = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, runs=True)
     return docs.select("doc_id", "n_lines", "n_chunks", "n_dropped", "dropped_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -114,3 +114,29 @@ def test_line_chunks_odd_rows(spark):
     out = sorted((str(r.doc_id), r.text, r.n_chars) for r in lines.without_repeats(documents(spark, rows)).collect())
     assert out == [("1", "", 0), ("1", "", 0), ("2", "", 0), ("3", "", 0), ("None", "a\nb", 3), ("None", "c\nd", 3)]
     assert lines.without_repeats(documents(spark, [])).count() == 0
+
+
+def test_line_runs_go_whole(spark):
+    rng = random.Random(4)
+    own = lambda: "".join(rng.choice("abcdefgh") for _ in range(12))
+    runs = [[own() for _ in range(2 + r % 3)] for r in range(60)]
+    rows = []
+    for i in range(240):
+        run = runs[i % 60]
+        rows.append((i, "\n".join([*(own() for _ in range(rng.randint(0, 4))), *run[:1], *[""] * (i % 7 == 0) * (i > 180), *run[1:], *(own() for _ in range(rng.randint(0, 4)))])))
+    rows += [(500, None), (501, ""), (502, "\n\n"), (503, "\n\n"), (504, f"alone {own()}\n{runs[0][0]}"), (505, "x\nx\nx"), (None, "p\nq"), (600, "o\np\nq"), (601, "\np\n\nr")]
+    seen, want = set(), {}
+    for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        text = (t or "").split("\n")
+        full = [k for k, x in enumerate(text) if x.strip()]
+        goes = set()
+        for a, b in zip(full, full[1:], strict=False):
+            piece = tuple(text[a : b + 1])
+            if piece in seen and i is not None:
+                goes |= set(range(a, b + 1))
+            seen.add(piece)
+        want[i] = t if t is None else "\n".join(x for k, x in enumerate(text) if k not in goes)
+    out = {r.doc_id: r for r in lines.without_repeats(documents(spark, rows), counts=True, runs=True).collect()}
+    assert {i: r.text for i, r in out.items()} == want
+    assert all(not set(runs[i % 60]) & set(out[i].text.split("\n")) for i in range(60, 180))
+    assert all(r.n_dropped == (r.text != t) and r.dropped_chars >= 0 for i, t in rows if t is not None and i is not None for r in [out[i]])
