@@ -62,6 +62,25 @@ def test_passages(spark):
     assert substrings.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_after_partial_quotes(spark):
+    rng = random.Random(11)
+    text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows, whole = [], {}
+    for p in range(12):
+        passage = text(60)
+        for k in range(12):  # of lower ids, and under the least length
+            start = rng.randrange(0, 21)
+            rows.append((p * 100 + k, " ".join(text(40) + passage[start : start + 40] + text(40))))
+        for k in (5000, 5001):
+            rows.append((k + p * 100, " ".join(text(rng.randint(30, 80)) + passage + text(50))))
+            whole[k + p * 100] = 5000 + p * 100
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(7)
+        out = {r.doc_id: r for r in substrings.repeated_passages(docs).collect()}
+        assert {d for d, r in out.items() if r.n_passages} == set(whole)
+        assert all(out[d].class_id == c and out[d].repeated_words >= 60 for d, c in whole.items())
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline as P
     from plumaria.llm import bpe
