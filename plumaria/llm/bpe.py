@@ -1,13 +1,16 @@
 r"""BPE encoding and decoding in batched numpy merge rounds.
 
 A tokenizer file of the tokenizers library (JSON; BPE with a suffix for word ends, NFC + white space + lower case, byte-level) gives
-vocabulary and merges; nothing is trained. Text is cut at ASCII white space, which no rule of the tokenizer looks across; the distinct
-words of a batch that are not in the cache are encoded together: their symbols lie in one flat array, the pairs of neighbours get their ranks by
-binary search over the sorted pair keys, and each round merges the pair of lowest rank in every word at once, until no word has one.
+vocabulary and merges; nothing is trained. Texts are cut into the pieces that merges work on; the distinct
+pieces of a batch that are not in the cache are encoded together: their symbols lie in one flat array, the pairs of neighbours get their ranks by
+binary search over the sorted pair keys, and each round merges the pair of lowest rank in every piece at once, until no piece has one.
+
+Texts whose characters outside ASCII are letters that the library's own rules treat plainly are cut by one pattern over bytes; other texts go through the library's normaliser
+and pre-tokeniser, so that its version of Unicode decides in every case.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string; texts of any length are whole; repeated doc_ids each
 give their row; strings of added tokens in a text become their ids, as in the library; other columns are ignored; an empty table gives no row.
-The cache holds at most `CACHE` words and starts anew beyond that.
+The cache holds at most `CACHE` pieces of `CACHE_BYTES` together and starts anew beyond that, between batches.
 """
 
 from __future__ import annotations
@@ -16,16 +19,16 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from plumaria.llm.common import WordIds, arrow_parts, arrow_rows, id_type, word_ids
+from plumaria.llm.common import WordIds, arrow_parts, arrow_rows, id_type
 
-CACHE = 600_000
-#: White space as Unicode's property has it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+CACHE, CACHE_BYTES = 500_000, 32_000_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -44,18 +47,23 @@ def byte_characters() -> list[str]:
 
 class Bpe:
     def __init__(self, path: str):
-        import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self.size = 1 + max([*self.vocab.values(), *self.added.values()])
         self.strings = [b""] * self.size
-        for text, i in [*self.vocab.items(), *self.added.items()]:
+        for text, i in self.vocab.items():
             self.strings[i] = text.encode()
+        for text, i in self.added.items():
+            self.strings[i] = text
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right, new = (np.array([self.vocab[x] for x in part], np.int64) for part in ([m[0] for m in merges], [m[1] for m in merges], [m[0] + m[1] for m in merges]))
         order = np.argsort(left * self.size + right, kind="stable")
@@ -63,54 +71,50 @@ class Bpe:
         #: Whether each token has one merge that makes it: then a merge's result cannot outrank the merge, and one round may merge all places.
         self.single = len(np.unique(new)) == len(new)
         chars = byte_characters()
+        self.byte_of = {c: b for b, c in enumerate(chars)}
         self.bytes = np.array([[self.vocab.get(c, -1), self.vocab.get(c + self.suffix, -1)] for c in chars], np.int64)
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", SPACE)
-        self.pattern, self.ascii = regex.compile(pattern), re.compile(pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", "a-z0-9"))
-        self.lines, self.ascii_lines = regex.compile(f"(?:{pattern})|\\n"), re.compile(f"(?:{self.ascii.pattern})|\\n")
-        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        # Over bytes: letters of more than one byte are runs of bytes from 0x80, where a text has no other such characters.
+        for unicode_class, plain in ((r"[\p{L}]", r"[a-z\x80-\xff]"), (r"[\p{N}]", "[0-9]"), (r"\p{L}\p{N}", r"a-z\x80-\xff0-9")):
+            pattern = pattern.replace(unicode_class, plain)
+        self.pattern = re.compile(pattern.encode())
+        self.specials = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
+        self.plain = {chr(i) for i in range(128)}
+        self.odd: set[str] = set()
         self.reset()
 
     def reset(self) -> None:
-        self.words = WordIds()
-        self.ids, self.count = [np.zeros(0, np.int32)], 0
-        self.lengths, self.decoded = [np.zeros(0, np.int64)], []
-
-    def pieces(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The byte strings that merges work on, the word each comes from, and an added token's id or -1.
-
-        The words go through the normaliser and the pattern in one string, a newline between: neither looks across it.
-        """
-        flat: list[bytes] = []
-        owner, fixed = [], []
-        for ascii_only in (True, False):
-            at = [i for i, w in enumerate(words) if w.isascii() == ascii_only and not (self.specials and b"<|" in w)]
-            if at:
-                text = b"\n".join([words[i] for i in at]).decode("utf-8", "replace")
-                found = (self.ascii_lines if ascii_only else self.lines).findall(self.normal(text))
-                ends = np.fromiter((p == "\n" for p in found), bool, len(found))
-                owner.append(np.array(at)[np.cumsum(ends)[~ends]])
-                flat += "\n".join([p for p in found if p != "\n"]).encode().split(b"\n") if len(found) > ends.sum() else []
-                fixed.append(np.full(int((~ends).sum()), -1))
-        for i, word in enumerate(words):
-            if self.specials and b"<|" in word:
-                for part in self.specials.split(word.decode("utf-8", "replace")):
-                    got = [b""] if part in self.added else [p.encode() for p in self.pattern.findall(self.normal(part))]
-                    flat += got
-                    owner.append(np.full(len(got), i))
-                    fixed.append(np.full(len(got), self.added.get(part, -1)))
-        if not flat:
-            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return flat, np.concatenate(owner), np.concatenate(fixed)
-
-    @staticmethod
-    def normal(text: str) -> str:
+        self.words, self.held = WordIds(), 0
+        self.ids, self.lengths, self.decoded = np.zeros(0, np.int32), np.zeros(0, np.int64), []
+
+    def probe(self, chars: set[str]) -> None:
+        """Sorts characters: plain are letters that no rule joins with a neighbour or changes otherwise than Python does."""
+        for c in chars:
+            low = c.lower()
+            letter = len(self.library.pre_tokenizer.pre_tokenize_str(f"a{low}a")) == 1
+            same = self.library.normalizer.normalize_str(f"a{c}a") == f"a{low}a" and not any(map(unicodedata.combining, unicodedata.normalize("NFC", f"a{low}")[1:]))
+            (self.plain if letter and same and len(low) == 1 and c != "Σ" and c < "\ud7a4" and not "\u1100" <= c <= "\u11ff" else self.odd).add(c)
+
+    def pieces(self, text: bytes) -> list[bytes]:
+        """The byte strings that merges work on; an added token stands as itself after a zero byte and a space, which no piece has."""
+        if self.specials and any(t in text for t in self.added):
+            out: list[bytes] = []
+            for part in self.specials.split(text):
+                out += [b"\0 " + part] if part in self.added else self.pieces(part) if part else []
+            return out
         if text.isascii():
-            return text.lower()
-        # White space only ends pieces, so runs of it may stay. Lower case goes by single characters: no rule for a sigma at a word's end.
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            return self.pattern.findall(text.lower())
+        said = text.decode("utf-8", "replace")
+        chars = set(said)
+        if not chars <= self.plain:
+            self.probe(chars - self.plain - self.odd)
+            if not chars <= self.plain:
+                found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(said))
+                return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in found]
+        return self.pattern.findall(said.lower().encode())
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, end to end, and how many each has."""
+        """Ids of all pieces, end to end, and how many each has."""
         raw = np.frombuffer(b"".join(words), np.uint8)
         n = np.array([len(w) for w in words], np.int64)
         last = np.zeros(len(raw), np.int64)
@@ -148,56 +152,56 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return sym[order].astype(np.int32), np.bincount(word, minlength=len(words))
 
-    def learn(self, words: list[bytes]) -> None:
-        """Adds ids and decoded text of new words to the cache, in order."""
-        flat, owner_ids, fixed_ids = self.pieces(words)
-        ids, n = self.merge(flat) if flat else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        whole = fixed_ids >= 0
-        if whole.any():
-            at = np.concatenate([[0], np.cumsum(n)])[:-1][whole]
-            ids, n = np.insert(ids, at, fixed_ids[whole].astype(np.int32)), n + whole
-        order = np.argsort(owner_ids, kind="stable")
-        begin = np.cumsum(n) - n
-        ids = ids[np.repeat(begin[order] - (np.cumsum(n[order]) - n[order]), n[order]) + np.arange(len(ids))]
-        lengths = np.bincount(owner_ids, weights=n, minlength=len(words)).astype(np.int64)
-        self.ids.append(ids)
-        self.lengths.append(lengths)
-        strings, listed, start = self.strings, ids.tolist(), 0
-        for length in lengths.tolist():
-            self.decoded.append(b" ".join([strings[i] for i in listed[start : start + length]]))
-            start += length
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, end to end, where each text's start; the texts' words, and where each text's start."""
-        if len(self.words) > CACHE:
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces, end to end, and how many each has."""
+        fixed = [i for i, w in enumerate(words) if w[:2] == b"\0 "]
+        plain = [b"" if w[:2] == b"\0 " else w for w in words] if fixed else words
+        ids, n = self.merge(plain) if any(plain) else (np.zeros(0, np.int32), np.zeros(len(words), np.int64))
+        if fixed:
+            at = (np.cumsum(n) - n)[fixed]
+            ids = np.insert(ids, at, [self.added[words[i][2:]] for i in fixed]).astype(np.int32)
+            n[fixed] += 1
+        return ids, n
+
+    def remember(self, words: list[bytes], texts: bool) -> None:
+        strings, found = self.strings, []
+        for i in range(0, len(words), 50_000):
+            ids, n = self.learn(words[i : i + 50_000])
+            found.append((ids, n))
+            if texts:
+                listed, start = ids.tolist(), 0
+                for length in n.tolist():
+                    self.decoded.append(b" ".join([strings[i] for i in listed[start : start + length]]))
+                    start += length
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+        self.lengths = np.concatenate([self.lengths, *(n for _, n in found)])
+        self.held += sum(map(len, words))
+
+    def encode(self, texts: list[bytes], decoded: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, where each text's start; the texts' pieces, and where each text's start. decoded: whether decoded_words() may be asked."""
+        if len(self.words) > CACHE or self.held > CACHE_BYTES:
             self.reset()
         known = len(self.words)
-        words, starts = word_ids(texts, self.words)
+        pieces, starts, get = array("q"), np.zeros(len(texts) + 1, np.int64), self.words.__getitem__
+        for i, text in enumerate(texts):
+            pieces.extend(map(get, self.pieces(text)))
+            starts[i + 1] = len(pieces)
         if len(self.words) > known:
-            fresh = list(self.words)[known:] if known == 0 else _from(self.words, known)
-            for i in range(0, len(fresh), 50_000):
-                self.learn(fresh[i : i + 50_000])
-            self.ids, self.lengths = [np.concatenate(self.ids)], [np.concatenate(self.lengths)]
-        ids, lengths = self.ids[0], self.lengths[0]
-        begin = np.cumsum(lengths) - lengths
-        n = lengths[words]
+            self.remember(list(islice(self.words, known, None)), decoded)
+        at = np.frombuffer(pieces, np.int64) if pieces else np.zeros(0, np.int64)
+        n = self.lengths[at]
         total = np.concatenate([[0], np.cumsum(n)])
-        flat = ids[np.repeat(begin[words] - total[:-1], n) + np.arange(total[-1])] if len(words) else np.zeros(0, np.int32)
-        return flat, total[starts], words, starts
+        begin = np.cumsum(self.lengths) - self.lengths
+        flat = self.ids[np.repeat(begin[at] - total[:-1], n) + np.arange(total[-1])] if len(at) else np.zeros(0, np.int32)
+        return flat, total[starts], at, starts
 
     def decode(self, ids: np.ndarray) -> bytes:
         """As the library does without a decoder: the tokens' strings, a space between."""
         return b" ".join([self.strings[i] for i in ids.tolist()])
 
-    def decoded_words(self, words: np.ndarray) -> bytes:
-        """decode() of the ids of these words of the cache."""
-        return b" ".join([d for d in map(self.decoded.__getitem__, words.tolist()) if d])
-
-
-def _from(words: dict, start: int) -> list[bytes]:
-    from itertools import islice
-
-    return list(islice(words, start, None))
+    def decoded_words(self, pieces: np.ndarray) -> bytes:
+        """decode() of the ids of these pieces of the cache."""
+        return b" ".join([d for d in map(self.decoded.__getitem__, pieces.tolist()) if d])
 
 
 @lru_cache(2)
@@ -213,8 +217,8 @@ def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        bpe = loaded(path)
-        for batch, texts in arrow_parts(batches, 4_000_000):
+        bpe = Bpe(path)
+        for batch, texts in arrow_parts(batches):
             ids, starts, *_ = bpe.encode(texts)
             yield arrow_rows({"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))})
 
@@ -226,7 +230,7 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches):
-        bpe = loaded(path)
+        bpe = Bpe(path)
         for batch in batches:
             rows = batch.column("ids").to_pylist()
             yield arrow_rows({"doc_id": batch.column("doc_id"), "decoded": [bpe.decode(np.array(r or [], np.int64)).decode() for r in rows]})
@@ -242,14 +246,14 @@ def bpe_digests(docs: DataFrame, path: str | None = None, with_ids: bool = False
         import pyarrow as pa
 
         bpe = loaded(path)
-        for batch, texts in arrow_parts(batches, 4_000_000):
-            ids, starts, words, word_starts = bpe.encode(texts)
+        for batch, texts in arrow_parts(batches):
+            ids, starts, pieces, piece_starts = bpe.encode(texts)
             raw = ids.astype("<u4")
             out = {
                 "doc_id": batch.column("doc_id"),
                 "n_tokens": np.diff(starts),
                 "ids_sha256": [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(starts, starts[1:], strict=False)],
-                "decoded_sha256": [hashlib.sha256(bpe.decoded_words(words[a:b])).hexdigest() for a, b in zip(word_starts, word_starts[1:], strict=False)],
+                "decoded_sha256": [hashlib.sha256(bpe.decoded_words(pieces[a:b])).hexdigest() for a, b in zip(piece_starts, piece_starts[1:], strict=False)],
             }
             if with_ids:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))

@@ -2,9 +2,13 @@ r"""Chat formatting in budgeted windows, with DataFrame functions alone.
 
 Each conversation becomes windows of whole turns. The prefix sums of the turns' tokens choose the spans: turn i goes to
 bucket ``sum of the tokens before it // quota``, a new bucket starts a window, and a turn above the quota has a window of
-its own. As the quota is half of what the budget leaves beside the system turn and the history, a window of turns within
-the quota never exceeds the budget. Each window after the first repeats the system turn and up to `history_turns`
-turns before it (within `history_tokens`); only new assistant texts are under the loss mask, so each is learnt once.
+its own. Each window after the first repeats the system turn and up to `history_turns`
+turns before it; only new assistant texts are under the loss mask, so each is learnt once.
+
+With s tokens in the system turn, history may take h = `history_tokens` or a quarter of ``budget - s``, whichever is less, and the quota is half of
+``budget - s - h``. The turns of a bucket, but for its last, have less than the quota together, and the last has the quota at most, so a window of them never
+exceeds the budget. A turn above the quota has as much history as still fits; its window exceeds the budget, and is flagged, only where the
+turn and the system turn alone do. Every count is that of `tokens`, for new turns, history and system turn alike.
 
 A turn reads ``<|im_start|>role\ntext<|im_end|>\n``. Within texts ``<`` + backslashes + ``|`` gets one more backslash, so no
 text holds a control string and the way back is exact; roles also percent-encode ``%``, ``<`` and newline.
@@ -63,8 +67,11 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history_tokens: int = 256
         "at": F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)),
     } | {f"h{k}": F.lag(F.struct("piece", "tok", "is_sys"), k).over(order) for k in range(1, history_turns + 1)})
     sys_tok = F.coalesce(F.col("sys.tok"), F.lit(0))
-    rows = rows.withColumn("quota", F.greatest(F.lit(16), F.floor((F.lit(budget - history_tokens) - sys_tok) / 2)).cast("long"))
+    rows = rows.withColumn("room", F.lit(budget) - sys_tok)
+    rows = rows.withColumn("cap", F.least(F.lit(history_tokens), F.greatest(F.lit(0), F.floor(F.col("room") / 4))).cast("long"))
+    rows = rows.withColumn("quota", F.greatest(F.lit(1), F.floor((F.col("room") - F.col("cap")) / 2)).cast("long"))
     rows = rows.withColumn("bucket", F.floor(F.col("cum") / F.col("quota"))).withColumn("long", F.col("tok") > F.col("quota"))
+    rows = rows.withColumn("cap", F.when(F.col("long"), F.least("cap", F.col("room") - F.col("tok"))).otherwise(F.col("cap")))
     fresh = (F.col("bucket") != F.lag("bucket").over(order)) | F.col("long") | F.lag("long").over(order)
     after_sys = F.lag("is_sys").over(order)
     rows = rows.withColumn("fresh", F.when(F.col("idx") == 1, True).when(after_sys, False).otherwise(fresh))
@@ -74,14 +81,14 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history_tokens: int = 256
     for k in range(1, history_turns + 1):
         h = F.col(f"h{k}")
         total = total + h["tok"]
-        fits = fits & F.coalesce(~h["is_sys"] & (total <= history_tokens), F.lit(False))
-        history.insert(0, F.when(fits, h["piece"]))
-    rows = rows.withColumn("history", F.array_compact(F.array(*history) if history else F.array().cast("array<string>")))
+        fits = fits & F.coalesce(~h["is_sys"] & (total <= F.col("cap")), F.lit(False))
+        history.insert(0, F.when(fits, F.struct(h["piece"].alias("piece"), h["tok"].alias("tok"))))
+    rows = rows.withColumn("history", F.array_compact(F.array(*history) if history else F.array().cast("array<struct<piece: string, tok: bigint>>")))
     windows = rows.groupBy("conv_id", "window_no").agg(
         F.array_sort(F.collect_list(F.struct("idx", "role", "head", "at", "piece", F.length(F.expr(r"substr(piece, head + 1)")).alias("rest")))).alias("new"),
         F.min_by("history", "idx").alias("history"), F.first("sys", ignorenulls=True).alias("sys"), F.sum("tok").alias("tok"),
     )
-    context = F.when(F.col("window_no") > 1, F.concat(F.when(F.col("sys").isNotNull(), F.array("sys.piece")).otherwise(F.array().cast("array<string>")), F.col("history"))).otherwise(F.array().cast("array<string>"))
+    context = F.when(F.col("window_no") > 1, F.concat(F.when(F.col("sys").isNotNull(), F.array("sys.piece")).otherwise(F.array().cast("array<string>")), F.transform("history", lambda x: x["piece"]))).otherwise(F.array().cast("array<string>"))
     windows = windows.withColumn("context", context).withColumn("ctx", F.array_join("context", ""))
     spans = F.transform(
         F.filter("new", lambda t: t["role"] == "assistant"),
@@ -90,7 +97,7 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history_tokens: int = 256
     return windows.select(
         "conv_id", "window_no", F.concat("ctx", F.array_join(F.transform("new", lambda t: t["piece"]), "")).alias("formatted"), spans.alias("loss_spans"),
         F.size("context").alias("n_context"), F.size("new").alias("n_turns"),
-        (F.col("tok") + F.when(F.col("window_no") > 1, F.coalesce(F.col("sys.tok"), F.lit(0)) + F.aggregate("history", F.lit(0).cast("long"), lambda s, x: s + F.floor(F.length(x) / 4))).otherwise(0)).alias("tokens"),
+        (F.col("tok") + F.when(F.col("window_no") > 1, F.coalesce(F.col("sys.tok"), F.lit(0)) + F.aggregate("history", F.lit(0).cast("long"), lambda s, x: s + x["tok"])).otherwise(0)).alias("tokens"),
     ).withColumn("over_budget", F.col("tokens") > budget)
 
 
@@ -133,13 +140,14 @@ WITH given AS (
     coalesce(sum(CASE WHEN is_sys THEN 0 ELSE tok END) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum,
     lag(tok, 1) OVER o AS t1, lag(tok, 2) OVER o AS t2, lag(piece, 1) OVER o AS p1, lag(piece, 2) OVER o AS p2, lag(is_sys, 1) OVER o AS s1, lag(is_sys, 2) OVER o AS s2
   FROM s WINDOW o AS (PARTITION BY conv_id ORDER BY idx)
-), q AS (SELECT *, greatest(16, (768 - coalesce(sys_tok, 0)) // 2) AS quota FROM c
-), b AS (SELECT *, cum // quota AS bucket, tok > quota AS long FROM q
+), m AS (SELECT *, 1024 - coalesce(sys_tok, 0) AS room, least(256, greatest(0, floor((1024 - coalesce(sys_tok, 0)) / 4.0))) AS most FROM c
+), q AS (SELECT *, greatest(1, floor((room - most) / 2.0)) AS quota FROM m
+), b AS (SELECT *, floor(cum / quota) AS bucket, tok > quota AS long, CASE WHEN tok > quota THEN least(most, room - tok) ELSE most END AS cap FROM q
 ), f AS (
   SELECT *, CASE WHEN idx = 1 THEN 1 WHEN s1 THEN 0 WHEN bucket <> lag(bucket) OVER o OR long OR lag(long) OVER o THEN 1 ELSE 0 END AS fresh
   FROM b WINDOW o AS (PARTITION BY conv_id ORDER BY idx)
 ), h AS (
-  SELECT *, CASE WHEN fresh = 1 AND idx > 1 THEN coalesce(sys_piece, 0) + CASE WHEN NOT s1 AND t1 <= 256 THEN p1 + CASE WHEN coalesce(NOT s2 AND t1 + t2 <= 256, false) THEN p2 ELSE 0 END ELSE 0 END ELSE 0 END AS again FROM f
+  SELECT *, CASE WHEN fresh = 1 AND idx > 1 THEN coalesce(sys_piece, 0) + CASE WHEN NOT s1 AND t1 <= cap THEN p1 + CASE WHEN coalesce(NOT s2 AND t1 + t2 <= cap, false) THEN p2 ELSE 0 END ELSE 0 END ELSE 0 END AS again FROM f
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN chars ELSE 0 END) AS BIGINT) AS loss_chars,

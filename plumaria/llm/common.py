@@ -24,17 +24,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine's only where the session names none."""
+    """The folder that driver and executors share, which the session names.
+
+    Only a session in one process may do without: it gets a folder of this machine. Elsewhere executors would each write to a disk of their own.
+    """
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not (spark.conf.get("spark.master", "") or "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = os.path.join(tempfile.gettempdir(), "plumaria-shared")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of intermediate tables, in whatever store they are."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Folders of intermediate tables that this process wrote; what an operator returns may still read them.
+WRITTEN: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all intermediate tables so far. To be called when the results that were made of them are stored."""
+    while WRITTEN:
+        remove(spark, WRITTEN.pop())
+
+
+def spare(columns, name: str) -> str:
+    """name, or name with underscores after it, that no column has (letter case does not part names)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_long_ids(docs: DataFrame) -> DataFrame:
+    """docs with doc_id as long. Operators that name classes by the least id take integers; other types raise here, not in a task."""
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be an integer, not {kind}")
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, so a lost executor costs no more than its own tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumaria-{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
@@ -120,18 +159,36 @@ def shingles(texts: list[bytes], words: WordHashes, size: int = SHINGLE) -> tupl
     return mixed(out[keep]), first
 
 
-def arrow_parts(batches: Iterator, size: int = 8_000_000) -> Iterator:
-    """(record batch, its texts in UTF-8), of about `size` bytes of text at most (a longer text comes alone)."""
+def byte_cuts(columns: list, size: int) -> list[int]:
+    """Where to cut rows so that each part has about `size` bytes of these string columns at most; a longer row comes alone."""
+    import pyarrow.compute as pc
+
+    lengths = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    ends, cuts = np.cumsum(lengths), [0]
+    while cuts[-1] < len(ends):
+        start = cuts[-1]
+        before = int(ends[start - 1]) if start else 0
+        cuts.append(max(int(np.searchsorted(ends, before + size, side="right")), start + 1))
+    return cuts
+
+
+def utf8(column) -> list[bytes]:
+    """The strings of a column as bytes; null is empty."""
+    import pyarrow as pa
+
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def arrow_parts(batches: Iterator, size: int = 2_000_000) -> Iterator:
+    """(record batch, its texts in UTF-8), of about `size` bytes of text at most (a longer text comes alone).
+
+    The batch is cut before anything of it becomes Python objects, so these take `size` bytes at a time, whatever the batch has.
+    """
     for batch in batches:
-        texts = [encoded(t) for t in batch.column("text").to_pylist()]
-        start = total = 0
-        for i, text in enumerate(texts):
-            if i > start and total + len(text) > size:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, total = i, 0
-            total += len(text)
-        if texts:
-            yield batch.slice(start), texts[start:]
+        cuts = byte_cuts([batch.column("text")], size)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(a, b - a)
+            yield part, utf8(part.column("text"))
 
 
 def arrow_rows(columns: dict):
@@ -148,21 +205,30 @@ def id_type(docs: DataFrame) -> str:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of edges (a, b): (id, root) for every id in them, root the least id.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014); every step is written to the shared folder,
-    and no link or label is collected. Ids without an edge are absent.
+    Alternates large-star and small-star steps (Kiveris et al., 2014); every step is written to the shared folder, its predecessor deleted,
+    and no link or label is collected: two numbers tell whether a round changed anything. Least neighbours are tables of their own, so that
+    where a star's centre has a large share of the edges, the join with them is split at run time. Ids without an edge are absent.
     """
+    spark = edges.sparkSession
+    state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    for _ in range(rounds):
-        near = both(edges).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    now = state(edges)
+    for _ in range(rounds if now[0] else 0):
+        folders = WRITTEN[-1:]
+        near = written(both(edges).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "near")
         large = both(edges).join(near, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        folders += WRITTEN[-1:]
         new = written(small.where("a <> b").distinct(), "edges")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            break
+        before, now = now, state(new)
+        remove(spark, *folders)
         edges = new
+        if now == before:
+            break
     else:
-        raise RuntimeError("components did not settle")
+        if now[0]:
+            raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from plumaria.llm.bpe import Bpe, default_path
 from plumaria.llm.common import arrow_parts, arrow_rows, shared_dir, written
 
-BLOCK, RATE, PAIRS, TOGETHER = 4096, 24, 4096, 256
+BLOCK, RATE, PAIRS, TOGETHER = 4096, 24, 4096, 1024
 #: Steps before which the order-0 shares are computed anew from the counts so far.
 FRESH = frozenset([0, 64, 192, 448, 960, 1984])
 U = np.uint64
 MASK32, SHIFT16, SHIFT32 = U(0xFFFFFFFF), U(16), U(32)
-STRETCH = np.array([int(round(256 * np.log((p + 0.5) / (4096.5 - p)))) for p in range(4097)], np.int64)
+STRETCH = np.array([int(round(256 * np.log((p + 0.5) / (4096.5 - p)))) for p in range(4097)], np.int32)
 #: In 65,536ths; a miss keeps a sixteenth, so that each place, of 16 of 65,536 at least, keeps a share.
-SQUASH = np.array([min(61440, max(32, int(round(65536 / (1 + np.exp(-x / 256)))))) for x in range(-2048, 2048)], np.int64)
+SQUASH = np.array([min(61440, max(32, int(round(65536 / (1 + np.exp(-x / 256)))))) for x in range(-2048, 2048)], np.int32)
 
 
 class Coder:
@@ -60,8 +60,8 @@ class Coder:
         n = len(start)
         low, span = self.low[:n], self.range[:n]
         span >>= SHIFT16
-        low += span * start.view(U)
-        span *= size.view(U)
+        low += span * start
+        span *= size
         lanes = np.flatnonzero(span <= MASK32)
         if len(lanes):
             lo, sp = low[lanes], span[lanes]
@@ -96,10 +96,10 @@ def coded(places: np.ndarray | None, lengths: np.ndarray, kinds: np.ndarray, wor
     lane_of, ends = np.repeat(every, kinds + 1), at_k + kinds
     counts = np.ones(len(lane_of), np.int64)
     counts[ends] = 0
-    cum, freq, slots = np.zeros(len(lane_of), np.int32), np.zeros(len(lane_of), np.int32), np.zeros(lanes * 4096 * (places is None), np.int16)
-    one, two = np.zeros(len(lane_of), np.int32), np.zeros(lanes * PAIRS, np.int32)  # the place that followed plus 1, times 8, plus a confidence of 1 to 7
-    p2, p1 = np.full(lanes * 8, 32768), np.full(lanes * 16, 32768)
-    w2, w1, w0 = (np.full(lanes, 22000) for _ in range(3))
+    cum, level, slots = np.zeros(len(lane_of), np.uint32), np.zeros(len(lane_of) + 1, np.int16), np.zeros(lanes * 4096 * (places is None), np.int16)
+    one, two = np.zeros(len(lane_of), np.uint16), np.zeros(lanes * PAIRS, np.uint16)  # the place that followed plus 1, times 8, plus a confidence of 1 to 7
+    p2, p1 = np.full(lanes * 8, 32768, np.int32), np.full(lanes * 16, 32768, np.int32)
+    w2, w1, w0 = (np.full(lanes, 22000, np.int32) for _ in range(3))
     a = b = kinds
     first, at_pairs, at_8, at_16, at_slots = at_k, every * PAIRS, every * 8, every * 16, every * 4096
     n, since, live = lanes, 0, (lengths[:, None] > np.arange(steps)).sum(0).tolist()
@@ -115,25 +115,24 @@ def coded(places: np.ndarray | None, lengths: np.ndarray, kinds: np.ndarray, wor
             share = (counts * np.repeat(scale, kinds + 1) >> 15) + 16
             share[ends] = 0
             share[ends - 1] += 65536 - np.add.reduceat(share, first)
-            freq[:] = share
+            level[1:] = STRETCH.take(share >> 4)  # of place k at k + 1: a guess is kept plus 1
             cum[:] = np.cumsum(share) - share - 65536 * lane_of
             cum[ends] = 65536
             if places is None:  # the place at each 16th of the range: no share is less, so the one sought is it or the next
                 slots[:] = 0
-                slots[np.delete(lane_of * 4096 + (cum + 15 >> 4), ends)] = 1
+                slots[np.delete(lane_of * 4096 + (cum.astype(np.int64) + 15 >> 4), ends)] = 1
                 slots = (np.cumsum(slots.reshape(lanes, 4096), 1, dtype=np.int16) - np.int16(1)).ravel()
-        i1, i2 = at_k + b, at_pairs + ((a * 40503 + b * 2654435 >> 3) & PAIRS - 1)
-        e1, e2 = one.take(i1).astype(np.int64), two.take(i2).astype(np.int64)
-        e = np.where(e2 > 0, e2, e1)
-        key, key1 = e >> 3, e1 >> 3
-        has = (key > 0).astype(np.int64)
-        guess = key - 1
+        i1, i2 = at_k + b, at_pairs + (a * 2053 + b & PAIRS - 1)
+        e1, e2 = one.take(i1), two.take(i2)
+        key1 = e1 >> 3
+        key = np.where(e2, e2, e1) >> 3
         i_p2, i_p1 = at_8 + (e2 & 7), at_16 + ((e1 & 7) * 2 + (key1 == key))
         v2, v1 = p2.take(i_p2), p1.take(i_p1)
-        s2, s1, s0 = STRETCH.take(v2 >> 4), STRETCH.take(v1 >> 4), STRETCH.take(freq.take(at_k + np.maximum(guess, 0)) >> 4)
+        s2, s1, s0 = STRETCH.take(v2 >> 4), STRETCH.take(v1 >> 4), level.take(at_k + key)
         dot = w2 * s2 + w1 * s1 + w0 * s0 >> 16
-        p = SQUASH.take(np.maximum(np.minimum(dot, 2047), -2048) + 2048) * has
-        q = 65536 - p
+        # Without a guess what is left is the least share, so that q stays below 65,536 and products in 32 bits.
+        p = np.where(key, SQUASH.take(np.maximum(np.minimum(dot, 2047), -2048) + 2048), 16)
+        q = (65536 - p).view(np.uint32)
         if places is None:
             x = coder.target(n)
             hit = x < p
@@ -142,25 +141,25 @@ def coded(places: np.ndarray | None, lengths: np.ndarray, kinds: np.ndarray, wor
             y = np.minimum(y, 65535)
             sym = slots.take(at_slots + (y >> 4)).astype(np.int64)
             sym += y >= cum.take(at_k + sym + 1)
-            sym = np.where(hit, guess, sym)
+            sym = np.where(hit & (key > 0), key.astype(np.int64) - 1, sym)
             out[t, :n] = sym
         else:
             sym = places[t, :n]
-            hit = sym == guess
+            hit = sym + 1 == key
         i = at_k + sym
-        c = cum.take(i)
-        start = c * q >> 16
-        size = ((c + freq.take(i)) * q >> 16) - start
-        coder.take(np.where(hit, 0, start + p), np.where(hit, p, size))
+        start = cum.take(i) * q >> 16
+        size = (cum.take(i + 1) * q >> 16) - start
+        coder.take(np.where(hit, 0, start + p.view(np.uint32)), np.where(hit, p.view(np.uint32), size))
         # What was coded teaches every order.
-        top = hit * 65535
-        p2[i_p2] = v2 + ((top - v2) * has >> 5)
-        p1[i_p1] = v1 + ((top - v1) * has >> 5)
-        error = (top - p) * has * 3 >> 3
+        top = np.where(hit, np.int32(65535), np.int32(0))
+        p2[i_p2] = v2 + (top - v2 >> 5)
+        p1[i_p1] = v1 + (top - v1 >> 5)
+        error = (top - p) * 3 >> 3
         w2 += s2 * error >> 12
         w1 += s1 * error >> 12
         w0 += s0 * error >> 12
-        new, fresh = sym + 1, (sym << 3) + 9
+        new = (sym + 1).astype(np.uint16)
+        fresh = (new << 3) + 1
         one[i1] = np.where(key1 == new, e1 + ((e1 & 7) < 7), fresh)
         two[i2] = np.where(e2 >> 3 == new, e2 + ((e2 & 7) < 7), fresh)
         a, b = b, sym
@@ -189,7 +188,7 @@ def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> byte
     lengths = np.array([len(b) for b in blocks], np.int64)
     words = coded(places, lengths, np.array([len(k) for k in kinds], np.int64))
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    head = struct.pack("<5sqqq", b"PLID2", len(doc_ids), len(ids), len(blocks)) + known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + counts.astype("<i8").tobytes()
+    head = struct.pack("<5sqqq", b"PLID3", len(doc_ids), len(ids), len(blocks)) + known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + counts.astype("<i8").tobytes()
     parts = [head]
     for block, distinct, coded_words in zip(blocks, kinds, words, strict=True):
         listed = zlib.compress(np.diff(distinct, prepend=0).astype("<u4").tobytes(), 1)
@@ -200,7 +199,7 @@ def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> byte
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, counts and ids of a segment. Raises ValueError where a checksum does not hold."""
     magic, docs, total, n = struct.unpack_from("<5sqqq", data)
-    if magic != b"PLID2":
+    if magic != b"PLID3":
         raise ValueError("not a segment of token ids")
     at = struct.calcsize("<5sqqq")
     known = np.frombuffer(data, np.uint8, docs, at)
@@ -225,37 +224,28 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class LibraryIds(Bpe):
-    """Ids by the tokenizers library itself, each distinct word of a worker's texts once: no rule of the tokenizer looks across ASCII white space."""
+    """Ids by the tokenizers library itself, each distinct piece of a worker's texts once: its pre-tokeniser keeps pieces with a space between apart."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         super().__init__(path)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        plain = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self.mark = min(plain, default=None)
-
-    def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        return np.array([i for f in found for i in f], np.int32), np.array([len(f) for f in found], np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        """The library splits a text at added tokens before all else, so words between such marks get the ids they get alone, and many come in one call."""
-        texts = [w.decode("utf-8", "replace") for w in words]
+        suffix = self.suffix.encode()
+        #: Whether a token ends a piece: the last of each piece has the suffix, and no other.
+        self.ends = np.array([bool(suffix) and x.endswith(suffix) for x in self.strings])
+        self.ends[list(self.added.values())] = True
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.removeprefix(b"\0 ").decode("utf-8", "replace") for w in words]
         groups = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
-        mark_id, mark = self.mark or (None, None)
-        joined = self.library.encode_batch_fast(["" if mark is None else mark.join(g) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, joined, strict=True):
-            ids = np.array([*e.ids, mark_id if mark else -1], np.int32)
-            at = np.flatnonzero(ids == mark_id) if mark else ()
-            if len(at) == len(group):
-                ids, lengths = ids[ids != mark_id], np.diff(at, prepend=-1) - 1
-            else:  # a word holds the mark itself
-                ids, lengths = self.one_by_one(group)
-            self.ids.append(ids)
-            self.lengths.append(lengths)
+        found, lengths = [], []
+        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            n = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(n) != len(group) or n.sum() != len(ids):  # no suffix in this file, or a piece that is cut again
+                each = [x.ids for x in self.library.encode_batch_fast(group, add_special_tokens=False)]
+                ids, n = np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+            found.append(ids)
+            lengths.append(n)
+        return np.concatenate(found), np.concatenate(lengths)
 
 
 @lru_cache(2)
@@ -277,8 +267,8 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 1, segment
         import pyarrow as pa
 
         coder = library(path)
-        for batch, texts in arrow_parts(batches, 4_000_000):
-            ids, starts, *_ = coder.encode(texts)
+        for batch, texts in arrow_parts(batches):
+            ids, starts, *_ = coder.encode(texts, decoded=False)
             small = max(int(ids.max(initial=0)), end_id) < 1 << 16
             raw, end = (ids.astype("<u2"), struct.pack("<H", end_id)) if small else (ids.astype("<u4"), struct.pack("<I", end_id))
             yield arrow_rows({"doc_id": batch.column("doc_id"), "ids": pa.array([raw[a:b].tobytes() + end for a, b in zip(starts, starts[1:], strict=False)], pa.binary()), "small": [small] * batch.num_rows})

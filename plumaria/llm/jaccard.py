@@ -12,16 +12,16 @@ A document is the set of its 5-word shingles (case-folded words); links are pair
    number of links and one edge to the least node it is connected with there. Classes are the connected components of these edges.
 
 Defined cases: a text of 1 to 4 words has one shingle, all its words; texts without words (null, empty) and rows with a null doc_id have no links and form
-classes of their own; rows that repeat a doc_id are one document with several texts; links count documents, copies included, without the document itself.
+classes of their own; ids of another type than integers raise a TypeError; rows that repeat a doc_id are one document with several texts; links count documents, copies included, without the document itself.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumaria.llm.common import SIMILARITY, WordHashes, arrow_parts, arrow_rows, components, id_type, mixed, shingles, written
+from plumaria.llm.common import SIMILARITY, WordHashes, arrow_parts, arrow_rows, byte_cuts, components, mixed, shingles, spare, utf8, with_long_ids, written
 
 SAMPLES = 48
 WORD_LIMIT = 1 << 20
@@ -53,7 +53,7 @@ def sampled_sets(docs: DataFrame) -> DataFrame:
                 "sample": pa.ListArray.from_arrays(np.arange(0, SAMPLES * len(texts) + 1, SAMPLES, dtype=np.int32), sample.ravel()),
             })
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {id_type(docs)}, text_hash long, s1 long, s2 long, sample array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, s1 long, s2 long, sample array<int>")
 
 
 def bucket_links(sets: list[np.ndarray], copies: np.ndarray, skip: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +88,7 @@ def bucket_links(sets: list[np.ndarray], copies: np.ndarray, skip: np.ndarray, s
 
 def near_duplicates(docs: DataFrame, runs: int = 8, limit: int = 256, depth: int = 3, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, class_id, n_links), a row for each row of docs; class_id is the least doc_id of the class."""
-    docs = docs.select("doc_id", "text")
+    docs = with_long_ids(docs.select("doc_id", "text"))
     sets = written(sampled_sets(docs), "sets")
     real = sets.where("s1 is not null and doc_id is not null")
     nodes = real.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "text_hash")).alias("name"), F.countDistinct("doc_id").alias("copies"), F.max("sample").alias("sample"))
@@ -158,13 +158,13 @@ def near_duplicates(docs: DataFrame, runs: int = 8, limit: int = 256, depth: int
 
 
 def _shared(paths: DataFrame) -> DataFrame:
-    """paths that two nodes or more share, with n, how many."""
-    n = paths.groupBy("run", "path").agg(F.count("*").alias("n")).where("n > 1")
+    """paths that two nodes or more share, with n, how many. The counts are a table of their own, so that the rows of a path that many share are split at run time."""
+    n = written(paths.groupBy("run", "path").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     return paths.join(n, ["run", "path"])
 
 
-def _groups(batches, rows: int = 512):
-    """Whole buckets, many at a time, of batches in the order of buckets."""
+def _groups(batches, size: int = 1_000_000):
+    """Whole buckets, some `size` bytes of text at a time (a bucket of more comes alone), of batches in the order of buckets."""
     import pyarrow as pa
 
     held: list[pa.RecordBatch] = []
@@ -173,12 +173,13 @@ def _groups(batches, rows: int = 512):
         n = batch.num_rows
         return {
             "bucket": batch.column("bucket").to_numpy(), "run": batch.column("run").to_numpy(), "side": batch.column("side").to_numpy(), "doc_id": batch.column("doc_id").to_numpy(), "copies": batch.column("copies").to_numpy(),
-            "paths": batch.column("all_paths").combine_chunks().flatten().to_numpy().reshape(n, -1), "text": [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()],
+            "paths": batch.column("all_paths").combine_chunks().flatten().to_numpy().reshape(n, -1), "text": utf8(batch.column("text")),
         }
 
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            held.append(batch.slice(start, rows))
+        cuts = byte_cuts([batch.column("text")], size)
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            held.append(batch.slice(start, end - start))
             whole = pa.Table.from_batches(held)
             buckets = whole.column("bucket").to_numpy()
             before = np.flatnonzero(buckets != buckets[-1])
@@ -191,6 +192,12 @@ def _groups(batches, rows: int = 512):
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each class: that of the least doc_id. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs, **how).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one document of each class: that of the least doc_id. Rows with a null doc_id stay; of rows that repeat their doc_id and text one stays."""
+    found = near_duplicates(docs, **how)
+    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if found.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        return kept
+    rank, columns = spare(docs.columns, "rank"), [F.col(f"`{c}`") for c in docs.columns]
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*columns))
+    return kept.withColumn(rank, F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order))).where(F.col(rank) == 1).select(*columns)

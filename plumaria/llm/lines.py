@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumaria.llm.common import arrow_parts, arrow_rows, id_type, written
+from plumaria.llm.common import arrow_parts, arrow_rows, id_type, spare, written
 
 WINDOW, DIVISOR, LEAST, MOST = 2, 3, 2, 64
 BASE = 0x9E3779B97F4A7C15
@@ -106,11 +106,12 @@ def repeated_chunks(docs: DataFrame, runs: bool = False) -> DataFrame:
     """(doc_id, text_hash, drop array<long>): the chunks that each text loses."""
     place = F.struct("doc_id", "text_hash", "chunk_no")
     repeated = chunk_rows(docs, False, runs).select("h1", "h2", place.alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    repeated = repeated.where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first")
+    # A table of its own, and so is that of first bytes: Spark splits the rows of a frequent chunk at run time only where both sides of the join come straight from an exchange.
+    repeated = written(repeated.where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"), "repeated")
     # Written once: else the bytes of all chunks would be shuffled for either side below.
     members = written(chunk_rows(docs, True, runs).select("h1", "h2", place.alias("at"), "chunk").join(repeated, ["h1", "h2"]), "chunks")
     # Only bytes of repeated chunks come this far. The first's bytes go to the others by hash, then are compared.
-    first = members.where(F.col("at").eqNullSafe(F.col("first"))).groupBy("h1", "h2").agg(F.min("chunk").alias("bytes"))
+    first = written(members.where(F.col("at").eqNullSafe(F.col("first"))).groupBy("h1", "h2").agg(F.min("chunk").alias("bytes")), "first")
     others = members.where(~F.col("at").eqNullSafe(F.col("first"))).select("h1", "h2", "at", "chunk")
     same = others.join(first, ["h1", "h2"]).where("chunk = bytes")
     return same.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(F.collect_set("at.chunk_no").alias("drop"))
@@ -118,23 +119,24 @@ def repeated_chunks(docs: DataFrame, runs: bool = False) -> DataFrame:
 
 def without_repeats(docs: DataFrame, counts: bool = False, runs: bool = False) -> DataFrame:
     """docs with shorter texts; with counts also n_lines, n_chunks, n_dropped, dropped_chars (long)."""
-    names = [c for c in docs.columns if c not in ("__h", "__drop")]
-    drop = repeated_chunks(docs, runs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h2"), F.col("drop").alias("__drop"))
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    joined = keyed.join(drop, (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__h2")), "left").select(*names, "__drop")
+    names = docs.columns
+    own, gone, other, hashed = (spare(names, n) for n in ("own_hash", "gone", "other_id", "other_hash"))
+    drop = repeated_chunks(docs.select("doc_id", "text"), runs).select(F.col("doc_id").alias(other), F.col("text_hash").alias(hashed), F.col("drop").alias(gone))
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    joined = keyed.join(drop, (F.col("doc_id") == F.col(other)) & (F.col(own) == F.col(hashed)), "left").select(*(f"`{c}`" for c in names), gone)
     extra = ["n_lines", "n_chunks", "n_dropped", "dropped_chars"] if counts else []
 
     def run(batches):
         import pyarrow as pa
 
         for batch, texts in arrow_parts(batches):
-            drops = batch.column("__drop").to_pylist()
+            drops = batch.column(gone).to_pylist()
             new, told = batch.column("text").to_pylist(), []
-            for i, (text, gone) in enumerate(zip(texts, drops, strict=True)):
-                if gone or counts:
-                    gone = set(gone or ())
-                    chunks = stretches(text, gone) if runs else [(n, c, k in gone) for k, (n, c) in enumerate(chunks_of(text))]
-                    if gone:
+            for i, (text, lost) in enumerate(zip(texts, drops, strict=True)):
+                if lost or counts:
+                    lost = set(lost or ())
+                    chunks = stretches(text, lost) if runs else [(n, c, k in lost) for k, (n, c) in enumerate(chunks_of(text))]
+                    if lost:
                         new[i] = b"\n".join([c for _, c, goes in chunks if not goes]).decode("utf-8", "surrogatepass")
                     told.append((sum(n for n, _, _ in chunks), len(chunks), sum(goes for _, _, goes in chunks), sum(len(c.decode("utf-8", "replace")) for _, c, goes in chunks if goes)))
             out = {c: batch.column(c) for c in names} | {"text": pa.array(new, pa.string())}

@@ -2,7 +2,7 @@ r"""Personal data by anchor expansion.
 
 One Aho-Corasick automaton finds at-signs, plus signs, digits, schemes and identifier cues in a text. A deterministic
 parser for each kind expands an anchor to its boundaries and validates what it finds (domain labels, octets, Luhn, digit
-counts). Work is linear in the text: each parser skips what an earlier span of its kind took.
+counts). Work is linear in the text: a parser skips what an earlier span of its kind took or a failed one read, or reads a bounded number of characters.
 
 Base kinds equal these patterns, leftmost and non-overlapping for each kind, and spans that fail validation are dropped:
 
@@ -39,6 +39,7 @@ CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 NUMBER = re.compile(r"[0-9]+")
 PHONE_RUN = re.compile(r"[ ().0-9-]+")
 HOST = re.compile(r"[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s<>\"'|]*)?")
+CUE_REACH = 80  # more than separators and the longest identifier in groups take
 AFTER_CUE = re.compile(r"[ \t:#=.\"']{0,6}([A-Za-z0-9]+(?:[ -]?[A-Za-z0-9]+)*)")
 
 
@@ -97,7 +98,7 @@ def phone_at(text: str, at: int) -> tuple[int, int] | None:
 
 
 def account_at(text: str, cue: int) -> tuple[int, int] | None:
-    if not (m := AFTER_CUE.match(text, cue)):
+    if not (m := AFTER_CUE.match(text, cue, cue + CUE_REACH)):
         return None
     start, word = m.start(1), m[1].split(" ")[0]
     if re.match("[A-Z]{2}[0-9]{2}", m[1]):  # an IBAN, maybe in groups: the longest run of whole groups with a right checksum
@@ -137,10 +138,11 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             free["phone"] = span[1]
             if 9 <= sum(c in DIGITS for c in text[span[0] : span[1]]) <= 15:
                 found["phone"].append(span)
-        elif kind == "url" and (m := HOST.match(text, last + 1)) and re.search(r"\.|:[0-9]", m[0]):
-            end = m.end() - (m[0][-1] in ".,;:!?)")
-            found["url"].append((at, end))
-            free["url"] = end
+        elif kind == "url" and (m := HOST.match(text, last + 1)):
+            free["url"] = m.end()  # also where it fails: what starts inside ends there too and has no more dots
+            if re.search(r"\.|:[0-9]", m[0]):
+                free["url"] = m.end() - (m[0][-1] in ".,;:!?)")
+                found["url"].append((at, free["url"]))
         elif kind == "account" and not (at and text[at - 1].isalnum()) and (span := account_at(text, last + 1)):
             found["account"].append(span)
             free["account"] = span[1]

@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from plumaria.llm import jaccard, lines
 from plumaria.llm.common import components
 
@@ -140,3 +142,15 @@ def test_line_runs_go_whole(spark):
     assert {i: r.text for i, r in out.items()} == want
     assert all(not set(runs[i % 60]) & set(out[i].text.split("\n")) for i in range(60, 180))
     assert all(r.n_dropped == (r.text != t) and r.dropped_chars >= 0 for i, t in rows if t is not None and i is not None for r in [out[i]])
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    schema = "doc_id long, text string, __h string, __drop long, __id int, __h2 string, own_hash string, gone string, rank int, other_id int, n_chars long"
+    extra = ("h", 1, 2, "h2", "o", "g", 3, 4, 5)
+    docs = spark.createDataFrame([(1, "p\nq", *extra), (2, "p\nq\nr", *extra), (2, "p\nq\nr", *extra), (3, "own", *extra), (None, "own", *extra), (None, "own", *extra)], schema)
+    out = lines.without_repeats(docs, runs=True)
+    assert out.columns == docs.columns and sorted(str(r.text) for r in out.collect()) == ["own", "own", "own", "p\nq", "r", "r"]
+    left = jaccard.one_of_each(docs)
+    assert left.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in left.collect()) == [("1", "p\nq"), ("2", "p\nq\nr"), ("3", "own"), ("None", "own"), ("None", "own")]
+    with pytest.raises(TypeError):
+        jaccard.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

@@ -99,6 +99,39 @@ def test_bpe_equals_library(spark, small):
         assert coder.decoded_words(words[word_starts[i] : word_starts[i + 1]]).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_any_code_point():
+    """The library's own version of Unicode decides, also for characters that Python or this package know otherwise."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    rng = random.Random(5)
+    code = lambda: rng.choice([rng.randrange(0x20, 0x7F), rng.randrange(0x80, 0x3000), rng.randrange(0xA000, 0xD800), rng.randrange(0xE000, 0x110000), rng.randrange(0x10000, 0x20000)])
+    texts = ["".join(chr(code()) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    coder = bpe.Bpe(bpe.default_path())
+    for t in texts:
+        want = library.encode(t, add_special_tokens=False).ids
+        ids, starts, words, _ = coder.encode([t.encode()])
+        assert ids.tolist() == want, ascii(t)
+        assert coder.decode(ids) == coder.decoded_words(words) == library.decode(want, skip_special_tokens=False).encode()
+
+
+def test_bpe_digests_decode_the_ids(spark, small):
+    """On a whole table: what the digest of the decoded text says is what the ids decode to."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    coder = bpe.Bpe(bpe.default_path())
+    for r in bpe.bpe_digests(docs, with_ids=True).collect():
+        assert hashlib.sha256(coder.decode(np.array(r.ids, np.int64))).hexdigest() == r.decoded_sha256
+
+
+def test_long_batches_are_cut_before_they_are_read():
+    import pyarrow as pa
+    from plumaria.llm.common import arrow_parts
+
+    texts = ["x" * n for n in (5, 0, 3_000_000, 7, 1_500_000, 600_000)] + [None]
+    parts = list(arrow_parts([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    assert [[len(t) for t in part] for _, part in parts] == [[5, 0], [3_000_000], [7, 1_500_000], [600_000, 0]]
+    assert [b.num_rows for b, _ in parts] == [2, 1, 2, 2] and not list(arrow_parts([]))
+
+
 def test_bpe_odd_rows(spark):
     docs = documents(spark, ODD)
     out = bpe.bpe_digests(docs, with_ids=True).collect()
@@ -210,3 +243,44 @@ def test_chat_equals_sql_and_keeps_budget(spark, small):
     want = {r[0]: r for r in con.execute(chat.ORACLE_SQL).fetchall()}
     have = {r.conv_id: tuple(r) for r in op1_chat_windows(spark, small).collect()}
     assert have == want
+
+
+def test_chat_windows_keep_the_budget(spark):
+    """Only a turn that does not fit beside the system turn makes a window exceed the budget; turns of every size, and large system turns."""
+    rng = random.Random(9)
+    sizes = [[128, 128, 128, 383, 384]] + [[rng.choice([5, 60, 127, 129, 380, 384, 385, 500, 1000, 1500]) for _ in range(rng.randint(1, 12))] for _ in range(60)]
+    rows = []
+    for c, turns in enumerate(sizes):
+        system = rng.choice([0, 0, 50, 300, 700, 900, 1010, 2000])
+        rows += [(c, 0, "system", "s" * (4 * system))] * (system > 0) + [(c, t + 1, ("user", "assistant")[t % 2], "x" * (4 * (n - 4))) for t, n in enumerate(turns)]
+    out = chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    count = lambda text: (len(text) + 3) // 4 + 4
+    for r in out:
+        pieces = [p.split("\n", 1) for p in r.formatted.split("<|im_end|>\n")[:-1]]
+        tokens = [count(text) for _, text in pieces]
+        assert r.tokens == sum(tokens) and r.over_budget == (r.tokens > 1024)
+        if r.over_budget:  # no history was added to what cannot fit, and there is one new turn besides the system turn
+            system = "system" in pieces[0][0]
+            assert r.n_context <= system and r.n_turns <= 1 + (system and r.window_no == 1)
+    assert any(r.over_budget for r in out) and sum(r.n_context > 1 for r in out) > 20
+
+
+def test_chat_odd_rows(spark):
+    rows = [(None, 0, "user", "a"), (None, None, None, None), (7, 0, "user", "z" * 300_000), (7, 0, "user", "z" * 300_000), (8, 0, "system", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "1 AS idx", "'x' AS piece")
+    got = {r.conv_id: r for r in chat.read_back(chat.chat_windows(turns)).collect()}
+    assert got[None].turns == "\n\nuser\na\n" and got[7].n_turns == 2 and got[7].turns == ("user\n" + "z" * 300_000 + "\n") * 2 and got[8].turns == "system\n\n"
+    assert chat.digests(chat.chat_windows(turns.limit(0))).count() == 0
+
+
+def test_pii_work_is_linear():
+    import time
+
+    def took(text):
+        began = time.perf_counter()
+        pii.find_spans(text)
+        return time.perf_counter() - began
+
+    for seed in ("iban ", "http://a/", "account no 12 ", "1.1.1.", "a@", "+1 ", "4111-"):
+        short, long = min(took(seed * 4000) for _ in range(3)), min(took(seed * 32000) for _ in range(2))
+        assert long < 24 * max(short, 0.002), seed
