@@ -2,12 +2,13 @@ r"""Language-model scoring with a gated recurrent network.
 
 1. Each scan task writes, in one pass, its texts as ids in chunk dictionaries and the dictionaries with their training counts. Counts are summed by
    word over the corpus and joined back to the dictionaries, so no table of words is collected or broadcast.
-2. Symbols: the `vocabulary` most frequent training words each have one (what is broadcast has that bound); rarer words share bands by the magnitude of their count,
-   within which a word has its add-half share. Output is factored: a softmax over classes (runs of frequency ranks, and the bands), then over the
-   words of the class.
+2. Symbols: the most frequent training words each have one; their number grows with the fourth root of the training tokens (1,440 up to 1e8 tokens, some 4,000 at 30 GB), which
+   is also the bound of what is broadcast. Rarer words share bands, one for each doubling of their count however large that gets, within which a word has its add-half share. Output is
+   factored: a softmax over classes (runs of frequency ranks, and the bands), then over the words of the class.
 3. A GRU is trained by truncated backpropagation in numpy: lanes of concatenated training texts, windows of `STEPS` tokens, state carried from
-   window to window and reset after each end token. After a short common start every scan task of the encoded table trains on all of its training
-   texts, and the models are averaged by tokens, in rounds of `FAN`, so the driver never holds more than `FAN` of them.
+   window to window and reset after each end token. Training texts are dealt by a hash into shards of about `SHARD` tokens and sorted by it, so neither shards nor their order depend on how the table lies.
+   After a short common start on a hash sample, each of `ROUNDS` rounds trains every shard on its part of the round from the common model; models are averaged by tokens,
+   `FAN` at a time, so the driver never holds more than `FAN` of them. All training texts are learnt from once.
 4. Scoring carries the state through a whole text, whatever its length; texts lie in lanes by falling length.
 
 Words are runs outside ``[\x20\x09-\x0D]`` with A-Z in lower case; each text ends with one end token. Held out: crc32 of the id's decimal text mod 5 is 1.
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from plumaria.llm.common import WordIds, arrow_parts, arrow_rows, id_type, written
 
-HIDDEN, CLASS, BANDS, STEPS, LANES, FAN = 16, 48, 10, 16, 256, 32
+HIDDEN, CLASS, STEPS, LANES, FAN = 16, 48, 16, 256, 32
+SHARD, ROUNDS, AT_ONCE = 6_000_000, 2, 1_000_000
 END = b""
 
 
@@ -37,19 +39,25 @@ def held_out(doc_id) -> bool:
 
 def band(count: np.ndarray) -> np.ndarray:
     """0 for counts of 0 and 1, then one for each doubling."""
-    return np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), BANDS - 1)
+    return np.log2(np.maximum(count, 1)).astype(np.int64)
+
+
+def grown(train_tokens: int) -> int:
+    """How many words have symbols of their own."""
+    return CLASS * round(30 * max(1.0, (train_tokens / 1e8) ** 0.25))
 
 
 class Model:
     """Parameters by name; words of class k are ids k * CLASS .. of the vocabulary; the bands are classes of their own."""
 
-    def __init__(self, vocabulary: int):
+    def __init__(self, vocabulary: int, bands: int):
         rng = np.random.default_rng(11)
-        self.vocabulary = vocabulary
+        self.vocabulary, self.bands = vocabulary, bands
         self.neural = -(-vocabulary // CLASS)
-        self.classes = self.neural + BANDS
+        self.classes = self.neural + bands
+        self.symbol = np.int16 if vocabulary + bands < 1 << 15 else np.int32
         draw = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        self.p = {"E": draw(vocabulary + BANDS, 3 * HIDDEN), "U": draw(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32), "C": draw(HIDDEN, self.classes), "c": np.zeros(self.classes, np.float32), "W": draw(self.neural * CLASS, HIDDEN), "w": np.zeros(self.neural * CLASS, np.float32)}
+        self.p = {"E": draw(vocabulary + bands, 3 * HIDDEN), "U": draw(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32), "C": draw(HIDDEN, self.classes), "c": np.zeros(self.classes, np.float32), "W": draw(self.neural * CLASS, HIDDEN), "w": np.zeros(self.neural * CLASS, np.float32)}
         self.p["w"][vocabulary:] = -30
 
     def start_from(self, words: np.ndarray, bands: np.ndarray) -> Model:
@@ -88,7 +96,7 @@ class Model:
         """
         p = self.p
         k = self.classes_of(y)
-        order = np.argsort(k.astype(np.int16), kind="stable")
+        order = np.argsort(k.astype(self.symbol), kind="stable")
         h, y, k = h[order], y[order], k[order]
         cuts = np.searchsorted(k, np.arange(self.neural + 1))
         s = p["C"].T @ h.T
@@ -203,8 +211,8 @@ class Model:
         return out
 
 
-def lm_scores(docs: DataFrame, vocabulary: int = 1440, chunk_bytes: int = 24_000_000, warm: int = 400_000) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs; logarithms are to base 10."""
+def lm_scores(docs: DataFrame, vocabulary: int | None = None, chunk_bytes: int = 24_000_000, warm: int = 400_000) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs; logarithms are to base 10. vocabulary: words with symbols of their own, by default as grown() has it."""
     kind = id_type(docs)
 
     def encode(batches):
@@ -252,15 +260,18 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1440, chunk_bytes: int = 24_000
     counts = written(entries.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     train_tokens, distinct = int(total[0]), int(total[1])
+    vocabulary = vocabulary or grown(train_tokens)
     frequent = counts.orderBy(F.desc("c"), "word").limit(vocabulary).collect()
     top = [(bytes(r["word"]), i) for i, r in enumerate(frequent)]
     if not top or all(w != END for w, _ in top):
         top = [*top[: vocabulary - 1], (END, len(top[: vocabulary - 1]))]
     size, start = len(top), dict(top)[END]
-    log2 = F.least(F.floor(F.log2(F.greatest(F.col("c"), F.lit(1)).cast("double"))), F.lit(BANDS - 1)).cast("int")
+    log2 = F.floor(F.log2(F.greatest(F.col("c"), F.lit(1)).cast("double"))).cast("int")
     known = docs.sparkSession.createDataFrame(top, "word binary, symbol int")
     rare = counts.join(F.broadcast(known), "word", "left_anti").groupBy(log2.alias("band")).agg(F.sum(F.col("c") + 0.5).alias("mass")).collect()
-    mass = np.full(BANDS, 0.5)
+    mass = np.full(1 + max([r["band"] for r in rare], default=0), 0.5)
+    blank = Model(size, len(mass))
+    symbol = blank.symbol
     for r in rare:
         mass[r["band"]] += r["mass"]
     listed = entries.join(counts, "word", "left").join(F.broadcast(known), "word", "left").groupBy("chunk").agg(F.collect_list(F.struct("local", F.coalesce("c", F.lit(0)).alias("c"), "symbol")).alias("words"))
@@ -277,8 +288,8 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1440, chunk_bytes: int = 24_000
                     flat = words[i].values
                     order = np.argsort(flat.field("local").to_numpy())
                     c, s = flat.field("c").to_numpy()[order], flat.field("symbol").to_numpy(zero_copy_only=False)[order]
-                    new, b = np.isnan(s.astype(float)), band(c)
-                    s = np.where(new, size + b, np.nan_to_num(s.astype(float))).astype(np.int16)
+                    new, b = np.isnan(s.astype(float)), np.minimum(band(c), len(mass) - 1)
+                    s = np.where(new, size + b, np.nan_to_num(s.astype(float))).astype(symbol)
                     cache = (at, s, c > 0, np.stack([np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1))), np.where(new, np.log10((c + 0.5) / mass[b]), 0.0)]))
                 local = np.frombuffer(raw.as_buffer(), np.int32)
                 out["n_tokens"].append(len(local))
@@ -302,25 +313,36 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1440, chunk_bytes: int = 24_000
     coded = written(coded, "lm-symbols")
     counted = np.zeros(size)
     counted[: len(frequent)] = [r["c"] for r in frequent][:size]
-    model = Model(size).start_from(counted, mass)
-
-    def fit(limit: int | None):
-        begin = model.flat()
+    model = blank.start_from(counted, mass)
+    learnt = coded.where(F.pmod(F.crc32(F.coalesce("doc_id", F.lit("")).cast("binary")), F.lit(5)) != 1).select(F.xxhash64("doc_id", "data").alias("h"), "n_tokens", "data")
 
+    def fit(begin: np.ndarray):
         def run(batches):
-            own, left, seen = Model(size).load(begin), limit, 0
-            squares = {k: np.full_like(v, 1e-6) for k, v in own.p.items()}
+            own, squares, shard, held, size, seen = None, None, None, [], 0, 0
+
+            def train():
+                nonlocal held, size, seen
+                if held:
+                    own.train(np.concatenate(held).astype(np.int64), start, squares=squares)
+                held, seen, size = [], seen + size, 0
+
+            def row():
+                train()
+                return arrow_rows({"shard": [shard], "tokens": [seen], "model": [np.concatenate([own.flat(), *(v.ravel() for v in squares.values())]).tobytes()]})
+
             for batch in batches:
-                pick = [np.frombuffer(d.as_buffer(), np.int16) for d, i in zip(batch.column("data"), batch.column("doc_id").to_pylist(), strict=True) if not held_out(i)]
-                stream = np.concatenate(pick).astype(np.int64)[:left] if pick else np.zeros(0, np.int64)
-                if len(stream):
-                    own.train(stream, start, squares=squares)
-                    seen += len(stream)
-                    left = None if left is None else left - len(stream)
-                if left is not None and left <= 0:
-                    break
-            if seen:
-                yield arrow_rows({"part": [_part()], "tokens": [seen], "model": [own.flat().tobytes()]})
+                for at, data in zip(batch.column("shard").to_pylist(), batch.column("data"), strict=True):
+                    if at != shard:
+                        if own is not None:
+                            yield row()
+                        own, shard, seen = Model(model.vocabulary, model.bands).load(begin[: len(begin) // 2]), at, 0
+                        squares = dict(zip(own.p, (v.copy() for v in Model(model.vocabulary, model.bands).load(begin[len(begin) // 2 :]).p.values()), strict=True))
+                    held.append(np.frombuffer(data.as_buffer(), symbol).copy())
+                    size += len(held[-1])
+                    if size >= AT_ONCE:
+                        train()
+            if own is not None:
+                yield row()
 
         return run
 
@@ -328,25 +350,38 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1440, chunk_bytes: int = 24_000
         import pyarrow as pa
 
         total, tokens = 0.0, 0
-        for n, m in zip(group.column("tokens").to_pylist(), group.column("model").to_pylist(), strict=True):
+        for _, n, m in sorted(zip(group.column("shard").to_pylist(), group.column("tokens").to_pylist(), group.column("model").to_pylist(), strict=True)):
             total, tokens = total + np.frombuffer(m, np.float32).astype(float) * n, tokens + n
-        return pa.table({"part": [key[0].as_py()], "tokens": [tokens], "model": [(total / tokens).astype(np.float32).tobytes()]})
-
-    schema = "part long, tokens long, model binary"
-    first = coded.limit(2000).coalesce(1).mapInArrow(fit(warm), schema).collect()  # a common start only: all texts are learnt from below
-    if first:
-        model.load(np.frombuffer(bytes(first[0]["model"]), np.float32))
-        models = written(coded.mapInArrow(fit(None), schema), "lm-models")
-        while models.count() > FAN:
-            models = written(models.groupBy(F.floor(F.col("part") / FAN).alias("part")).applyInArrow(mean, schema), "lm-models")
-        got = models.collect()
+        return pa.table({"shard": [key[0].as_py()], "tokens": [tokens], "model": [(total / tokens).astype(np.float32).tobytes()]})
+
+    schema = "shard long, tokens long, model binary"
+    shards = max(1, round(train_tokens / SHARD))
+
+    def trained(rows: DataFrame, n: int, begin: np.ndarray) -> np.ndarray:
+        """The mean model of n shards of rows, each from begin on: parameters, then Adagrad's sums."""
+        rows = rows.select(F.pmod("h", F.lit(n)).alias("shard"), "h", "data").repartition(n, "shard").sortWithinPartitions("shard", "h", "data")
+        models = written(rows.mapInArrow(fit(begin), schema), "lm-models")
+        while n > FAN:
+            models, n = written(models.groupBy(F.floor(F.col("shard") / FAN).alias("shard")).applyInArrow(mean, schema), "lm-models"), -(-n // FAN)
+        got = models.orderBy("shard").collect()  # FAN at most
+        if not got:
+            return begin
         weight = np.array([r["tokens"] for r in got], float)
-        model.load((np.stack([np.frombuffer(bytes(r["model"]), np.float32) for r in got]) * (weight / weight.sum())[:, None]).sum(0))
+        return (np.stack([np.frombuffer(bytes(r["model"]), np.float32) for r in got]) * (weight / weight.sum())[:, None]).sum(0).astype(np.float32)
+
+    state = np.concatenate([model.flat(), np.full(len(model.flat()), 1e-6, np.float32)])
+    if train_tokens:
+        share = max(1, train_tokens // warm)
+        state = trained(learnt.where(F.pmod(F.shiftrightunsigned("h", 40), F.lit(share)) == 0), 1, state)  # a common start only: all texts are learnt from below
+        state[len(state) // 2 :] = 1e-6  # so that what follows takes steps as large as the start's
+        for r in range(ROUNDS):
+            state = trained(learnt.where(F.pmod(F.shiftrightunsigned("h", 20), F.lit(ROUNDS)) == r), shards, state)
+        model.load(state[: len(state) // 2])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         for batch in batches:
-            texts = [np.frombuffer(d.as_buffer(), np.int16).astype(np.int64) for d in batch.column("data")]
+            texts = [np.frombuffer(d.as_buffer(), symbol).astype(np.int64) for d in batch.column("data")]
             ids = batch.column("doc_id").to_pylist()
             got = shared.value.score(texts, start) / np.log(10) + batch.column("rare").to_numpy()
             yield arrow_rows({"doc_id": batch.column("doc_id"), "held_out": [held_out(i) for i in ids], "n_tokens": batch.column("n_tokens"), "n_known": batch.column("n_known"), "train_tokens": np.full(len(ids), train_tokens, np.int64), "base_score": batch.column("base"), "score": got})
@@ -355,12 +390,6 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1440, chunk_bytes: int = 24_000
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def _part() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
 def pa_table(batches):
     import pyarrow as pa
 

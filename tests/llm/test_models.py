@@ -5,6 +5,9 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from plumaria.llm import gru, substrings
 
 
@@ -94,3 +97,40 @@ def test_pipeline_stages(spark, small):
         assert docs.count() <= last.count()
     want = {(r.doc_id, r.ids_sha256) for r in bpe.bpe_digests(last).collect()}
     assert {(r.doc_id, r.ids_sha256) for r in P.run(spark, small).collect()} == want
+
+
+def test_gru_scores_step_by_step():
+    """Scores of whole texts, whatever their length and order, equal a plain walk of one text and one unit vector at a time."""
+    rng = np.random.default_rng(4)
+    model = gru.Model(100, 5)
+    model.p = {k: (rng.standard_normal(v.shape) * 0.4).astype(np.float32) for k, v in model.p.items()}
+    model.p["w"][100:] = -30
+    texts = [np.append(rng.integers(0, 105, n), 3) for n in (0, 1, 700, 16, 17, 33, 5)] + [np.array([3])] * 3
+    p, n = {k: v.astype(float) for k, v in model.p.items()}, gru.HIDDEN
+
+    def walk(text):
+        h, x, total = np.zeros(n), 3, 0.0
+        for y in text.tolist():
+            h = h * (x != 3)
+            e, u = p["E"][x] + p["b"], h @ p["U"]
+            z, r = (1 / (1 + np.exp(-(e[a : a + n] + u[a : a + n]))) for a in (0, n))
+            h = (1 - z) * np.tanh(e[2 * n :] + r * u[2 * n :]) + z * h
+            c = y // gru.CLASS if y < 100 else model.neural + y - 100
+            s = h @ p["C"] + p["c"]
+            total += s[c] - np.log(np.exp(s).sum())
+            if y < 100:
+                t = p["W"][c * gru.CLASS : (c + 1) * gru.CLASS] @ h + p["w"][c * gru.CLASS : (c + 1) * gru.CLASS]
+                total += t[y % gru.CLASS] - np.log(np.exp(t).sum())
+            x = y
+        return total
+
+    assert np.allclose(model.score(texts, 3, lanes=4), [walk(t) for t in texts], rtol=1e-4)
+
+
+def test_gru_does_not_depend_on_the_layout(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    long = docs.selectExpr("doc_id + 100000 AS doc_id", "repeat(text, 400) AS text").limit(1)
+    docs = docs.select("doc_id", "text").unionByName(long)
+    one, many = ({r.doc_id: r for r in gru.lm_scores(docs.repartition(n)).collect()} for n in (1, 13))
+    assert one.keys() == many.keys() and all(abs(one[d].score - many[d].score) < 1e-6 * abs(one[d].score) and one[d].base_score == pytest.approx(many[d].base_score) for d in one)
+    assert gru.grown(10**8) == 1440 < gru.grown(10**10) < gru.grown(10**13) < 32_000
