@@ -105,7 +105,7 @@ def test_gru_scores_step_by_step():
     model = gru.Model(100, 5)
     model.p = {k: (rng.standard_normal(v.shape) * 0.4).astype(np.float32) for k, v in model.p.items()}
     model.p["w"][100:] = -30
-    texts = [np.append(rng.integers(0, 105, n), 3) for n in (0, 1, 700, 16, 17, 33, 5)] + [np.array([3])] * 3
+    texts = [np.append(rng.integers(4, 105, n), 3) for n in (0, 1, 700, 16, 17, 33, 5)] + [np.array([3])] * 3
     p, n = {k: v.astype(float) for k, v in model.p.items()}, gru.HIDDEN
 
     def walk(text):
