@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumaria.functions import text as X
+from plumaria.storage import spread, stored
+
+
+QUERY_BLOCK = 2048
 
 
 def note_tokens(notes: DataFrame, stopwords=tuple(X.STOPWORDS)) -> DataFrame:
     """(doc_id, pos, raw, stem): no stopwords, no stems under three letters."""
-    rows = notes.select("doc_id", F.posexplode(X.raw_tokens(F.col("text"))).alias("pos", "raw")).where(~F.col("raw").isin(*stopwords))
-    rows = rows.withColumn("stem", X.stem(F.col("raw")))
-    return rows.where((F.length("stem") >= 3) & ~F.col("stem").isin(*stopwords))
+    return spread(notes).select("doc_id", F.inline(X.stems(F.col("text"), stopwords)))
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
@@ -27,9 +29,13 @@ def idf(counts: DataFrame, n_notes: int) -> DataFrame:
 
 def weights(notes: DataFrame) -> DataFrame:
     """(doc_id, stem, tf, first_pos, tfidf, w): w has unit norm in each note."""
-    counts = term_counts(note_tokens(notes))
-    # The number of notes is one row; idf has a row for each term, so that join is by term and never a broadcast of the vocabulary.
-    rows = counts.join(idf(counts, notes.count()), "stem").withColumn("tfidf", (1 + F.log("tf")) * F.col("idf"))
+    # Counted once for both of its uses. The number of notes is one row; idf has a row for each term, so that join is by term and never a broadcast of the vocabulary.
+    return weighted(stored(term_counts(note_tokens(notes)), "counts"), notes.count())
+
+
+def weighted(counts: DataFrame, n_notes: int) -> DataFrame:
+    """(doc_id, stem, tf, first_pos, df, idf, tfidf, w) of counts (doc_id, stem, tf, first_pos)."""
+    rows = counts.join(idf(counts, n_notes), "stem").withColumn("tfidf", (1 + F.log("tf")) * F.col("idf"))
     return rows.withColumn("w", F.col("tfidf") / F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf")).over(Window.partitionBy("doc_id"))))
 
 
@@ -71,29 +77,67 @@ def concept_vectors(hits: DataFrame, closure: DataFrame, alpha: float = 0.5) ->
 def text_pairs(notes: DataFrame, bound: float = 0.8) -> DataFrame:
     """(a, b, cosine) of pairs with TF-IDF cosine >= bound, by prefix filtering: terms of the most frequent first are left out
     while the norm of what is left out stays under the bound, so only rarer terms are joined; candidates are then scored in full."""
-    w = weights(notes).where("df > 1").select("doc_id", "stem", "w", "df")  # other terms are in no product
+    w = stored(weights(notes).where("df > 1").select("doc_id", "stem", "w", "df"), "weights")  # other terms are in no product
     order = Window.partitionBy("doc_id").orderBy(F.col("df").desc(), "stem")
     kept = w.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(order))).where(F.col("norm") >= bound - 1e-9)
-    pairs = kept.select(F.col("doc_id").alias("a"), "stem").join(kept.select(F.col("doc_id").alias("b"), "stem"), "stem").where("a < b").select("a", "b").distinct()
+    pairs = stored(kept.select(F.col("doc_id").alias("a"), "stem").join(kept.select(F.col("doc_id").alias("b"), "stem"), "stem").where("a < b").select("a", "b").distinct(), "pairs")
     left = pairs.join(w.select(F.col("doc_id").alias("a"), "stem", F.col("w").alias("wa")), "a")
     both = left.join(w.select(F.col("doc_id").alias("b"), "stem", F.col("w").alias("wb")), ["b", "stem"])
     return both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= bound)
 
 
-def top_neighbours(pairs: DataFrame, k: int = 6) -> DataFrame:
-    """(note, other, score, rank): both directions of (a, b, score), each note's k best."""
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("note"), F.col("b").alias("other"), "score"), F.struct(F.col("b").alias("note"), F.col("a").alias("other"), "score"))).alias("e")).select("e.*")
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("note").orderBy(F.round("score", 6).desc(), "other"))).where(F.col("rank") <= k)
+def top_neighbours(pairs: DataFrame, k: int = 6, ties="other", more: list[str] = []) -> DataFrame:  # noqa: B006
+    """(note, other, score, more…, rank): both directions of (a, b, score, more…), each note's k best; equal scores by `ties`."""
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("note"), F.col("b").alias("other"), "score", *more), F.struct(F.col("b").alias("note"), F.col("a").alias("other"), "score", *more))).alias("e")).select("e.*")
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("note").orderBy(F.round("score", 6).desc(), ties))).where(F.col("rank") <= k)
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query, vec_id, cosine, rank): the k nearest of unit vectors (vec_id, embedding), exactly. queries is a stated, bounded set."""
-    as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    q = queries.select(F.col("vec_id").alias("query"), as_double(F.col("embedding")).alias("q"))
-    dot = F.aggregate(F.zip_with("q", as_double(F.col("embedding")), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = vectors.crossJoin(q).where("vec_id <> query").select("query", "vec_id", F.greatest(dot, F.lit(0.0)).alias("cosine"))
+    """(query, vec_id, cosine, rank): the k nearest of unit vectors (vec_id, embedding), exactly; negative cosines count as 0.
+
+    queries is a stated set: it meets all rows in blocks of `QUERY_BLOCK`, each of which goes to all tasks, so what is sent has that bound. A task multiplies its batch with a block at once and passes
+    on each query's k best, so what is shuffled grows with the number of batches, not of rows.
+    """
+    wide = queries.select(F.col("vec_id").alias("query"), F.transform("embedding", lambda x: x.cast("double")).alias("q"))
+    kind, spark, found, held = dict(vectors.dtypes)["vec_id"], vectors.sparkSession, [], []
+
+    def block(rows):
+        import numpy as np
+
+        sent = spark.sparkContext.broadcast((np.array([r["query"] for r in rows]), np.array([r["q"] for r in rows], float)))
+
+        def best(batches):
+            import pyarrow as pa
+
+            ids, q = sent.value
+            for batch in batches:
+                own = batch.column("vec_id")
+                v = batch.column("embedding")
+                if not len(own):
+                    continue
+                m = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
+                # A sum of equal order for any batch and block: elementwise, not by a matrix product that may round otherwise.
+                names = own.to_numpy(zero_copy_only=False)
+                top = min(k + 1, len(names))
+                out = []
+                for i in range(len(ids)):
+                    c = np.maximum((m * q[i]).cumsum(1)[:, -1], 0.0)
+                    order = np.lexsort((names, -np.round(c, 6)))[:top]
+                    order = order[names[order] != ids[i]][:k]
+                    out.append(pa.table({"query": pa.array([ids[i]] * len(order), own.type), "vec_id": own.take(pa.array(order)), "cosine": c[order]}))
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+        return vectors.select("vec_id", "embedding").mapInArrow(best, f"query {kind}, vec_id {kind}, cosine double")
+
+    for row in wide.toLocalIterator():
+        held.append(row)
+        if len(held) == QUERY_BLOCK:
+            found.append(block(held))
+            held = []
+    if held or not found:
+        found.append(block(held) if held else vectors.limit(0).selectExpr("vec_id AS query", "vec_id", "0D AS cosine"))
     order = Window.partitionBy("query").orderBy(F.round("cosine", 6).desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def running_lines(lines: DataFrame, share: float = 0.6, least_pages: int = 3, longest: int = 80) -> DataFrame:

@@ -41,6 +41,18 @@ def block_text(b: Column) -> Column:
     return F.when(b["type"] == "heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), b["text"])).when(b["type"] == "list", items).when(b["type"] == "table", table(b["rows"])).otherwise(b["text"])
 
 
+def compact(head: Column, names: list[str], optional: tuple[str, ...] = ("author", "words", "sheets", "pages", "ocr_pages", "ocr_confidence")) -> Column:
+    """A front matter block without the keys that are only there where they have a value."""
+    return F.regexp_replace(head, rf'(?m)^(?:{"|".join(n for n in optional if n in names) or "(?!)"}): ""\n', "")
+
+
+def paged_document(head: Column, pages: Column, markers: bool = True) -> Column:
+    """Front matter, then each of pages array<struct<page, blocks>> under its marker."""
+    body = lambda p: F.concat(F.concat(F.lit("<!-- página "), p["page"].cast("string"), F.lit(" -->\n")) if markers else F.lit(""), F.array_join(F.transform(p["blocks"], lambda b: F.concat(block_text(b), F.lit("\n"))), "\n"))
+    text = F.concat_ws("\n", head, F.lit(""), F.array_join(F.transform(pages, body), "\n"))
+    return F.concat(X.stripped(F.regexp_replace(text, "\n{3,}", "\n\n")), F.lit("\n"))
+
+
 def document(head: Column, blocks: Column, page: int | None = 1) -> Column:
     """Front matter, page marker, blocks with an empty line between; no two empty lines in a row."""
     mark = [F.lit(f"<!-- página {page} -->")] if page is not None else []
@@ -50,6 +62,7 @@ def document(head: Column, blocks: Column, page: int | None = 1) -> Column:
 
 def related_section(body: Column, relations: Column) -> Column:
     """body with the section of relations array<struct<name, title, confidence, reasons>> between its markers; without any, none."""
+    # Markers, heading and wording of the section.
     line = lambda r: F.concat(F.lit("- "), X.wikilink(r["name"], r["title"]), F.lit(" — **"), F.bround(r["confidence"] * 100).cast("int").cast("string"), F.lit("%** · "), F.when(F.size(r["reasons"]) > 0, F.array_join(r["reasons"], ", ")).otherwise("afinidad"))
     core = F.regexp_replace(X.without_relations(body), r"\s+$", "")
     head = f"{X.RELATIONS[0]}\n## 🔗 Notas relacionadas\n\n> Detectadas automáticamente. El porcentaje es el nivel de confianza.\n\n"
@@ -94,8 +107,8 @@ def hubs(members: DataFrame, least: int = 1) -> DataFrame:
     return rows.select("hub", "n", text.alias("text")).orderBy(F.desc("n"), F.lower("hub"), "hub")
 
 
-def write_vault(notes: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
-    """Writes (name, text) as name.md into a folder all machines share; (name, status): ok, same, skip, failed. Of names that collide, the first by text is written.
+def write_vault(notes: DataFrame, folder: str, overwrite: bool = False, ending: str = ".md") -> DataFrame:
+    """Writes (name, text) as name.md (or another ending) into a folder all machines share; (name, status): ok, same, skip, failed. Of names that collide, the first by text is written.
 
     A file is written beside its place and then moved, so that a task that is lost and runs again does no harm.
     """
@@ -110,7 +123,7 @@ def write_vault(notes: DataFrame, folder: str, overwrite: bool = False) -> DataF
         for batch in batches:
             said = []
             for name, text, nth in zip(*(batch.column(c).to_pylist() for c in ("name", "text", "nth")), strict=True):
-                path = os.path.join(folder, f"{name}.md")
+                path = os.path.join(folder, f"{name}{ending}")
                 try:
                     old = None
                     if os.path.exists(path):

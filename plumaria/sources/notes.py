@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumaria.functions.text import without_relations
 
+# Pages that are no notes.
 INDEXES = ("Índice", "Indice", "Mapa de Temas")
 FENCE = r"(?s)\A---[ \t]*\n(.*?\n)?---[ \t]*(?:\n|\z)"
 
@@ -43,10 +44,13 @@ def is_note(name: Column) -> Column:
     return ~(name.isin(*INDEXES) | name.startswith("Tema - ") | name.startswith("Mapa - ") | name.startswith("_"))
 
 
-def read_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, title, meta, body) of the folder's notes; indexes and hubs are left out."""
+def read_notes(spark: SparkSession, folder: str, whole: bool = False, every: bool = False) -> DataFrame:
+    """(name, title, meta, body) of the folder's notes, or (name, text); indexes and hubs are left out, unless `every` file is asked for."""
     files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     name = F.regexp_extract(F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B"))), r"^(.*)\.md$", 1)
-    rows = files.select(name.alias("name"), F.col("value").alias("text")).where(is_note(F.col("name")))
+    rows = files.select(name.alias("name"), F.col("value").alias("text"))
+    rows = rows if every else rows.where(is_note(F.col("name")))
+    if whole:
+        return rows
     meta = front_matter(F.col("text"))
     return rows.select("name", F.coalesce(F.get(F.try_element_at(meta, F.lit("title")), F.lit(0)), F.col("name")).alias("title"), meta.alias("meta"), without_relations(body(F.col("text"))).alias("body"))

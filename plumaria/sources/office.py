@@ -1,7 +1,7 @@
 """Word and Excel files as rows of typed blocks, from their own XML: one row for each file, errors as rows too.
 
 Blocks: type heading, paragraph, list or table; text and level; items and ordered; rows of cells. Files come from `binaryFile`, so any store that Spark reads
-will do. PDF pages enter as the span and word tables of `operators.layout`; reading them from bytes needs a PDF library, which is not part of this package.
+will do. PDF pages enter as the span and word tables of `operators.layout`; reading these from bytes needs a PDF library or a text recogniser, which are not part of this package.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumaria.functions.text import HEADING_STYLE, STYLES
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 # Rows kept of a sheet, names that make no heading of their own, built-in date formats of Excel.
 MOST_ROWS, GENERIC, DATE_FORMATS = 5000, {"sheet", "sheet1", "hoja", "hoja1", "libro1"}, {*range(14, 23), *range(45, 48)}
-STYLES = {"title": 1, "título": 1, "titulo": 1, "subtitle": 2, "subtítulo": 2, "subtitulo": 2}
-HEADING_STYLE = r"(?:heading|título|titulo)\s*(\d+)"
 BLOCK = "struct<type:string,text:string,level:int,items:array<string>,ordered:boolean,rows:array<array<string>>>"
 SCHEMA = f"source string, status string, error string, title string, author string, sheets int, warnings array<string>, blocks array<{BLOCK}>"
 
@@ -103,8 +103,8 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def xlsx_blocks(data: bytes, most: int = MOST_ROWS) -> dict:
-    """A table for each sheet, under its name where there are several or the name says something."""
+def xlsx_blocks(data: bytes, most: int | None = MOST_ROWS) -> dict:
+    """A table for each sheet, under its name where there are several or the name says something; `most` rows of a sheet, or all."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         core, files = _core(z), set(z.namelist())
         strings = ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{S}si")] if "xl/sharedStrings.xml" in files else []
@@ -141,7 +141,7 @@ def xlsx_blocks(data: bytes, most: int = MOST_ROWS) -> dict:
                 if row.tag != f"{S}row":
                     continue
                 at = int(row.get("r", len(rows) + 1)) - 1
-                if at >= most:
+                if most is not None and at >= most:
                     warnings.append(f"{name}: {most} rows kept")
                     break
                 cells: dict[int, str] = {}
@@ -159,17 +159,15 @@ def xlsx_blocks(data: bytes, most: int = MOST_ROWS) -> dict:
     return {"title": core.get("title"), "author": core.get("creator"), "sheets": len(sheets), "warnings": warnings, "blocks": blocks}
 
 
-READERS = {".docx": docx_blocks, ".xlsx": xlsx_blocks}
-
-
 def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(path, modificationTime, length, content) of the documents under a folder; `~$` files of Office are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{pdf,docx,xlsx,doc,xls,PDF,DOCX,XLSX}").load(path)
     return files.where(~F.element_at(F.split("path", "/"), -1).startswith("~$"))
 
 
-def office_documents(files: DataFrame) -> DataFrame:
-    """A row for each of files (path, content). status: ok, or failed with what was wrong; old and other formats fail."""
+def office_documents(files: DataFrame, most: int | None = MOST_ROWS) -> DataFrame:
+    """A row for each of files (path, content). status: ok, or failed with what was wrong; old and other formats fail. most: rows kept of a sheet, None for all."""
+    readers = {".docx": docx_blocks, ".xlsx": lambda data: xlsx_blocks(data, most)}
 
     def read(batches):
         import pyarrow as pa
@@ -182,9 +180,9 @@ def office_documents(files: DataFrame) -> DataFrame:
                 try:
                     if ending in (".doc", ".xls"):
                         raise ValueError(f"old format: save it again as {ending}x")
-                    if ending not in READERS:
+                    if ending not in readers:
                         raise ValueError(f"no reader for {ending or 'files without an ending'}")
-                    row |= READERS[ending](data.as_py()) | {"status": "ok"}
+                    row |= readers[ending](data.as_py()) | {"status": "ok"}
                 except Exception as e:  # one bad file must not end the others
                     row["error"] = f"{type(e).__name__}: {e}"
                 rows.append(row)

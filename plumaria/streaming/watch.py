@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
@@ -74,12 +74,32 @@ def converted(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     return office_documents(files.join(F.broadcast(wanted), "name", "left_semi"))
 
 
-def watch(spark: SparkSession, folder: str, notes: str, archive: str, errors: str, checkpoint: str, every: str = "3 seconds", overwrite: bool = False):
-    """Starts the query: convert, write notes, move sources to the archive or the errors folder. Stop it with .stop().
+def stable_sizes(polls: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of observations (keys, order, size) those that StableReader would call ready, were each a poll: a positive size, the same as at the poll before."""
+    before = F.lag("size").over(Window.partitionBy(*keys).orderBy(*order))
+    return polls.withColumn("before", before).where((F.col("size") > 0) & (F.col("size") == F.col("before"))).drop("before")
 
-    A batch that runs again finds its moved files gone and its notes the same, so nothing is done twice.
+
+def to_vault(spark: SparkSession, notes: str, config) -> None:
+    """Publishes a folder's notes into the vault of a config.Config, organises it, and relates it if the settings say so."""
+    from plumaria.plans import vault as P
+    from plumaria.sources import lexicon
+
+    title = config.vault_subdir or None
+    P.publish_folder(spark, notes, config.notes_dir, (config.vault_tag,) if config.vault_tag else (), True, title)
+    P.organise_vault(spark, config.notes_dir, title)
+    if config.auto_relate:
+        P.relate_vault(spark, config.notes_dir, lexicon.load(spark, config.relate_lexicon), config.settings())
+
+
+def watch(spark: SparkSession, folder: str, notes: str, archive: str, errors: str, checkpoint: str, every: str = "3 seconds", overwrite: bool = False, vault=None):
+    """Starts the query: convert, write notes and warnings, then publish, organise and relate where a vault is set (a config.Config), and move sources to the archive or the errors folder. Stop it with .stop().
+
+    A batch that runs again finds its moved files gone and its notes the same, so nothing is done twice. What fails in the vault does not undo a conversion.
+    Relating reads cached profiles and weighs the whole vault again, as one new note changes every weight.
     """
-    from plumaria.sinks.markdown import document, front_matter, write_vault
+    from plumaria.operators.layout import office_metadata
+    from plumaria.sinks.vault import convert
 
     spark.dataSource.register(StableFiles)
 
@@ -87,15 +107,17 @@ def watch(spark: SparkSession, folder: str, notes: str, archive: str, errors: st
         names = [r["name"] for r in batch.collect() if os.path.exists(os.path.join(folder, r["name"]))]  # the files of one poll
         if not names:
             return
-        docs = converted(batch.sparkSession, folder, names).withColumn("file", F.element_at(F.split("source", "/"), -1))
-        docs = docs.withColumns({"name": F.regexp_extract("file", r"^(.*)\.\w+$", 1), "title": F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.regexp_extract("file", r"^(.*)\.\w+$", 1))}).persist()
-        good = docs.where("status = 'ok'")
-        text = good.select("name", document(front_matter(good, ["title", "author", "warnings"]), F.col("blocks")).alias("text"))
-        write_vault(text, notes, overwrite).write.format("noop").mode("overwrite").save()
-        for r in docs.select("file", "status").collect():
+        docs = office_metadata(converted(batch.sparkSession, folder, names)).persist()
+        convert(docs, notes, errors, overwrite)
+        if vault is not None and docs.where("status = 'ok'").count():
+            try:
+                to_vault(batch.sparkSession, notes, vault)
+            except Exception as e:  # the notes are written already
+                print(f"vault: {type(e).__name__}: {e}")
+        for r in docs.select("source", "status").collect():
             to = archive if r["status"] == "ok" else errors
             os.makedirs(to, exist_ok=True)
-            os.replace(os.path.join(folder, r["file"]), unique(to, r["file"]))
+            os.replace(os.path.join(folder, r["source"]), unique(to, r["source"]))
         docs.unpersist()
 
     rows = spark.readStream.format("stable_files").option("path", folder).load()
