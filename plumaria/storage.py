@@ -42,9 +42,9 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes all intermediate tables so far. To be called when the results that were made of them are kept elsewhere."""
-    while WRITTEN:
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Deletes all intermediate tables so far, or those after the first `since`. To be called when the results that were made of them are kept elsewhere."""
+    while len(WRITTEN) > since:
         remove(spark, WRITTEN.pop())
 
 
