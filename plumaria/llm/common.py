@@ -5,9 +5,6 @@ Words are the runs of bytes outside ``[\\x20\\x09-\\x0D]``: exactly what ``bytes
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -15,6 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumaria.storage import WRITTEN, remove, shared_dir, sweep
+from plumaria.storage import stored as written
+
+__all__ = ["WRITTEN", "remove", "shared_dir", "sweep", "written"]
 SHINGLE = 5
 SIMILARITY = 0.8
 
@@ -23,36 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, which the session names.
-
-    Only a session in one process may do without: it gets a folder of this machine. Elsewhere executors would each write to a disk of their own.
-    """
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        if not (spark.conf.get("spark.master", "") or "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = os.path.join(tempfile.gettempdir(), "plumaria-shared")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders of intermediate tables, in whatever store they are."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-#: Folders of intermediate tables that this process wrote; what an operator returns may still read them.
-WRITTEN: list[str] = []
-
-
-def sweep(spark: SparkSession) -> None:
-    """Deletes all intermediate tables so far. To be called when the results that were made of them are stored."""
-    while WRITTEN:
-        remove(spark, WRITTEN.pop())
-
-
 def spare(columns, name: str) -> str:
     """name, or name with underscores after it, that no column has (letter case does not part names)."""
     taken = {c.lower() for c in columns}
@@ -69,15 +40,6 @@ def with_long_ids(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, so a lost executor costs no more than its own tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumaria-{name}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
 def encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 

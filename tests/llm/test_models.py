@@ -134,3 +134,31 @@ def test_gru_does_not_depend_on_the_layout(spark, small):
     one, many = ({r.doc_id: r for r in gru.lm_scores(docs.repartition(n)).collect()} for n in (1, 13))
     assert one.keys() == many.keys() and all(abs(one[d].score - many[d].score) < 1e-6 * abs(one[d].score) and one[d].base_score == pytest.approx(many[d].base_score) for d in one)
     assert gru.grown(10**8) == 1440 < gru.grown(10**10) < gru.grown(10**13) < 32_000
+
+
+def test_pipeline_odd_rows(spark, small):
+    """Each stage on nulls, empty and very long texts, repeated rows, columns of any name, and an empty table."""
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(5))
+    good = lambda n: "\n".join(" ".join(word() for _ in range(12)) + "." for _ in range(n))
+    own, long = good(8), good(4000)
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    rows = [(None, good(8)), (None, None), (1, None), (2, ""), (3, own), (3, own), (4, own + " tail"), (5, long), (6, good(3) + "\n" + item), (6, good(8)), (7, good(7))]
+    names = "text_hash h1 h2 at first chunk s1 s2 node path run bucket rank gone __h __drop class_id n".split()
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, t, len(t or ""), *names) for i, t in rows], schema)
+    left = {}
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, small)
+        assert name == P.STAGES[-1][0] or out.columns == docs.columns
+        left[name] = sorted((-1 if r.doc_id is None else r.doc_id) for r in out.collect())
+        empty = stage(spark, docs.limit(0), small)
+        assert empty.columns == out.columns and empty.count() == 0
+    everything = sorted(-1 if i is None else i for i, _ in rows)
+    assert set(left["quality rules"]) <= {-1, 3, 4, 5, 6, 7} and left["quality rules"].count(3) == 2
+    assert set(left["line dedup"]) >= {-1, 1, 2, 3, 5, 6, 7} and left["line dedup"].count(-1) == 2
+    assert left["n-gram Jaccard join"].count(3) == 1 and 4 not in left["n-gram Jaccard join"] and left["n-gram Jaccard join"].count(-1) == 2
+    assert 6 not in left["benchmark decontamination"] and left["benchmark decontamination"].count(-1) == 2
+    assert left["BPE encoding"] == everything
