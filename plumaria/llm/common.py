@@ -61,25 +61,6 @@ class WordIds(dict):
         return full
 
 
-class WordHashes(WordIds):
-    """Also keeps a 64-bit hash of each case-folded word."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes = array("Q")
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self.hashes.append(xxhash.xxh64_intdigest(fold(word)))
-        return super().__missing__(word)
-
-    def cut(self, limit: int) -> bool:
-        if full := super().cut(limit):
-            self.hashes = array("Q")
-        return full
-
-
 def word_ids(texts: list[bytes], words: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, end to end, and where each text starts (one more entry than texts)."""
     ids, starts = array("q"), np.zeros(len(texts) + 1, np.int64)
@@ -100,21 +81,44 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def shingles(texts: list[bytes], words: WordHashes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+BASE, SPACES = 0x9E3779B97F4A7C15, np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+#: A number for each byte, 0 for white space.
+BYTES = np.where(SPACES, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64)))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all case-folded words, end to end, and where each text's start. In numpy passes over the bytes, so no word becomes an object and nothing is kept between calls."""
+    folded = [t.lower() if t.isascii() else t.decode("utf-8", "replace").lower().encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b"\n".join(folded), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in folded])])
+    space = SPACES[raw]
+    begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(raw) else np.zeros(0, np.int64)
+    if not len(begins):
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    place = np.arange(len(raw), dtype=np.int32)
+    place[begins[0] :] -= np.repeat(begins, np.diff(np.append(begins, len(raw)))).astype(np.int32)
+    powers = np.full(int(place.max()) + 1, BASE, np.uint64)
+    powers[0] = 1
+    value = BYTES[raw]
+    value *= np.cumprod(powers)[place]
+    return mixed(np.add.reduceat(value, begins)), np.searchsorted(begins, offsets)
+
+
+def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `size` words, end to end, and where each text's start.
 
     A text of fewer words, but at least one, has one shingle: all its words. A text without words has none.
     """
-    ids, starts = word_ids(texts, words)
-    h = np.frombuffer(words.hashes, np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
+    h, starts = word_hashes(texts)
     n = np.diff(starts)
     count = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     out = np.zeros(starts[-1] + size, np.uint64)
     ends = np.repeat(starts[1:], n)
-    at = np.arange(len(ids))
+    at = np.arange(len(h))
     factors = mixed(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
     for k in range(size):  # words past the text's end count as nothing
-        m = max(0, len(ids) - k)
+        m = max(0, len(h) - k)
         out[:m] += np.where(at[k:] < ends[:m], h[k:], np.uint64(0)) * factors[k]
     first = np.concatenate([[0], np.cumsum(count)])
     keep = np.repeat(starts[:-1] - first[:-1], count) + np.arange(first[-1])

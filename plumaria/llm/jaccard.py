@@ -21,10 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumaria.llm.common import SIMILARITY, WordHashes, arrow_parts, arrow_rows, byte_cuts, components, mixed, shingles, spare, utf8, with_long_ids, written
+from plumaria.llm.common import SIMILARITY, arrow_parts, arrow_rows, byte_cuts, components, mixed, shingles, spare, utf8, with_long_ids, written
 
 SAMPLES = 48
-WORD_LIMIT = 1 << 20
 
 
 def sampled_sets(docs: DataFrame) -> DataFrame:
@@ -34,11 +33,9 @@ def sampled_sets(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        words = WordHashes()
         seeds = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
         for batch, texts in arrow_parts(batches):
-            tokens, first = shingles(texts, words)
-            words.cut(WORD_LIMIT)
+            tokens, first = shingles(texts)
             full = np.flatnonzero(np.diff(first))
             sample = np.zeros((len(texts), SAMPLES), np.int32)
             if len(full):
@@ -129,10 +126,8 @@ def near_duplicates(docs: DataFrame, runs: int = 8, limit: int = 256, depth: int
     rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id")
 
     def compare(batches):
-        words = WordHashes()
         for group in _groups(batches):
-            tokens, first = shingles(group["text"], words)
-            words.cut(WORD_LIMIT)
+            tokens, first = shingles(group["text"])
             cuts = np.flatnonzero(np.append(True, group["bucket"][1:] != group["bucket"][:-1]))
             out = []
             for a, b in zip(cuts, np.append(cuts[1:], len(group["bucket"])), strict=True):
