@@ -164,6 +164,46 @@ def arrow_rows(columns: dict):
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share, by products of their incidence, some thousands of elements at a time."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    column, owner = column[shared], owner[shared]
+    inter = np.zeros((n, n), np.float32)
+    if len(column):
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for low in range(0, int(column[-1]) + 1, 4096):
+            a, b = np.searchsorted(column, [low, low + 4096])
+            m = np.zeros((n, int(column[b - 1]) - low + 1), np.float32)
+            m[owner[a:b], column[a:b] - low] = 1
+            inter += m @ m.T
+    return inter
+
+
+def whole_groups(batches: Iterator, key: str, sized: list[str], size: int = 1_000_000) -> Iterator:
+    """Tables of whole groups of a key, many at a time, some `size` bytes of the `sized` columns in each (a group of more comes alone), of batches in the order of the key."""
+    import pyarrow as pa
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cuts = byte_cuts([batch.column(c) for c in sized], size)
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            held.append(batch.slice(start, end - start))
+            whole = pa.Table.from_batches(held)
+            keys = whole.column(key).to_numpy()
+            before = np.flatnonzero(keys != keys[-1])
+            last = int(before[-1]) + 1 if len(before) else 0
+            if last:
+                yield whole.slice(0, last)
+                held = whole.slice(last).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def id_type(docs: DataFrame) -> str:
     return dict(docs.dtypes)["doc_id"]
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumaria.llm.common import SIMILARITY, arrow_parts, arrow_rows, byte_cuts, components, mixed, shingles, spare, utf8, with_long_ids, written
+from plumaria.llm.common import SIMILARITY, arrow_parts, arrow_rows, components, mixed, overlaps, shingles, spare, utf8, whole_groups, with_long_ids, written
 
 SAMPLES = 48
 
@@ -57,20 +57,7 @@ def bucket_links(sets: list[np.ndarray], copies: np.ndarray, skip: np.ndarray, s
     """Links of each node within a bucket, and the least index it is connected with. skip: pairs that an earlier run has; side: of a pair of blocks, or -1."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
-    _, column, count = np.unique(tokens, return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    column, owner = column[shared], owner[shared]
-    inter = np.zeros((n, n), np.float32)
-    if len(column):
-        _, column = np.unique(column, return_inverse=True)
-        order = np.argsort(column, kind="stable")
-        column, owner = column[order], owner[order]
-        for low in range(0, int(column[-1]) + 1, 4096):  # shared tokens only, some thousands at a time
-            a, b = np.searchsorted(column, [low, low + 4096])
-            m = np.zeros((n, int(column[b - 1]) - low + 1), np.float32)
-            m[owner[a:b], column[a:b] - low] = 1
-            inter += m @ m.T
+    inter = overlaps(sets)
     linked = inter >= threshold * (size[:, None] + size[None, :] - inter) - 1e-3
     linked &= ~skip
     linked &= (side[:, None] != side[None, :]) | (side[:, None] < 0)
@@ -126,7 +113,7 @@ def near_duplicates(docs: DataFrame, runs: int = 8, limit: int = 256, depth: int
     rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id")
 
     def compare(batches):
-        for group in _groups(batches):
+        for group in map(_columns, whole_groups(batches, "bucket", ["text"])):
             tokens, first = shingles(group["text"])
             cuts = np.flatnonzero(np.append(True, group["bucket"][1:] != group["bucket"][:-1]))
             out = []
@@ -158,32 +145,8 @@ def _shared(paths: DataFrame) -> DataFrame:
     return paths.join(n, ["run", "path"])
 
 
-def _groups(batches, size: int = 1_000_000):
-    """Whole buckets, some `size` bytes of text at a time (a bucket of more comes alone), of batches in the order of buckets."""
-    import pyarrow as pa
-
-    held: list[pa.RecordBatch] = []
-
-    def out(batch) -> dict:
-        n = batch.num_rows
-        return {
-            "bucket": batch.column("bucket").to_numpy(), "run": batch.column("run").to_numpy(), "side": batch.column("side").to_numpy(), "doc_id": batch.column("doc_id").to_numpy(), "copies": batch.column("copies").to_numpy(),
-            "paths": batch.column("all_paths").combine_chunks().flatten().to_numpy().reshape(n, -1), "text": utf8(batch.column("text")),
-        }
-
-    for batch in batches:
-        cuts = byte_cuts([batch.column("text")], size)
-        for start, end in zip(cuts, cuts[1:], strict=False):
-            held.append(batch.slice(start, end - start))
-            whole = pa.Table.from_batches(held)
-            buckets = whole.column("bucket").to_numpy()
-            before = np.flatnonzero(buckets != buckets[-1])
-            last = int(before[-1]) + 1 if len(before) else 0
-            if last:
-                yield out(whole.slice(0, last))
-                held = whole.slice(last).to_batches()
-    if held:
-        yield out(pa.Table.from_batches(held))
+def _columns(rows) -> dict:
+    return {c: rows.column(c).to_numpy() for c in ("bucket", "run", "side", "doc_id", "copies")} | {"paths": rows.column("all_paths").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1), "text": utf8(rows.column("text"))}
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

@@ -162,3 +162,65 @@ def test_pipeline_odd_rows(spark, small):
     assert left["n-gram Jaccard join"].count(3) == 1 and 4 not in left["n-gram Jaccard join"] and left["n-gram Jaccard join"].count(-1) == 2
     assert 6 not in left["benchmark decontamination"] and left["benchmark decontamination"].count(-1) == 2
     assert left["BPE encoding"] == everything
+
+
+def passage_pairs(docs, width=46, threshold=0.8):
+    """Pairs of documents with stretches of `width` shingles each that are near copies: every stretch of one against every stretch of the other that shares a shingle in place."""
+    sets = {}
+    for i, t in docs:
+        w = [x.lower() for x in t.split()]
+        sets[i] = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    out, where = set(), {}
+    for i, s in sets.items():
+        for k, x in enumerate(s):
+            where.setdefault(x, []).append((i, k))
+    for i, s in sets.items():
+        shared = {}
+        for k, x in enumerate(s):
+            for j, m in where[x]:
+                if j < i:
+                    shared.setdefault(j, {}).setdefault(k - m, []).append(k)
+        for j, diagonals in shared.items():
+            if sum(map(len, diagonals.values())) < threshold * width / (2 - threshold):
+                continue
+            other = sets[j]
+            for d, places in diagonals.items():
+                for a in {max(0, p - x) for p in places for x in range(0, width, 3)}:
+                    one, two = set(s[a : a + width]), set(other[max(0, a - d) : max(0, a - d) + width])
+                    if min(len(s) - a, len(other) - max(0, a - d)) >= width and len(one & two) >= threshold * len(one | two):
+                        out.add((j, i))
+                        break
+                if (j, i) in out:
+                    break
+    return out
+
+
+def test_passages_against_brute_force(spark, small):
+    """A whole table and planted passages of 55 to 120 words, whole and with words replaced, after lines that many texts have; for any layout of the table."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    lines = [" ".join(word() for _ in range(n)) for n in (8, 30, 40)]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    for p in range(40):
+        passage = [word() for _ in range(rng.randint(55, 120))]
+        for k in range(3):
+            copy = list(passage)
+            for x in rng.sample(range(len(copy)), len(copy) // 60 * (k > 0)):
+                copy[x] = word()
+            own = [word() for _ in range(rng.randint(10, 60))]
+            rows.append((10_000 + 10 * p + k, " ".join([*own, lines[p % 3], *copy, *(word() for _ in range(20))])))
+    want = passage_pairs(rows)
+    results = []
+    for n, size in ((1, "10000"), (16, "7")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+            results.append({r.doc_id: (r.class_id, r.n_passages, r.spans) for r in substrings.repeated_passages(docs).collect()})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert results[0] == results[1]
+    told = results[0]
+    held = [(a, b) for a, b in want if told[a][0] == told[b][0] and told[a][1] and told[b][1]]
+    assert len(want) > 120 and len(held) >= 0.97 * len(want), (len(held), len(want))
+    clean = {i for i, _ in rows} - {x for p in want for x in p}
+    assert sum(told[i][1] > 0 for i in clean) <= 0.01 * len(clean)
