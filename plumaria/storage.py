@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -42,6 +43,16 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote and nothing will read again, and has the driver's JVM collect, upon which the shuffle files of what was run to make them go too."""
+    spark = tables[0].sparkSession
+    for df in tables:
+        if files := df.inputFiles():
+            remove(spark, files[0].rsplit("/", 1)[0])
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def sweep(spark: SparkSession, since: int = 0) -> None:
     """Deletes all intermediate tables so far, or those after the first `since`. To be called when the results that were made of them are kept elsewhere."""
     while len(WRITTEN) > since:
