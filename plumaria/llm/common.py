@@ -12,10 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumaria.storage import WRITTEN, remove, shared_dir, sweep
+from plumaria.storage import WRITTEN, drop, remove, shared_dir, sweep
 from plumaria.storage import stored as written
 
-__all__ = ["WRITTEN", "remove", "shared_dir", "sweep", "written"]
+__all__ = ["WRITTEN", "drop", "remove", "shared_dir", "sweep", "written"]
 SHINGLE = 5
 SIMILARITY = 0.8
 
