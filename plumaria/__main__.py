@@ -51,6 +51,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--config", default="config.yaml")
     p.add_argument("--input", dest="input_dir")
     p.add_argument("--output", dest="output_dir")
+    p.add_argument("--errors", dest="errors_dir")
     p.add_argument("--vault", dest="vault_dir")
     p.add_argument("--subdir", dest="vault_subdir")
     p.add_argument("--tag", dest="vault_tag")

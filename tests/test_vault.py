@@ -193,7 +193,7 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "acta.docx").write_bytes(docx())
     (tmp_path / "in" / "mala.docx").write_bytes(b"x")
-    flags = ["--input", f"{tmp_path}/in", "--output", f"{tmp_path}/md", "--vault", f"{tmp_path}/vault", "--config", f"{tmp_path}/none.yaml"]
+    flags = ["--input", f"{tmp_path}/in", "--output", f"{tmp_path}/md", "--errors", f"{tmp_path}/bad", "--vault", f"{tmp_path}/vault", "--config", f"{tmp_path}/none.yaml"]
     said = []
     for command in ("convert", "convert", "publish", "organise", "relate"):
         main([command, *flags])
