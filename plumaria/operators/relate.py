@@ -74,15 +74,28 @@ def concept_vectors(hits: DataFrame, closure: DataFrame, alpha: float = 0.5) ->
     return hits.join(closure, "cid").groupBy("doc_id", F.col("ancestor").alias("cid")).agg(F.sum(F.col("hits") * F.pow(F.lit(alpha), F.col("k"))).alias("weight"))
 
 
+def prefix_pairs(w: DataFrame, bound: float) -> DataFrame:
+    """(a, b), a < b: a superset of the pairs with cosine >= bound of unit vectors (doc_id, key, w, df).
+
+    Keys of the most frequent first are left out while the norm of what is left out stays under the bound, so only rarer ones are joined. What two notes share beyond the keys that met comes before
+    the first of these, and before the first that one of them keeps: at most the norm that one leaves out times the other's up to the first that met. Pairs whose sum stays under the bound even with that are not passed on.
+    """
+    order = Window.partitionBy("doc_id").orderBy(F.col("df").desc(), "key")
+    kept = w.where("df > 1").withColumn("norm2", F.sum(F.col("w") * F.col("w")).over(order)).where(F.sqrt("norm2") >= bound - 1e-9)
+    kept = kept.withColumn("before", F.sqrt(F.greatest(F.col("norm2") - F.col("w") * F.col("w"), F.lit(0.0)))).withColumn("out", F.min("before").over(Window.partitionBy("doc_id")))
+    side = lambda x: kept.select(F.col("doc_id").alias(x), "key", *[F.col(c).alias(f"{x}_{c}") for c in ("w", "before", "out")])
+    met = side("a").join(side("b"), "key").where("a < b").groupBy("a", "b")
+    met = met.agg(F.sum(F.col("a_w") * F.col("b_w")).alias("met"), *[F.min(c).alias(c) for c in ("a_before", "b_before", "a_out", "b_out")])
+    more = F.greatest(F.col("a_out") * F.col("b_before"), F.col("b_out") * F.col("a_before"))
+    return met.where(F.col("met") + more >= bound - 1e-9).select("a", "b")
+
+
 def text_pairs(notes: DataFrame, bound: float = 0.8) -> DataFrame:
-    """(a, b, cosine) of pairs with TF-IDF cosine >= bound, by prefix filtering: terms of the most frequent first are left out
-    while the norm of what is left out stays under the bound, so only rarer terms are joined; candidates are then scored in full."""
-    w = stored(weights(notes).where("df > 1").select("doc_id", "stem", "w", "df"), "weights")  # other terms are in no product
-    order = Window.partitionBy("doc_id").orderBy(F.col("df").desc(), "stem")
-    kept = w.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(order))).where(F.col("norm") >= bound - 1e-9)
-    pairs = stored(kept.select(F.col("doc_id").alias("a"), "stem").join(kept.select(F.col("doc_id").alias("b"), "stem"), "stem").where("a < b").select("a", "b").distinct(), "pairs")
-    left = pairs.join(w.select(F.col("doc_id").alias("a"), "stem", F.col("w").alias("wa")), "a")
-    both = left.join(w.select(F.col("doc_id").alias("b"), "stem", F.col("w").alias("wb")), ["b", "stem"])
+    """(a, b, cosine) of pairs with TF-IDF cosine >= bound: candidates by prefix filtering, scored in full."""
+    w = stored(weights(notes).where("df > 1").select("doc_id", F.col("stem").alias("key"), "w", "df"), "weights")  # other terms are in no product
+    pairs = stored(prefix_pairs(w, bound), "pairs")
+    left = pairs.join(w.select(F.col("doc_id").alias("a"), "key", F.col("w").alias("wa")), "a")
+    both = left.join(w.select(F.col("doc_id").alias("b"), "key", F.col("w").alias("wb")), ["b", "key"])
     return both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= bound)
 
 
