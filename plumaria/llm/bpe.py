@@ -6,7 +6,8 @@ pieces of a batch that are not in the cache are encoded together: their symbols
 binary search over the sorted pair keys, and each round merges the pair of lowest rank in every piece at once, until no piece has one.
 
 Texts whose characters outside ASCII are letters that the library's own rules treat plainly are cut by one pattern over bytes; other texts go through the library's normaliser
-and pre-tokeniser, so that its version of Unicode decides in every case.
+and pre-tokeniser, so that its version of Unicode decides in every case. With the pattern of `USUAL`, plain texts are cut in numpy passes over the bytes of many texts, and the pieces are looked up by
+64-bit keys: of pieces of up to 8 bytes the bytes themselves, mixed reversibly; of longer ones a hash (two of the 500,000 of a cache would share one with a chance under 1e-8).
 
 Defined cases: a null or empty text has no ids and decodes to the empty string; texts of any length are whole; repeated doc_ids each
 give their row; strings of added tokens in a text become their ids, as in the library; other columns are ignored; an empty table gives no row.
@@ -19,16 +20,25 @@ import hashlib
 import json
 import re
 import unicodedata
-from array import array
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from plumaria.llm.common import WordIds, arrow_parts, arrow_rows, id_type
+from plumaria.llm.common import WordIds, arrow_parts, arrow_rows, id_type, mixed
 
 CACHE, CACHE_BYTES = 500_000, 32_000_000
+#: The pattern that cuts() stands for, over bytes; slots of the direct lookup, in powers of two; bytes of a piece from which its text is cut by the pattern itself.
+USUAL, SLOTS, LONG = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z\x80-\xff0-9]+", 20, 4096
+#: Kinds of bytes: white space, letters, digits, others.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[9, 10, 11, 12, 13, 32]] = SPACE
+KINDS[[*range(97, 123), *range(128, 256)]] = LETTER
+KINDS[48:58] = DIGIT
+#: The bytes that count of 8, by how many a piece has.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 NONE = np.iinfo(np.int64).max
 
 
@@ -45,6 +55,39 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def cuts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of `USUAL` start and end in bytes that end in two blanks."""
+    kind = KINDS[raw]
+    starts = kind != SPACE
+    ends = starts.copy()
+    change = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    starts[1:] &= change
+    ends[:-1] &= change | (kind[:-1] == DIGIT)
+    quotes = np.flatnonzero((raw[:-2] == 39) & starts[:-2])
+    one, two = raw[quotes + 1], raw[quotes + 2]
+    short = (one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))
+    tail = np.where(short, 1, np.where(((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")), 2, 0))
+    quotes, tail = quotes[tail > 0], tail[tail > 0]
+    starts[quotes + 1] = False
+    after = quotes + tail + 1
+    starts[after[kind[after] == LETTER]] = True
+    ends[quotes] = False
+    ends[quotes + tail] = True
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def piece_keys(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A key for each piece of raw, which has 8 bytes more than its pieces."""
+    window = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    key = mixed(window[starts] & MASKS[np.minimum(lengths, 8)])
+    at, done = np.flatnonzero(lengths > 8), 8
+    while len(at):
+        key[at] = mixed(key[at] * np.uint64(5) + (window[starts[at] + done] & MASKS[np.minimum(lengths[at] - done, 8)]) + np.uint64(done))
+        done += 8
+        at = at[lengths[at] > done]
+    return key
+
+
 class Bpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -78,6 +121,7 @@ class Bpe:
         for unicode_class, plain in ((r"[\p{L}]", r"[a-z\x80-\xff]"), (r"[\p{N}]", "[0-9]"), (r"\p{L}\p{N}", r"a-z\x80-\xff0-9")):
             pattern = pattern.replace(unicode_class, plain)
         self.pattern = re.compile(pattern.encode())
+        self.usual = self.pattern.pattern == USUAL
         self.specials = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
         self.plain = {chr(i) for i in range(128)}
         self.odd: set[str] = set()
@@ -85,6 +129,8 @@ class Bpe:
 
     def reset(self) -> None:
         self.words, self.held = WordIds(), 0
+        self.slot_keys, self.slots = np.zeros(1 << SLOTS, np.uint64), np.full(1 << SLOTS, -1, np.int32)
+        self.sorted_keys, self.sorted_at = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids, self.lengths, self.decoded = np.zeros(0, np.int32), np.zeros(0, np.int64), []
 
     def probe(self, chars: set[str]) -> None:
@@ -113,6 +159,74 @@ class Bpe:
                 return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in found]
         return self.pattern.findall(said.lower().encode())
 
+    def lowered(self, text: bytes) -> bytes | None:
+        """The text in lower case if it is plain, without added tokens and zero bytes: cuts() then finds its pieces."""
+        if not self.usual or any(t in text for t in self.added) or b"\0" in text:
+            return None
+        if text.isascii():
+            return text.lower()
+        said = text.decode("utf-8", "replace")
+        chars = set(said)
+        if not chars <= self.plain:
+            self.probe(chars - self.plain - self.odd)
+        return said.lower().encode() if chars <= self.plain else None
+
+    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' pieces in the cache, end to end, and where each text's start. New pieces get numbers; remember() is to follow."""
+        low = [self.lowered(t) for t in texts]
+        joined = b"\n".join([t or b"" for t in low]) + b" " * 9
+        raw = np.frombuffer(joined, np.uint8)
+        begins, ends = cuts(raw)
+        lengths = ends - begins
+        first = np.searchsorted(begins, np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in low])]))
+        if len(lengths) and lengths.max() >= LONG:
+            for i in np.searchsorted(first, np.flatnonzero(lengths >= LONG), side="right") - 1:
+                low[i] = None
+        other = [i for i, t in enumerate(low) if t is None]
+        if other:  # pieces of texts that turned out to be long are cut by the pattern
+            kept = np.ones(len(begins), bool)
+            for i in other:
+                kept[first[i] : first[i + 1]] = False
+            begins, lengths = begins[kept], lengths[kept]
+            count = np.diff(first)
+            count[other] = 0
+            first = np.concatenate([[0], np.cumsum(count)])
+        at = self.looked_up(piece_keys(raw, begins, lengths), joined, begins, lengths)
+        if not other:
+            return at, first
+        parts = [at[a:b] for a, b in zip(first, first[1:], strict=False)]
+        for i in other:
+            parts[i] = np.array([self.words[w] for w in self.pieces(texts[i])], np.int32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def looked_up(self, keys: np.ndarray, joined: bytes, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of pieces by their keys: from the slot that a key's last bits name, else by binary search; new ones by their bytes."""
+        slot = (keys & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
+        at = np.where(self.slot_keys[slot] == keys, self.slots[slot], np.int32(-1))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return at
+        new, sample, which = np.unique(keys[missing], return_index=True, return_inverse=True)
+        place = np.searchsorted(self.sorted_keys, new)
+        known = np.append(self.sorted_keys, np.uint64(0))[place] == new
+        known &= place < len(self.sorted_keys)
+        number = np.full(len(new), -1, np.int32)
+        number[known] = self.sorted_at[place[known]]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            # In the order of the texts, so that numbers do not depend on keys.
+            fresh = fresh[np.argsort(sample[fresh], kind="stable")]
+            spot = missing[sample[fresh]]
+            number[fresh] = [self.words[joined[b : b + n]] for b, n in zip(begins[spot].tolist(), lengths[spot].tolist(), strict=True)]
+            fresh = np.sort(fresh)
+            self.sorted_keys, self.sorted_at = np.insert(self.sorted_keys, place[fresh], new[fresh]), np.insert(self.sorted_at, place[fresh], number[fresh])
+            free = fresh[self.slots[(new[fresh] & np.uint64((1 << SLOTS) - 1)).astype(np.int64)] < 0]
+            to = (new[free] & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
+            to, one = np.unique(to, return_index=True)
+            self.slot_keys[to], self.slots[to] = new[free[one]], number[free[one]]
+        at[missing] = number[which]
+        return at
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, end to end, and how many each has."""
         raw = np.frombuffer(b"".join(words), np.uint8)
@@ -182,13 +296,9 @@ class Bpe:
         if len(self.words) > CACHE or self.held > CACHE_BYTES:
             self.reset()
         known = len(self.words)
-        pieces, starts, get = array("q"), np.zeros(len(texts) + 1, np.int64), self.words.__getitem__
-        for i, text in enumerate(texts):
-            pieces.extend(map(get, self.pieces(text)))
-            starts[i + 1] = len(pieces)
+        at, starts = self.numbers(texts)
         if len(self.words) > known:
             self.remember(list(islice(self.words, known, None)), decoded)
-        at = np.frombuffer(pieces, np.int64) if pieces else np.zeros(0, np.int64)
         n = self.lengths[at]
         total = np.concatenate([[0], np.cumsum(n)])
         begin = np.cumsum(self.lengths) - self.lengths

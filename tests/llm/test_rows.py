@@ -284,3 +284,20 @@ def test_pii_work_is_linear():
     for seed in ("iban ", "http://a/", "account no 12 ", "1.1.1.", "a@", "+1 ", "4111-"):
         short, long = min(took(seed * 4000) for _ in range(3)), min(took(seed * 32000) for _ in range(2))
         assert long < 24 * max(short, 0.002), seed
+
+
+def test_cuts_are_the_patterns():
+    rng = random.Random(3)
+    parts = ["'", "'", "s", "t", "re", "ve", "ll", "l", "m", "d", "r", " ", "\n", "1", "23", "!", '"', "é", "x", "\t"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14))).encode()
+        starts, ends = bpe.cuts(np.frombuffer(text + b" " * 9, np.uint8))
+        assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == re.findall(bpe.USUAL, text)
+
+
+def test_bpe_long_pieces_and_mixed_texts():
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    texts = ["it's we'll 'quoted'", "a" * 9000 + " tail 12", "", "zero\0byte", "<|endoftext|> it's", "x" * 8 + " " + "x" * 9 + " " + "x" * 17, "ΣΑΣ ﬁn", "it's again"] * 2
+    ids, starts, *_ = bpe.Bpe(bpe.default_path()).encode([t.encode() for t in texts])
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
