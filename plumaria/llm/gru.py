@@ -362,7 +362,7 @@ def lm_scores(docs: DataFrame, vocabulary: int | None = None, chunk_bytes: int =
         rows = rows.select(F.pmod("h", F.lit(n)).alias("shard"), "h", "data").repartition(n, "shard").sortWithinPartitions("shard", "h", "data")
         models = written(rows.mapInArrow(fit(begin), schema), "lm-models")
         while n > FAN:
-            models, n = written(models.groupBy(F.floor(F.col("shard") / FAN).alias("shard")).applyInArrow(mean, schema), "lm-models"), -(-n // FAN)
+            models, n = written(models.groupBy(F.floor(F.col("shard") / FAN).alias("of")).applyInArrow(mean, schema), "lm-models"), -(-n // FAN)
         got = models.orderBy("shard").collect()  # FAN at most
         if not got:
             return begin

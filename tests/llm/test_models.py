@@ -136,6 +136,16 @@ def test_gru_does_not_depend_on_the_layout(spark, small):
     assert gru.grown(10**8) == 1440 < gru.grown(10**10) < gru.grown(10**13) < 32_000
 
 
+def test_gru_averages_more_shards_than_fit_at_once(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    monkeypatch.setattr(gru, "SHARD", 4000)
+    once = {r.doc_id: r.score for r in gru.lm_scores(docs).collect()}
+    monkeypatch.setattr(gru, "FAN", 3)
+    fanned = {r.doc_id: r for r in gru.lm_scores(docs).collect()}
+    assert next(iter(fanned.values())).train_tokens > 4 * gru.SHARD
+    assert fanned.keys() == once.keys() and all(fanned[d].score == pytest.approx(once[d], rel=1e-4) for d in once)
+
+
 def test_pipeline_odd_rows(spark, small):
     """Each stage on nulls, empty and very long texts, repeated rows, columns of any name, and an empty table."""
     import corpus_pipeline as P
