@@ -84,6 +84,21 @@ def test_passages_after_partial_quotes(spark):
         assert all(out[d].class_id == c and out[d].repeated_words >= 60 for d, c in whole.items())
 
 
+def test_verified_asks_once_where_words_are():
+    rng, calls = np.random.default_rng(2), []
+    for repeats in (False, True):
+        a = rng.permutation(4000)[:900].astype(np.uint32)
+        b = a.copy()
+        b[::40] = 5000 + np.arange(len(b[::40]))
+        if repeats:
+            a[700:750] = a[100:150]
+        hits = [(max(0, c - 60), c, c + 60, max(0, c - 60), c, c + 60) for c in range(70, 640, 3) if a[c] == b[c]]
+        spans, done = substrings.verified(a, b, hits, 46, 0.8)
+        calls.append(spans)
+        assert all(done) and all(e - s >= 46 and abs(s - t) <= 12 for s, e, t, u in spans)
+    assert calls[0] == calls[1]
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline as P
     from plumaria.llm import bpe
