@@ -99,6 +99,39 @@ def test_verified_asks_once_where_words_are():
     assert calls[0] == calls[1]
 
 
+def test_passages_do_not_depend_on_the_size_of_a_key(spark, monkeypatch):
+    rng = random.Random(17)
+    text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    line, rows = text(41), []
+    for p in range(120):  # all quote a line under the least length; two of each three quote more around it
+        before, after = text(6), text(6)
+        for k in range(2):
+            rows.append((p * 10 + k, " ".join(text(60) + before + line + after + text(60))))
+        rows.append((p * 10 + 2, " ".join(text(60) + line + text(60))))
+    docs, results = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for block in (substrings.BLOCK, 6):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        results.append({r.doc_id: (r.class_id, r.n_passages, r.spans) for r in substrings.repeated_passages(docs).collect()})
+    assert results[0] == results[1]
+    assert all(results[0][p * 10 + 1][0] == p * 10 and results[0][p * 10 + 2][1] == 0 for p in range(120))
+
+
+def test_links_of_near_copies_grow_with_their_number():
+    rng = np.random.default_rng(5)
+    core, near = rng.integers(0, 1 << 32, 100, dtype=np.uint32), []
+    for k in range(90):
+        own = rng.integers(0, 1 << 32, 150, dtype=np.uint32)
+        own[30:130] = core
+        own[30 + k] = k
+        near.append(own)
+    near += [np.concatenate([rng.integers(0, 1 << 32, 60, dtype=np.uint32), core[:40], rng.integers(0, 1 << 32, 50, dtype=np.uint32)]) for _ in range(30)]
+    n, zero = len(near), np.zeros(120, int)
+    c = np.array([60 if i < 90 else 90 for i in range(n)])  # where core[30] is
+    near[30][60] = core[30]
+    links = list(substrings.ties(near, zero, c - 30, c, c + 20, np.tri(n, k=-1, dtype=bool), 46, 0.8))
+    assert len(links) == 89 and {x for x, _, _ in links} | {0} == set(range(90))
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline as P
     from plumaria.llm import bpe
