@@ -3,7 +3,7 @@ r"""Benchmark decontamination: rare words that a match cannot do without, then S
 Words are case-folded and lose punctuation at both ends. Benchmark items are taken in blocks of at most `block_bytes` of text,
 each against all documents, so what is broadcast has that bound at any size of either table. For a block:
 
-1. The document frequency of every word of its items is counted over a share of the corpus. It only decides what is cheap, never what is found.
+1. The document frequency of every word of its items is counted over all documents.
 2. To reach `threshold` of its own score, an item of L words must have m = threshold * L of them matched. So of any L - m + k of its places at least k
    are matched: those of its rarest words are its seeds. The matched words and edits take (3 - 2 * threshold) * L words of a document at most.
 3. Where a document has k seeds of an item within that span, all words that an alignment through them could reach are aligned with the item:
@@ -29,7 +29,7 @@ from plumaria.llm.common import arrow_parts, arrow_rows, encoded, fold, id_type
 
 EDGES = bytes(range(33, 48)) + b":;<=>?@[\\]^_`{|}~"
 WORD_LIMIT = 1 << 20
-NEED, SHARE = 4, 16  # seeds that a match has at least; one document of so many is counted
+NEED = 4  # seeds that a match has at least
 
 
 def plain(word: bytes) -> bytes:
@@ -211,15 +211,15 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, threshold: float = 0.5,
             block, total = shared.value, np.zeros(len(shared.value.vocabulary), np.int64)
             known = Known(block.vocabulary)
             for _, texts in arrow_parts(batches):
-                for ids, _ in numbered(texts, known):
-                    total[np.unique(ids[ids >= 0])] += 1
+                for text in texts:
+                    held = set(map(known.__getitem__, text.split()))
+                    total[[i for i in held if i >= 0]] += 1
                 if len(known) > WORD_LIMIT:
                     known.clear()
             yield arrow_rows({"word": np.flatnonzero(total), "n": total[total > 0]})
 
         frequency = np.zeros(len(block.vocabulary), np.int64)
-        some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0)
-        counted = some.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
         for row in counted.toLocalIterator():  # a row for each word of the block at most
             frequency[row["word"]] = row["n"]
         block.choose_seeds(frequency)

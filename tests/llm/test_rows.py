@@ -185,6 +185,22 @@ def test_leaks_edited_copies_and_blocks(spark):
     assert decontam.leaks(documents(spark, docs), items.limit(0)).count() == 0
 
 
+def test_leaks_count_words_over_all_documents(spark, monkeypatch):
+    rng, seen = random.Random(3), []
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choices(words, k=8))) for i in range(200)]
+    items = spark.createDataFrame([(0, " ".join(words)), (1, "not there, w3!")], "item_id long, text string")
+    choose = decontam.Block.choose_seeds
+
+    def chosen(block, frequency):
+        seen.append({w.decode(): int(frequency[i]) for w, i in block.vocabulary.items()})
+        choose(block, frequency)
+
+    monkeypatch.setattr(decontam.Block, "choose_seeds", chosen)
+    decontam.leaks(documents(spark, docs), items)
+    assert seen == [{w: sum(w in t.split() for _, t in docs) for w in [*words, "not", "there"]}]
+
+
 def test_leaks_equal_alignment_of_all_pairs(spark):
     rng = random.Random(8)
     word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
