@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -77,6 +78,30 @@ def test_quality_forest_keeps_clean_and_rejects_junk(spark, small):
     assert {r.doc_id for r in quality.kept_documents(docs, labels).collect()} == {r.doc_id for r in quality.quality_verdicts(docs, labels).where("kept").collect()}
 
 
+def test_quality_learns_from_all_labels(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghij", k=60) + rng.choices("ab#", k=i % 40)) for i in range(7000)]
+    docs, labels = documents(spark, list(enumerate(texts))), spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(7000)], "doc_id long, quality int")
+    stats = quality.stats_of(docs)
+    forest, threshold = quality.fitted(stats, labels)
+    found = [r for r in stats.where(~quality.base_failed()).toPandas().itertuples() if r.doc_id % 5]
+    grown = [r for r in found if zlib.crc32(str(r.doc_id).encode()) % 5]
+    x = quality.features(np.array([r[2:] for r in grown]))
+    # The nodes where the rows end have all of them: a tree of one level, weighed by hand.
+    small = quality.Forest((x.min(0), x.max(0)), trees=3, depth=1)
+    left = [(x[:, small.feature[t, 1]] < small.cut[t, 1]).sum() for t in range(3)]
+    counts = small.counts(x)
+    assert [list(c) for c in counts] == [[0, 0, n, len(x) - n] for n in left] and len(x) > 4000
+    weighed = small.weigh(counts, len(x))
+    assert np.allclose(weighed.length[:, 2], [1 + np.interp(256 * n / len(x), range(257), [weighed.rest(k) for k in range(257)]) for n in left])
+    # The threshold is the best over all rows that grew no tree.
+    judge = stats.where(~quality.base_failed()).toPandas()
+    judge = judge[[zlib.crc32(str(i).encode()) % 5 == 0 for i in judge.doc_id]]
+    score, good = forest.scores(quality.features(judge.iloc[:, 1:].to_numpy())), judge.doc_id.to_numpy() % 5 > 0
+    value = lambda t: good[score <= t].sum() / good.sum() - (~good)[score <= t].sum() / (~good).sum()
+    assert len(judge) > 1200 and value(threshold) == pytest.approx(max(map(value, score)))
+
+
 def test_quality_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = quality.quality_verdicts(documents(spark, ODD), none).collect()
