@@ -97,16 +97,18 @@ def coded(places: np.ndarray | None, lengths: np.ndarray, kinds: np.ndarray, wor
     counts = np.ones(len(lane_of), np.int64)
     counts[ends] = 0
     cum, level, slots = np.zeros(len(lane_of), np.uint32), np.zeros(len(lane_of) + 1, np.int16), np.zeros(lanes * 4096 * (places is None), np.int16)
-    one, two = np.zeros(len(lane_of), np.uint16), np.zeros(lanes * PAIRS, np.uint16)  # the place that followed plus 1, times 8, plus a confidence of 1 to 7
-    p2, p1 = np.full(lanes * 8, 32768, np.int32), np.full(lanes * 16, 32768, np.int32)
-    w2, w1, w0 = (np.full(lanes, 22000, np.int32) for _ in range(3))
+    # What followed in each context of order 1 and, after these, of order 2: the place plus 1, times 8, plus a confidence of 1 to 7. Steps take both orders at once, as rows.
+    followed = np.zeros(len(lane_of) + lanes * PAIRS, np.uint16)
+    sure, w = np.full(lanes * 24, 32768, np.int32), np.full((3, lanes), 22000, np.int32)
+    places_at, sure_at, s = np.empty((2, lanes), np.int64), np.empty((2, lanes), np.int64), np.empty((3, lanes), np.int32)
     a = b = kinds
-    first, at_pairs, at_8, at_16, at_slots = at_k, every * PAIRS, every * 8, every * 16, every * 4096
+    first, at_pairs, at_8, at_16, at_slots = at_k, len(lane_of) + every * PAIRS, lanes * 16 + every * 8, every * 16, every * 4096
     n, since, live = lanes, 0, (lengths[:, None] > np.arange(steps)).sum(0).tolist()
     for t in range(steps):
         if live[t] < n:
             n = live[t]
-            w2, w1, w0, a, b, at_k, at_pairs, at_8, at_16, at_slots = (x[:n] for x in (w2, w1, w0, a, b, at_k, at_pairs, at_8, at_16, at_slots))
+            a, b, at_k, at_pairs, at_8, at_16, at_slots = (x[:n] for x in (a, b, at_k, at_pairs, at_8, at_16, at_slots))
+            w, places_at, sure_at, s = (x[:, :n].copy() for x in (w, places_at, sure_at, s))
         if t in FRESH:
             if t:
                 np.add.at(counts, (at_k + out[since:t, :n]).ravel(), RATE)
@@ -122,16 +124,24 @@ def coded(places: np.ndarray | None, lengths: np.ndarray, kinds: np.ndarray, wor
                 slots[:] = 0
                 slots[np.delete(lane_of * 4096 + (cum.astype(np.int64) + 15 >> 4), ends)] = 1
                 slots = (np.cumsum(slots.reshape(lanes, 4096), 1, dtype=np.int16) - np.int16(1)).ravel()
-        i1, i2 = at_k + b, at_pairs + (a * 2053 + b & PAIRS - 1)
-        e1, e2 = one.take(i1), two.take(i2)
-        key1 = e1 >> 3
-        key = np.where(e2, e2, e1) >> 3
-        i_p2, i_p1 = at_8 + (e2 & 7), at_16 + ((e1 & 7) * 2 + (key1 == key))
-        v2, v1 = p2.take(i_p2), p1.take(i_p1)
-        s2, s1, s0 = STRETCH.take(v2 >> 4), STRETCH.take(v1 >> 4), level.take(at_k + key)
-        dot = w2 * s2 + w1 * s1 + w0 * s0 >> 16
+        if places is not None and t % 64 == 0:  # the shares hold closes a step of FRESH, all of which 64 divides
+            given = places[t : t + 64, :n]
+            starts, ends_at = cum.take(at_k + given), cum.take(at_k + given + 1)
+            news = (given + 1).astype(np.uint16)
+            freshes = (news << 3) + 1
+        np.add(at_k, b, out=places_at[0])
+        np.add(at_pairs, a * 2053 + b & PAIRS - 1, out=places_at[1])
+        e = followed.take(places_at)
+        guess, trust = e >> 3, e & 7
+        key = np.where(guess[1], guess[1], guess[0])
+        np.add(at_16, trust[0] * 2 + (guess[0] == key), out=sure_at[0])
+        np.add(at_8, trust[1], out=sure_at[1])
+        v = sure.take(sure_at)
+        s[:2] = STRETCH.take(v >> 4)
+        s[2] = level.take(at_k + key)
+        dot = np.add.reduce(w * s, 0, dtype=np.int32) >> 16
         # Without a guess what is left is the least share, so that q stays below 65,536 and products in 32 bits.
-        p = np.where(key, SQUASH.take(np.maximum(np.minimum(dot, 2047), -2048) + 2048), 16)
+        p = np.where(key, SQUASH.take(dot + 2048, mode="clip"), 16)
         q = (65536 - p).view(np.uint32)
         if places is None:
             x = coder.target(n)
@@ -143,25 +153,21 @@ def coded(places: np.ndarray | None, lengths: np.ndarray, kinds: np.ndarray, wor
             sym += y >= cum.take(at_k + sym + 1)
             sym = np.where(hit & (key > 0), key.astype(np.int64) - 1, sym)
             out[t, :n] = sym
+            i = at_k + sym
+            opens, closes = cum.take(i), cum.take(i + 1)
+            new = (sym + 1).astype(np.uint16)
+            fresh = (new << 3) + 1
         else:
-            sym = places[t, :n]
-            hit = sym + 1 == key
-        i = at_k + sym
-        start = cum.take(i) * q >> 16
-        size = (cum.take(i + 1) * q >> 16) - start
+            sym, opens, closes, new, fresh = (x[t % 64, :n] for x in (given, starts, ends_at, news, freshes))
+            hit = new == key
+        start = opens * q >> 16
+        size = (closes * q >> 16) - start
         coder.take(np.where(hit, 0, start + p.view(np.uint32)), np.where(hit, p.view(np.uint32), size))
         # What was coded teaches every order.
         top = np.where(hit, np.int32(65535), np.int32(0))
-        p2[i_p2] = v2 + (top - v2 >> 5)
-        p1[i_p1] = v1 + (top - v1 >> 5)
-        error = (top - p) * 3 >> 3
-        w2 += s2 * error >> 12
-        w1 += s1 * error >> 12
-        w0 += s0 * error >> 12
-        new = (sym + 1).astype(np.uint16)
-        fresh = (new << 3) + 1
-        one[i1] = np.where(key1 == new, e1 + ((e1 & 7) < 7), fresh)
-        two[i2] = np.where(e2 >> 3 == new, e2 + ((e2 & 7) < 7), fresh)
+        sure[sure_at] = v + (top - v >> 5)
+        w += s * ((top - p) * 3 >> 3) >> 12
+        followed[places_at] = np.where(guess == new, e + (trust < 7), fresh)
         a, b = b, sym
     return out if places is None else coder.finish()
 
