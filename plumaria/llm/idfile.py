@@ -8,7 +8,7 @@ A block starts with its distinct ids; what follows are places in that list. Each
 last, with a confidence) and by order-0 counts. Adaptive probabilities of the three are mixed in the logistic domain with weights that
 learn, in integers only, and the mix gives the share of the range that says the prediction holds. The rest of the range is dealt out by order-0 counts, brought
 up to date at the steps of `FRESH`. A carryless 64-bit range coder takes one decision an id. Blocks are lanes of numpy arrays: encoder and decoder
-take one step for all blocks at a time.
+take one step for all blocks at a time. What the encoder can know before its steps (guesses, shares, whether a guess holds) it finds in passes over many steps.
 
 Defined cases: a null or empty text has the end id alone; texts of any length are whole, and a segment has whole documents; rows are in ascending doc_id order, nulls
 first, and rows that repeat a doc_id each keep their ids; an empty table gives no segment.
@@ -38,161 +38,357 @@ SQUASH = np.array([min(61440, max(32, int(round(65536 / (1 + np.exp(-x / 256))))
 
 
 class Coder:
-    """Low end and range of each lane, and its 32-bit words; the range is 2 ** 32 at least before each decision of 16 bits."""
-
-    def __init__(self, lanes: int, words: list[np.ndarray] | None = None):
-        self.low, self.range, self.at = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U), np.zeros(lanes, np.int64)
-        self.reading = words is not None
-        if words is None:
-            self.words = np.zeros((lanes, 256), np.uint32)
-        else:
-            self.words = np.zeros((lanes, max(map(len, words)) + 4), np.uint32)
-            for i, w in enumerate(words):
-                self.words[i, : len(w)] = w
-            self.code = (self.words[:, 0].astype(U) << SHIFT32) | self.words[:, 1].astype(U)
-            self.at += 2
-
-    def target(self, n: int) -> np.ndarray:
-        """Where in 0 .. 65535 the code of each of the first n lanes is."""
-        return np.minimum((self.code[:n] - self.low[:n]) // (self.range[:n] >> SHIFT16), U(65535)).astype(np.int64)
+    """Low end and range of each lane; the range is 2 ** 32 at least before each decision of 16 bits. Lanes that need a word of 32 bits get it in the same passes as the others."""
 
-    def take(self, start: np.ndarray, size: np.ndarray) -> None:
-        n = len(start)
-        low, span = self.low[:n], self.range[:n]
-        span >>= SHIFT16
-        low += span * start
-        span *= size
-        lanes = np.flatnonzero(span <= MASK32)
-        if len(lanes):
-            lo, sp = low[lanes], span[lanes]
-            # Where the high words of both ends differ, the range is cut at the border between them.
-            span[lanes] = np.where((lo ^ (lo + sp)) > MASK32, (U(0) - lo) & MASK32, sp) << SHIFT32
-            self.shift(lanes, lo)
-
-    def shift(self, lanes: np.ndarray, lo: np.ndarray) -> None:
-        at = self.at[lanes]
-        if self.reading:
-            self.code[lanes] = (self.code[lanes] << SHIFT32) | self.words[lanes, np.minimum(at, self.words.shape[1] - 1)]
-        else:
-            if at.max() + 1 >= self.words.shape[1]:
-                self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
-            self.words[lanes, at] = lo >> SHIFT32
-        self.at[lanes] = at + 1
-        self.low[lanes] = lo << SHIFT32
-
-    def finish(self) -> list[np.ndarray]:
-        for _ in range(2):
-            self.shift(np.arange(len(self.low)), self.low.copy())
-        return [self.words[i, :n].copy() for i, n in enumerate(self.at)]
+    def __init__(self, lanes: int):
+        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
 
+    def only(self, n: int) -> None:
+        """From now on the first n lanes alone; their arrays are views, so that those of the others stay as they are."""
+        self.l, self.r = self.low[:n], self.range[:n]
+        self.t, self.shift, self.more, self.need = np.empty(n, U), np.empty(n, U), np.empty(n, U), np.empty(n, bool)
 
-def coded(places: np.ndarray | None, lengths: np.ndarray, kinds: np.ndarray, words: list[np.ndarray] | None = None):
-    """Encodes places (BLOCK x lanes; column i has lengths[i] of kinds[i] kinds) to words, or decodes words to places. Lengths never rise from lane to lane."""
-    lanes, steps = len(lengths), int(lengths.max())
-    coder, every = Coder(lanes, words), np.arange(lanes)
-    out = places if places is not None else np.zeros((steps, lanes), np.int64)
-    # Tables by place lie end to end, a lane's and then an entry more, which stands for "none" and for the end of the range.
-    at_k = np.cumsum(kinds + 1) - kinds - 1
-    lane_of, ends = np.repeat(every, kinds + 1), at_k + kinds
-    counts = np.ones(len(lane_of), np.int64)
-    counts[ends] = 0
-    cum, level, slots = np.zeros(len(lane_of), np.uint32), np.zeros(len(lane_of) + 1, np.int16), np.zeros(lanes * 4096 * (places is None), np.int16)
-    # What followed in each context of order 1 and, after these, of order 2: the place plus 1, times 8, plus a confidence of 1 to 7. Steps take both orders at once, as rows.
-    followed = np.zeros(len(lane_of) + lanes * PAIRS, np.uint16)
-    sure, w = np.full(lanes * 24, 32768, np.int32), np.full((3, lanes), 22000, np.int32)
-    places_at, sure_at, s = np.empty((2, lanes), np.int64), np.empty((2, lanes), np.int64), np.empty((3, lanes), np.int32)
-    a = b = kinds
-    first, at_pairs, at_8, at_16, at_slots = at_k, len(lane_of) + every * PAIRS, lanes * 16 + every * 8, every * 16, every * 4096
-    n, since, live = lanes, 0, (lengths[:, None] > np.arange(steps)).sum(0).tolist()
-    for t in range(steps):
-        if live[t] < n:
-            n = live[t]
-            a, b, at_k, at_pairs, at_8, at_16, at_slots = (x[:n] for x in (a, b, at_k, at_pairs, at_8, at_16, at_slots))
-            w, places_at, sure_at, s = (x[:, :n].copy() for x in (w, places_at, sure_at, s))
+    def narrow(self, size: np.ndarray) -> None:
+        """The range, a 65,536th of what it was, becomes that of the decision; need, and more as a number, say which lanes are to shift by a word."""
+        span, t = self.r, self.t
+        span *= size
+        np.less_equal(span, MASK32, out=self.need)
+        # Where the high words of both ends differ, the range is cut at the border between them.
+        np.add(self.l, span, out=t)
+        t ^= self.l
+        far = t > MASK32
+        far &= self.need
+        if np.count_nonzero(far):
+            lanes = np.flatnonzero(far)
+            span[lanes] = (U(0) - self.l[lanes]) & MASK32
+        self.more[:] = self.need
+        np.left_shift(self.more, U(5), out=self.shift)
+        span <<= self.shift
+
+
+class Writer(Coder):
+    """Codes decisions; words() has those of each lane."""
+
+    def __init__(self, lanes: int):
+        super().__init__(lanes)
+        self.out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def code(self, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Decisions of the first lanes, a row for each step."""
+        n = starts.shape[1]
+        self.only(n)
+        lows, needs = np.empty(starts.shape, U), np.empty(starts.shape, bool)
+        low, span, t = self.l, self.r, self.t
+        for start, size, at, need in zip(starts, sizes, lows, needs, strict=True):
+            span >>= SHIFT16
+            np.multiply(span, start, out=t)
+            self.l, self.need = np.add(low, t, out=at), need
+            self.narrow(size)
+            np.left_shift(at, self.shift, out=low)
+        at = np.flatnonzero(needs)
+        self.out.append((at % n, (lows.ravel()[at] >> SHIFT32).astype(np.uint32)))
+
+    def words(self) -> list[np.ndarray]:
+        every = np.arange(len(self.low))
+        self.out += [(every, (self.low >> SHIFT32).astype(np.uint32)), (every, (self.low & MASK32).astype(np.uint32))]
+        lanes, said = (np.concatenate(x) for x in zip(*self.out, strict=True))
+        order = np.argsort(lanes.astype(np.uint16) if len(every) < 1 << 16 else lanes, kind="stable")
+        return np.split(said[order], np.cumsum(np.bincount(lanes, minlength=len(every)))[:-1])
+
+
+class Reader(Coder):
+    """Where the code of each lane is above its low end, and the words that follow."""
+
+    def __init__(self, words: list[np.ndarray]):
+        super().__init__(len(words))
+        pad = np.zeros(4, np.uint32)
+        self.words = np.concatenate([x for w in words for x in (w, pad)]).astype(U)
+        self.at = np.cumsum([0, *(len(w) + 4 for w in words)])[:-1]
+        self.above = (self.words[self.at] << SHIFT32) | self.words[self.at + 1]
+        self.at += 2
+
+    def only(self, n: int) -> None:
+        super().only(n)
+        self.d, self.a, self.x = self.above[:n], self.at[:n], np.empty(n, U)
+
+    def target(self) -> np.ndarray:
+        """Where in 0 .. 65535 the code of each lane is."""
+        self.r >>= SHIFT16
+        np.floor_divide(self.d, self.r, out=self.x)
+        return np.minimum(self.x, U(65535), out=self.x).astype(np.int32)
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        np.multiply(self.r, start, out=self.t)
+        self.l += self.t
+        self.d -= self.t
+        self.narrow(size)
+        self.l <<= self.shift
+        self.d <<= self.shift
+        np.multiply(self.words.take(self.a, mode="clip"), self.more, out=self.t)
+        self.d += self.t
+        self.a += self.more.view(np.int64)
+
+
+class Shares:
+    """The shares of order 0 of all lanes. Tables by place lie end to end, a lane's and then an entry more, which stands for "none" and for the end of the range."""
+
+    def __init__(self, lengths: np.ndarray, kinds: np.ndarray, slots: bool):
+        self.lengths, self.kinds = lengths, kinds
+        self.at = np.cumsum(kinds + 1) - kinds - 1
+        self.lane_of, self.ends = np.repeat(np.arange(len(kinds)), kinds + 1), self.at + kinds
+        self.counts = np.ones(len(self.lane_of), np.int64)
+        self.counts[self.ends] = 0
+        self.cum, self.level = np.zeros(len(self.lane_of), np.uint32), np.zeros(len(self.lane_of) + 1, np.int16)
+        self.slots, self.number = None, (np.arange(len(self.lane_of)) - np.repeat(self.at, kinds + 1)).astype(np.int16) if slots else None
+
+    def learn(self, places: np.ndarray) -> None:
+        """places: of the tables, as often as they came."""
+        self.counts += RATE * np.bincount(places.ravel(), minlength=len(self.counts))
+
+    def renew(self, t: int) -> None:
+        scale = ((65536 - 16 * self.kinds) << 15) // (self.kinds + RATE * np.minimum(t, self.lengths))
+        share = (self.counts * np.repeat(scale, self.kinds + 1) >> 15) + 16
+        share[self.ends] = 0
+        share[self.ends - 1] += 65536 - np.add.reduceat(share, self.at)
+        self.level[1:] = STRETCH.take(share >> 4)  # of place k at k + 1: a guess is kept plus 1
+        self.cum[:] = np.cumsum(share) - share - 65536 * self.lane_of
+        self.cum[self.ends] = 65536
+        if self.number is not None:  # the place at each 16th of the range: no share is less, so the one sought is it or the next
+            first = self.cum + np.uint32(15) >> np.uint32(4)
+            width = np.diff(first.astype(np.int64), append=0)
+            width[self.ends] = 0
+            self.slots = np.repeat(self.number, width)
+
+
+class Mixer:
+    """Adaptive probabilities, 16 a lane for order 1 and, after these, 8 a lane for order 2, and the weights of the three orders."""
+
+    def __init__(self, lanes: int):
+        self.sure, self.weights = np.full(lanes * 24, 32768, np.int32), np.full((3, lanes), 22000, np.int32)
+        self.lanes = lanes
+
+    def only(self, n: int) -> None:
+        every = np.arange(n)
+        self.w, self.m, self.v4 = self.weights[:, :n].copy(), np.empty((3, n), np.int32), np.empty((2, n), np.int64)
+        self.at_16, self.at_8 = every * 16, self.lanes * 16 + every * 8
+
+    def close(self) -> None:
+        self.weights[:, : self.w.shape[1]] = self.w
+
+    def mix(self, at: np.ndarray, s: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The share of the guesses. at: which of the probabilities hold; s: the third row has the level of order 0, the others are filled in."""
+        v = self.v = self.sure.take(at)
+        STRETCH.take(np.right_shift(v, 4, out=self.v4), out=s[:2], mode="clip")
+        m = np.multiply(self.w, s, out=self.m)
+        dot = np.add(m[0], m[1], out=m[0])
+        dot += m[2]
+        dot >>= 16
+        dot += 2048
+        return SQUASH.take(dot, out=out, mode="clip")
+
+    def learn(self, at: np.ndarray, s: np.ndarray, top: np.ndarray, p: np.ndarray) -> None:
+        """top: 65535 where the guess held, else 0."""
+        error = top - p
+        error *= 3
+        error >>= 3
+        m = np.multiply(s, error, out=self.m)
+        m >>= 12
+        self.w += m
+        new = top - self.v
+        new >>= 5
+        new += self.v
+        self.sure[at] = new
+
+
+def foreseen(rows: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of rows (lane by lane) the guess plus 1, or 0, and in bits what is known of it: 0 to 3 which probability of order 1 holds, 4 to 6 which of order 2, 7 whether the guess is right.
+
+    The encoder knows what comes, so what followed in each context is found by sorting a lane's places by context, not step by step.
+    """
+    lanes, steps = rows.shape
+    keys, marks = np.empty((lanes, steps), np.uint16), np.empty((lanes, steps), np.uint8)
+    for low in range(0, lanes, 8):
+        part = rows[low : low + 8]
+        none = kinds[low : low + 8, None].astype(np.uint16)
+        one = np.concatenate([none, part[:, :-1]], 1)
+        two = (np.concatenate([none, one[:, :-1]], 1) * np.uint16(2053) + one) & np.uint16(PAIRS - 1)
+        said, size = part.ravel(), part.size
+        every, first, found = np.arange(size, dtype=np.int32), np.arange(0, size, steps), []
+        for context in (one, two):
+            order = np.argsort(context, 1, kind="stable")
+            order += first[:, None]
+            order = order.ravel()
+            c, s = context.ravel()[order], said[order]
+            same, again = np.empty(size, bool), np.empty(size, bool)
+            np.equal(c[1:], c[:-1], out=same[1:])
+            same[first] = False
+            np.equal(s[1:], s[:-1], out=again[1:])
+            again &= same
+            run = every - np.maximum.accumulate(np.where(again, np.int32(0), every))
+            np.minimum(run, 6, out=run)
+            # What followed last plus 1, times 8, plus how often in a row: up to 7.
+            e = (s << np.uint16(3)) + run.astype(np.uint16) + np.uint16(9)
+            entry = np.zeros(size, np.uint16)
+            entry[order[1:]] = e[:-1] * same[1:]
+            found.append((entry >> np.uint16(3), (entry & np.uint16(7)).astype(np.uint8)))
+        (guess_1, trust_1), (guess_2, trust_2) = found
+        key = np.where(guess_2 > 0, guess_2, guess_1)
+        keys[low : low + 8] = key.reshape(part.shape)
+        mark = trust_2 << np.uint8(3)
+        mark += trust_1
+        mark <<= np.uint8(1)
+        mark += guess_1 == key
+        mark[key == said + np.uint16(1)] += np.uint8(128)
+        marks[low : low + 8] = mark.reshape(part.shape)
+    return keys, marks
+
+
+def spells(lengths: np.ndarray):
+    """(first step, end, lanes) of stretches of steps that have the same lanes and shares: all FRESH are multiples of 64."""
+    steps = int(lengths.max())
+    cuts = np.unique(np.concatenate([np.arange(0, steps, 64), lengths[lengths > 0]])).tolist()
+    for t, end in zip(cuts, cuts[1:], strict=False):
+        yield t, end, int((lengths > t).sum())
+
+
+def encode(rows: np.ndarray, lengths: np.ndarray, kinds: np.ndarray) -> list[np.ndarray]:
+    """The words of each lane. rows: a lane's places in each; row i has lengths[i] of kinds[i] kinds."""
+    lanes = len(lengths)
+    keys, marks = foreseen(rows, kinds)
+    coder, shares, mixer, since = Writer(lanes), Shares(lengths, kinds, False), Mixer(lanes), 0
+    for t, end, n in spells(lengths):
+        at_k = shares.at[:n, None]
         if t in FRESH:
             if t:
-                np.add.at(counts, (at_k + out[since:t, :n]).ravel(), RATE)
+                shares.learn(at_k + rows[:n, since:t])
                 since = t
-            scale = ((65536 - 16 * kinds) << 15) // (kinds + RATE * np.minimum(t, lengths))
-            share = (counts * np.repeat(scale, kinds + 1) >> 15) + 16
-            share[ends] = 0
-            share[ends - 1] += 65536 - np.add.reduceat(share, first)
-            level[1:] = STRETCH.take(share >> 4)  # of place k at k + 1: a guess is kept plus 1
-            cum[:] = np.cumsum(share) - share - 65536 * lane_of
-            cum[ends] = 65536
-            if places is None:  # the place at each 16th of the range: no share is less, so the one sought is it or the next
-                slots[:] = 0
-                slots[np.delete(lane_of * 4096 + (cum.astype(np.int64) + 15 >> 4), ends)] = 1
-                slots = (np.cumsum(slots.reshape(lanes, 4096), 1, dtype=np.int16) - np.int16(1)).ravel()
-        if places is not None and t % 64 == 0:  # the shares hold closes a step of FRESH, all of which 64 divides
-            given = places[t : t + 64, :n]
-            starts, ends_at = cum.take(at_k + given), cum.take(at_k + given + 1)
-            news = (given + 1).astype(np.uint16)
-            freshes = (news << 3) + 1
-        np.add(at_k, b, out=places_at[0])
-        np.add(at_pairs, a * 2053 + b & PAIRS - 1, out=places_at[1])
-        e = followed.take(places_at)
-        guess, trust = e >> 3, e & 7
-        key = np.where(guess[1], guess[1], guess[0])
-        np.add(at_16, trust[0] * 2 + (guess[0] == key), out=sure_at[0])
-        np.add(at_8, trust[1], out=sure_at[1])
-        v = sure.take(sure_at)
-        s[:2] = STRETCH.take(v >> 4)
-        s[2] = level.take(at_k + key)
-        dot = np.add.reduce(w * s, 0, dtype=np.int32) >> 16
+            shares.renew(t)
+        mixer.only(n)
+        places = at_k + rows[:n, t:end]
+        key, mark = keys[:n, t:end], marks[:n, t:end].T.copy()
+        opens, closes = shares.cum.take(places).T, shares.cum.take(places + 1).T
+        s, at = np.empty((end - t, 3, n), np.int32), np.empty((end - t, 2, n), np.int64)
+        s[:, 2] = shares.level.take(at_k + key).T
+        np.add(mixer.at_16, mark & 15, out=at[:, 0])
+        np.add(mixer.at_8, mark >> 4 & 7, out=at[:, 1])
+        hit = mark > 127
+        top = hit * np.int32(65535)
         # Without a guess what is left is the least share, so that q stays below 65,536 and products in 32 bits.
-        p = np.where(key, SQUASH.take(dot + 2048, mode="clip"), 16)
-        q = (65536 - p).view(np.uint32)
-        if places is None:
-            x = coder.target(n)
-            hit = x < p
-            # The last y with (y * q >> 16) <= x - p; floats hold all of these numbers exactly enough.
-            y = np.maximum(((x - p + 1 << 16) - 1) / q, 0).astype(np.int64)
-            y = np.minimum(y, 65535)
-            sym = slots.take(at_slots + (y >> 4)).astype(np.int64)
-            sym += y >= cum.take(at_k + sym + 1)
-            sym = np.where(hit & (key > 0), key.astype(np.int64) - 1, sym)
-            out[t, :n] = sym
-            i = at_k + sym
-            opens, closes = cum.take(i), cum.take(i + 1)
-            new = (sym + 1).astype(np.uint16)
-            fresh = (new << 3) + 1
-        else:
-            sym, opens, closes, new, fresh = (x[t % 64, :n] for x in (given, starts, ends_at, news, freshes))
-            hit = new == key
+        most, shared = np.where(key.T > 0, np.int32(65536), np.int32(16)), np.empty((end - t, n), np.int32)
+        for i in range(end - t):
+            p = mixer.mix(at[i], s[i], shared[i])
+            np.minimum(p, most[i], out=p)
+            mixer.learn(at[i], s[i], top[i], p)
+        mixer.close()
+        p, q = shared.view(np.uint32), (65536 - shared).view(np.uint32)
         start = opens * q >> 16
         size = (closes * q >> 16) - start
-        coder.take(np.where(hit, 0, start + p.view(np.uint32)), np.where(hit, p.view(np.uint32), size))
-        # What was coded teaches every order.
-        top = np.where(hit, np.int32(65535), np.int32(0))
-        sure[sure_at] = v + (top - v >> 5)
-        w += s * ((top - p) * 3 >> 3) >> 12
-        followed[places_at] = np.where(guess == new, e + (trust < 7), fresh)
-        a, b = b, sym
-    return out if places is None else coder.finish()
-
-
-def places_in(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of a block, rising, and the place of each of its ids among them."""
-    if block.max() >= 1 << 20:
-        return np.unique(block, return_inverse=True)
-    there = np.zeros(int(block.max()) + 1, np.int32)
-    there[block] = 1
-    distinct = np.flatnonzero(there)
-    there[distinct] = np.arange(len(distinct))
-    return distinct, there[block]
+        coder.code(np.where(hit, 0, start + p).astype(U), np.where(hit, p, size).astype(U))
+    return coder.words()
+
+
+def decode(words: list[np.ndarray], lengths: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The places that encode() had, a row for each step."""
+    lanes, every = len(lengths), np.arange(len(lengths))
+    out = np.zeros((int(lengths.max()), lanes), np.uint16)
+    coder, shares, mixer, since, before = Reader(words), Shares(lengths, kinds, True), Mixer(lanes), 0, 0
+    cum, level = shares.cum, shares.level
+    # What followed in each context of order 1 and, after these, of order 2: the place plus 1, times 8, plus a confidence of 1 to 7. Steps take both orders at once, as rows.
+    followed = np.zeros(len(cum) + lanes * PAIRS, np.uint16)
+    b, times = kinds, kinds * 2053
+    for t, end, n in spells(lengths):
+        if n != before:
+            before, at_k, at_pairs, at_slots = n, shares.at[:n], len(cum) + every[:n] * PAIRS, every[:n] * 4096
+            b, times = b[:n], times[:n]
+            followed_at, sure_at, s, f = np.empty((2, n), np.int64), np.empty((2, n), np.int64), np.empty((3, n), np.int32), np.empty(n)
+            i, squashed = np.empty(n, np.int64), np.empty(n, np.int32)
+            np.add(at_k, b, out=followed_at[0])
+            coder.only(n)
+            mixer.only(n)
+        if t in FRESH:
+            if t:
+                shares.learn(at_k + out[since:t, :n])
+                since = t
+            shares.renew(t)
+            slots = shares.slots
+        for step in range(t, end):
+            np.add(times, b, out=i)
+            i &= PAIRS - 1
+            np.add(at_pairs, i, out=followed_at[1])
+            e = followed.take(followed_at)
+            guess, trust = e >> 3, e & 7
+            key = np.where(guess[1] > 0, guess[1], guess[0])
+            at_key = at_k + key
+            which = trust[0] << 1
+            which += guess[0] == key
+            np.add(mixer.at_16, which, out=sure_at[0])
+            np.add(mixer.at_8, trust[1], out=sure_at[1])
+            s[2] = level.take(at_key)
+            # Without a guess what is left is the least share, so that q stays below 65,536 and products in 32 bits.
+            held = mixer.mix(sure_at, s, squashed)
+            held *= key > 0
+            p = np.maximum(held, 16)
+            q = (65536 - p).view(np.uint32)
+            x = coder.target()
+            hit = x < held
+            x -= p
+            # The last y with (y * q >> 16) <= x, a 16th of it; floats hold all of these numbers exactly enough. Lanes with a hit get any place of the tables.
+            np.add(x, 1 - 2**-16, out=f)
+            f *= 4096
+            f /= q
+            i[:] = f
+            i += at_slots
+            np.add(at_k, slots.take(i, mode="clip"), out=i)
+            i += 1
+            i -= (cum.take(i, mode="clip") * q >> 16).view(np.int32) > x
+            opens, closes = cum.take(i, mode="clip"), cum.take(i + 1, mode="clip")
+            opens *= q
+            opens >>= 16
+            closes *= q
+            closes >>= 16
+            closes -= opens
+            opens += p.view(np.uint32)
+            coder.take(np.where(hit, 0, opens), np.where(hit, p.view(np.uint32), closes))
+            at_key -= 1
+            i = np.where(hit, at_key, i)
+            times = b * 2053
+            b = i - at_k
+            out[step, :n] = b
+            # What was coded teaches every order.
+            mixer.learn(sure_at, s, hit * np.int32(65535), p)
+            new = out[step, :n] + np.uint16(1)
+            followed[followed_at] = np.where(guess == new, np.minimum(e + np.uint16(1), e | np.uint16(7)), (new << 3) + np.uint16(1))
+            followed_at[0] = i
+        mixer.close()
+    return out
+
+
+def coded(places: np.ndarray | None, lengths: np.ndarray, kinds: np.ndarray, words: list[np.ndarray] | None = None):
+    """Encodes places (BLOCK x lanes; column i has lengths[i] of kinds[i] kinds) to words, or decodes words to places. Lengths never rise from lane to lane."""
+    return decode(words, lengths, kinds) if places is None else encode(np.ascontiguousarray(places.T, np.uint16), lengths, kinds)
+
+
+def places_in(block: np.ndarray, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a block, rising, and the place of each of its ids among them. scratch: room for a number for each id; ids beyond it are searched for."""
+    ids = np.sort(block.astype(np.uint16) if len(scratch) <= 1 << 16 else block, kind="stable")  # a radix sort where ids have 16 bits
+    distinct = ids[np.append(True, ids[1:] != ids[:-1])].astype(np.int64)
+    if distinct[-1] >= len(scratch):
+        return distinct, np.searchsorted(distinct, block)
+    scratch[distinct] = np.arange(len(distinct))
+    return distinct, scratch[block]
 
 
 def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """A segment of documents, their ids end to end."""
     blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    kinds, places = [], np.zeros((BLOCK, len(blocks)), np.int64)
+    kinds, places = [], np.zeros((len(blocks), BLOCK), np.uint16)
+    scratch = np.empty(min(int(ids.max(initial=0)) + 1, 1 << 20), np.int32)
     for i, block in enumerate(blocks):
-        distinct, at = places_in(block)
+        distinct, at = places_in(block, scratch)
         kinds.append(distinct)
-        places[: len(block), i] = at
+        places[i, : len(block)] = at
     lengths = np.array([len(b) for b in blocks], np.int64)
-    words = coded(places, lengths, np.array([len(k) for k in kinds], np.int64))
+    words = coded(places.T, lengths, np.array([len(k) for k in kinds], np.int64))
     known = np.array([d is not None for d in doc_ids], np.uint8)
     head = struct.pack("<5sqqq", b"PLID3", len(doc_ids), len(ids), len(blocks)) + known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + counts.astype("<i8").tobytes()
     parts = [head]
@@ -222,7 +418,7 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         lengths.append(length)
         sums.append(crc)
     places = coded(None, np.array(lengths), np.array([len(k) for k in kinds]), words)
-    out = [k[places[:m, i]] for i, (k, m) in enumerate(zip(kinds, lengths, strict=True))]
+    out = [k[at[:m]] for k, m, at in zip(kinds, lengths, np.ascontiguousarray(places.T), strict=True)]
     for i, (block, crc) in enumerate(zip(out, sums, strict=True)):
         if zlib.crc32(block.astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i} is damaged")
@@ -262,6 +458,11 @@ def library(path: str) -> LibraryIds:
     return LibraryIds(path)
 
 
+def parts_of(total: int, segment_ids: int, cores: int) -> int:
+    """So many parts that each is a segment of five sixths of segment_ids, as a step of the coder costs about the same for few blocks as for many; of few ids so many that all cores have some, an eighth of a segment at least."""
+    return max(-(-total * 6 // (segment_ids * 5)), min(cores, -(-total * 8 // segment_ids)), 1)
+
+
 def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 1, segment_ids: int = 8_000_000, folder: str | None = None) -> str:
     """Writes segments (part, seq, before, n_ids, data) in ascending doc_id order and returns their folder; before: ids of the part's earlier segments."""
     import uuid
@@ -275,13 +476,13 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 1, segment
         coder = library(path)
         for batch, texts in arrow_parts(batches):
             ids, starts, *_ = coder.encode(texts, decoded=False)
-            small = max(int(ids.max(initial=0)), end_id) < 1 << 16
+            small, n = max(int(ids.max(initial=0)), end_id) < 1 << 16, np.diff(starts) + 1
             raw, end = (ids.astype("<u2"), struct.pack("<H", end_id)) if small else (ids.astype("<u4"), struct.pack("<I", end_id))
-            yield arrow_rows({"doc_id": batch.column("doc_id"), "ids": pa.array([raw[a:b].tobytes() + end for a, b in zip(starts, starts[1:], strict=False)], pa.binary()), "small": [small] * batch.num_rows})
+            yield arrow_rows({"doc_id": batch.column("doc_id"), "ids": pa.array([raw[a:b].tobytes() + end for a, b in zip(starts, starts[1:], strict=False)], pa.binary()), "small": [small] * batch.num_rows, "n": n.astype(np.int64)})
 
     # Written first: sorting by range reads its input twice, and encoding is the dear part.
-    ids = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, small boolean"), "encoded")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ids = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, small boolean, n long"), "encoded")
+    parts = parts_of(ids.agg(F.sum("n")).first()[0] or 0, segment_ids, spark.sparkContext.defaultParallelism)
 
     def segments(batches):
         from pyspark import TaskContext
@@ -309,7 +510,7 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 1, segment
             yield flush()
 
     # The sample that sets the ranges goes to the driver, so of the ids it has only the beginning, which sorts alike.
-    ids.repartitionByRange(parts, "doc_id", F.substring("ids", 1, 64)).sortWithinPartitions("doc_id", "ids").mapInArrow(segments, "part long, seq long, before long, n_ids long, data binary").write.option("compression", "none").parquet(folder)
+    ids.drop("n").repartitionByRange(parts, "doc_id", F.substring("ids", 1, 64)).sortWithinPartitions("doc_id", "ids").mapInArrow(segments, "part long, seq long, before long, n_ids long, data binary").write.option("compression", "none").parquet(folder)
     return folder
 
 

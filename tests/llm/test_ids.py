@@ -45,3 +45,34 @@ def test_files(spark):
     got = [tuple(r) for r in idfile.read_ids(spark, idfile.write_ids(docs)).collect()]
     assert sorted(got, key=lambda r: r[1]) == want
     assert idfile.read_ids(spark, idfile.write_ids(docs.limit(0))).count() == 0
+
+
+def test_foreseen_equals_step_by_step():
+    rng = np.random.default_rng(4)
+    rows, kinds = np.minimum(rng.zipf(1.4, (11, 700)), 300).astype(np.uint16) - 1, np.array([300] * 11)
+    rows[3] = 7
+    keys, marks = idfile.foreseen(rows.astype(np.uint16), kinds)
+    for row, key, mark in zip(rows.tolist(), keys.tolist(), marks.tolist(), strict=True):
+        last, a, b = ({}, {}), 300, 300
+        for t, place in enumerate(row):
+            held = [last[0].get(b, (0, 0)), last[1].get(a * 2053 + b & idfile.PAIRS - 1, (0, 0))]
+            guess = held[1][0] or held[0][0]
+            assert key[t] == guess
+            assert mark[t] == held[0][1] * 2 + (held[0][0] == guess) + 16 * held[1][1] + 128 * (guess == place + 1)
+            for table, context, (g, trust) in zip(last, (b, a * 2053 + b & idfile.PAIRS - 1), held, strict=True):
+                table[context] = (place + 1, min(trust + 1, 7) if g == place + 1 else 1)
+            a, b = b, place
+
+
+def test_segments_are_filled_whatever_the_shuffle_partitions(spark):
+    docs = spark.range(0, 3000, 1, 7).selectExpr("id AS doc_id", "repeat('word ', 1 + id % 9) AS text")
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 60)
+    try:
+        folder = idfile.write_ids(docs, segment_ids=9000)
+        got = sorted((r.start, r.doc_id, r.n_tokens) for r in idfile.read_ids(spark, folder).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert [d for _, d, _ in got] == list(range(3000)) and [s for s, _, _ in got] == np.cumsum([0, *(n for _, _, n in got)])[:-1].tolist()
+    sizes = [r.n_ids for r in spark.read.parquet(folder).select("n_ids").collect()]
+    assert max(sizes) <= 9000 and len(sizes) < 1.6 * sum(sizes) / 9000 + spark.sparkContext.defaultParallelism
