@@ -54,3 +54,17 @@ def test_matches_of_more_terms_than_go_to_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(R, "WANTED", 1)
     assert told() == few
     assert [tuple(r) for r in R.concept_hits(notes, terms).orderBy("doc_id", "cid").collect()] == [(None, "c", 2), (1, "a", 7), (1, "b", 6)]
+
+
+def test_pairs_are_scored_in_blocks(spark):
+    from plumaria.operators import confidence as C
+
+    rows = [(d, k, 0.5 if k < 9 else 0.1, 40) for d in range(40) for k in {d % 3, 3 + d % 5, 9 + d % 7, 20}]
+    w = spark.createDataFrame(rows, "doc_id long, key long, w double, df long")
+    notes = spark.createDataFrame([(d, "e" if d % 2 else None) for d in range(40)], "doc_id long, event string").withColumn("date", F.lit(None).cast("date"))
+    told = lambda df: sorted((r["a"], r["b"], round(r["confidence"], 9), tuple(r["reasons"])) for r in df.collect())
+    whole, parts = C.pair_confidence(w, None, None, notes, least=0.1, rows=40), C.pair_confidence(w, None, None, notes, least=0.1, rows=7)
+    assert shuffled(parts) == 1  # pairs are not shuffled, only blocks of notes
+    assert told(whole) == told(parts) and len(told(whole)) > 50
+    ranked = lambda df: sorted(map(tuple, R.top_neighbours(df.withColumnRenamed("confidence", "score"), 3).select("note", "other", "rank").collect()))
+    assert ranked(C.pair_confidence(w, None, None, notes, least=0.1, rows=7, best=3)) == ranked(whole)
