@@ -37,9 +37,12 @@ KINDS = np.full(256, OTHER, np.uint8)
 KINDS[[9, 10, 11, 12, 13, 32]] = SPACE
 KINDS[[*range(97, 123), *range(128, 256)]] = LETTER
 KINDS[48:58] = DIGIT
+KIND_BYTES, ASCII = KINDS.tobytes(), bytes(range(128))
 #: The bytes that count of 8, by how many a piece has.
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 NONE = np.iinfo(np.int64).max
+#: Slots of the pairs that merge, in powers of two; a rank that no pair has; symbols of a piece that goes in a column, of 32 at most for `merged`, and columns at once.
+PAIR_SLOTS, UNRANKED, SHORT, COLUMNS = 19, 1 << 25, 31, 8192
 
 
 def default_path() -> str:
@@ -57,7 +60,7 @@ def byte_characters() -> list[str]:
 
 def cuts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the pieces of `USUAL` start and end in bytes that end in two blanks."""
-    kind = KINDS[raw]
+    kind = np.frombuffer(raw.tobytes().translate(KIND_BYTES), np.uint8)
     starts = kind != SPACE
     ends = starts.copy()
     change = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
@@ -111,6 +114,11 @@ class Bpe:
         left, right, new = (np.array([self.vocab[x] for x in part], np.int64) for part in ([m[0] for m in merges], [m[1] for m in merges], [m[0] + m[1] for m in merges]))
         order = np.argsort(left * self.size + right, kind="stable")
         self.keys, self.ranks, self.news = (left * self.size + right)[order], order, new[order]
+        #: Where in keys the pair is that a hash names: -1 none, -2 several, which are searched for. By rank, what a merge makes.
+        self.made = new.astype(np.int32)
+        slot = self.pair_slots(self.keys)
+        self.pairs = np.full(1 << PAIR_SLOTS, -1, np.int32)
+        self.pairs[slot] = np.where(np.bincount(slot, minlength=len(self.pairs))[slot] > 1, -2, np.arange(len(slot)))
         #: Whether each token has one merge that makes it: then a merge's result cannot outrank the merge, and one round may merge all places.
         self.single = len(np.unique(new)) == len(new)
         chars = byte_characters()
@@ -166,10 +174,13 @@ class Bpe:
         if text.isascii():
             return text.lower()
         said = text.decode("utf-8", "replace")
-        chars = set(said)
+        # Where nothing was replaced the bytes are whole characters, and those outside ASCII can be had alone.
+        chars = set(said if "\ufffd" in said else text.translate(None, ASCII).decode())
         if not chars <= self.plain:
             self.probe(chars - self.plain - self.odd)
-        return said.lower().encode() if chars <= self.plain else None
+        if not chars <= self.plain:
+            return None
+        return said.lower().encode() if "\ufffd" in chars or any(c.lower() != c for c in chars) else text.lower()
 
     def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all texts' pieces in the cache, end to end, and where each text's start. New pieces get numbers; remember() is to follow."""
@@ -227,8 +238,88 @@ class Bpe:
         at[missing] = number[which]
         return at
 
+    def pair_slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_SLOTS)).astype(np.int64)
+
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, `UNRANKED` where no merge has them."""
+        keys = left.astype(np.int64) * self.size + right
+        at = self.pairs.take(self.pair_slots(keys))
+        several = np.flatnonzero(at == -2)
+        if len(several):
+            at[several] = np.minimum(np.searchsorted(self.keys, keys[several]), len(self.keys) - 1)
+        return np.where((self.keys.take(at, mode="clip") == keys) & (at >= 0), self.ranks.take(at, mode="clip"), UNRANKED)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, end to end, and how many each has."""
+        """Ids of all pieces, end to end, and how many each has. Short pieces go in columns of about the same length."""
+        n = np.array([len(w) for w in words], np.int64)
+        raw, first = np.frombuffer(b"".join(words), np.uint8), np.cumsum(n) - n
+        ends = np.zeros(len(raw), np.int64)
+        ends[(first + n - 1)[n > 0]] = 1
+        sym = self.bytes[raw, ends].astype(np.int32)
+        rest = n > SHORT
+        if len(sym) and sym.min() < 0:
+            rest |= np.bincount(np.repeat(np.arange(len(words)), n)[sym < 0], minlength=len(words)) > 0
+        order = np.argsort(n, kind="stable")
+        order = order[(n[order] > 0) & ~rest[order]]
+        ids, counts, found = [], np.zeros(len(words), np.int64), []
+        for low in range(0, len(order), COLUMNS):
+            at = order[low : low + COLUMNS]
+            got, counts[at] = self.merged(sym, first[at], n[at])
+            ids.append(got)
+            found.append(at)
+        if rest.any():
+            at = np.flatnonzero(rest)
+            got, counts[at] = self.merged_long([words[i] for i in at])
+            ids.append(got)
+            found.append(at)
+        if not ids:
+            return np.zeros(0, np.int32), counts
+        ids, found = np.concatenate(ids), np.concatenate(found)
+        out, size, start = np.empty(len(ids), np.int32), counts[found], (np.cumsum(counts) - counts)[found]
+        out[np.repeat(start - np.cumsum(size) + size, size) + np.arange(len(ids))] = ids
+        return out, counts
+
+    def merged(self, sym: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of SHORT symbols at most, whose lengths rise, and how many each has.
+
+        A column for each piece, flat: place k of piece i is at k * pieces + i. Each round merges the first pair of the lowest rank of each piece, as the library does; only the pairs at it get new ranks.
+        """
+        pieces, longest = len(n), int(n[-1])
+        every, k = np.arange(pieces), np.arange(longest)[:, None]
+        own = k < n
+        sym = np.where(own, sym.take(first + k, mode="clip"), 0)
+        rank = np.full((longest, pieces), UNRANKED << 5, np.int32)
+        rank[:-1] = self.ranked(sym[:-1].ravel(), sym[1:].ravel()).reshape(longest - 1, pieces) << 5
+        rank[:-1][~own[1:]] = UNRANKED << 5
+        rank |= k.astype(np.int32)
+        # Of each place the next one, and the one before plus 1, where 0 is none; a last row for what is past the end.
+        after, before = np.repeat(np.arange(1, longest + 2, dtype=np.int8), pieces), np.repeat(np.arange(longest + 1, dtype=np.int8), pieces)
+        sym, kept, live, n = sym.ravel(), own.copy().ravel(), every, n.astype(np.int8)
+        flat = rank.ravel()
+        while len(live):
+            low = (rank if len(live) == pieces else rank[:, live]).min(0)
+            more = low < UNRANKED << 5
+            live, low = live[more], low[more]
+            j, new = low & 31, self.made.take(low >> 5)
+            at = j * pieces + live
+            gone = after.take(at)
+            gone_at = gone.astype(np.int64) * pieces + live
+            next_ = after.take(gone_at)
+            kept[gone_at], flat[gone_at], sym[at], after[at] = False, UNRANKED << 5, new, next_
+            inside = next_ < n.take(live)
+            next_at = next_.astype(np.int64) * pieces + live
+            before[next_at] = j + 1
+            flat[at] = np.where(inside, self.ranked(new, sym.take(next_at, mode="clip")), UNRANKED) << 5 | j
+            back = before.take(at).astype(np.int32) - 1
+            some = np.flatnonzero(back >= 0)
+            back_at = back[some] * pieces + live[some]
+            flat[back_at] = self.ranked(sym.take(back_at), new[some]) << 5 | back[some]
+        kept = kept.reshape(longest, pieces).T
+        return sym.reshape(longest, pieces).T[kept], kept.sum(1)
+
+    def merged_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge() for pieces of any length, which lie end to end."""
         raw = np.frombuffer(b"".join(words), np.uint8)
         n = np.array([len(w) for w in words], np.int64)
         last = np.zeros(len(raw), np.int64)
@@ -299,11 +390,13 @@ class Bpe:
         at, starts = self.numbers(texts)
         if len(self.words) > known:
             self.remember(list(islice(self.words, known, None)), decoded)
-        n = self.lengths[at]
-        total = np.concatenate([[0], np.cumsum(n)])
+        n = self.lengths.take(at)
+        total = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(n, out=total[1:])
         begin = np.cumsum(self.lengths) - self.lengths
-        flat = self.ids[np.repeat(begin[at] - total[:-1], n) + np.arange(total[-1])] if len(at) else np.zeros(0, np.int32)
-        return flat, total[starts], at, starts
+        at_ids = np.repeat(begin.take(at) - total[:-1], n)
+        at_ids += np.arange(len(at_ids))
+        return self.ids.take(at_ids), total[starts], at, starts
 
     def decode(self, ids: np.ndarray) -> bytes:
         """As the library does without a decoder: the tokens' strings, a space between."""
@@ -314,9 +407,9 @@ class Bpe:
         return b" ".join([d for d in map(self.decoded.__getitem__, pieces.tolist()) if d])
 
 
-@lru_cache(2)
-def loaded(path: str) -> Bpe:
-    """One of each file for a worker: its cache serves all tasks of the worker."""
+@lru_cache(4)
+def loaded(path: str, decoded: bool = True) -> Bpe:
+    """One of each file for a worker: its cache serves all tasks of the worker. decoded: as in encode(); such coders and others share no cache, as only theirs has all strings."""
     return Bpe(path)
 
 

@@ -18,16 +18,15 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumaria.llm.bpe import Bpe, default_path
+from plumaria.llm.bpe import default_path, loaded
 from plumaria.llm.common import arrow_parts, arrow_rows, shared_dir, written
 
-BLOCK, RATE, PAIRS, TOGETHER = 4096, 24, 4096, 1024
+BLOCK, RATE, PAIRS = 4096, 24, 4096
 #: Steps before which the order-0 shares are computed anew from the counts so far.
 FRESH = frozenset([0, 64, 192, 448, 960, 1984])
 U = np.uint64
@@ -46,7 +45,7 @@ class Coder:
     def only(self, n: int) -> None:
         """From now on the first n lanes alone; their arrays are views, so that those of the others stay as they are."""
         self.l, self.r = self.low[:n], self.range[:n]
-        self.t, self.shift, self.more, self.need = np.empty(n, U), np.empty(n, U), np.empty(n, U), np.empty(n, bool)
+        self.t, self.shift, self.more, self.need, self.far = np.empty(n, U), np.empty(n, U), np.empty(n, U), np.empty(n, bool), np.empty(n, bool)
 
     def narrow(self, size: np.ndarray) -> None:
         """The range, a 65,536th of what it was, becomes that of the decision; need, and more as a number, say which lanes are to shift by a word."""
@@ -56,11 +55,11 @@ class Coder:
         # Where the high words of both ends differ, the range is cut at the border between them.
         np.add(self.l, span, out=t)
         t ^= self.l
-        far = t > MASK32
+        far = np.greater(t, MASK32, out=self.far)
         far &= self.need
-        if np.count_nonzero(far):
-            lanes = np.flatnonzero(far)
-            span[lanes] = (U(0) - self.l[lanes]) & MASK32
+        np.subtract(U(0), self.l, out=t)
+        t &= MASK32
+        np.copyto(span, t, where=far)
         self.more[:] = self.need
         np.left_shift(self.more, U(5), out=self.shift)
         span <<= self.shift
@@ -102,20 +101,21 @@ class Reader(Coder):
     def __init__(self, words: list[np.ndarray]):
         super().__init__(len(words))
         pad = np.zeros(4, np.uint32)
-        self.words = np.concatenate([x for w in words for x in (w, pad)]).astype(U)
+        self.words = np.concatenate([x for w in words for x in (w, pad)])
         self.at = np.cumsum([0, *(len(w) + 4 for w in words)])[:-1]
-        self.above = (self.words[self.at] << SHIFT32) | self.words[self.at + 1]
+        self.above = (self.words[self.at].astype(U) << SHIFT32) | self.words[self.at + 1]
         self.at += 2
 
     def only(self, n: int) -> None:
         super().only(n)
-        self.d, self.a, self.x = self.above[:n], self.at[:n], np.empty(n, U)
+        self.d, self.a, self.x, self.where = self.above[:n], self.at[:n], np.empty(n, U), np.empty(n, np.int32)
+        self.word = np.empty(n, np.uint32)
 
     def target(self) -> np.ndarray:
-        """Where in 0 .. 65535 the code of each lane is."""
+        """Where in 0 .. 65535 the code of each lane is; the next call writes into the same array."""
         self.r >>= SHIFT16
-        np.floor_divide(self.d, self.r, out=self.x)
-        return np.minimum(self.x, U(65535), out=self.x).astype(np.int32)
+        self.where[:] = np.floor_divide(self.d, self.r, out=self.x)  # 65,536 at most, as the range was 2 ** 32 at least
+        return np.minimum(self.where, 65535, out=self.where)
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
         np.multiply(self.r, start, out=self.t)
@@ -124,7 +124,8 @@ class Reader(Coder):
         self.narrow(size)
         self.l <<= self.shift
         self.d <<= self.shift
-        np.multiply(self.words.take(self.a, mode="clip"), self.more, out=self.t)
+        self.t[:] = self.words.take(self.a, out=self.word, mode="clip")
+        self.t *= self.more
         self.d += self.t
         self.a += self.more.view(np.int64)
 
@@ -170,6 +171,7 @@ class Mixer:
     def only(self, n: int) -> None:
         every = np.arange(n)
         self.w, self.m, self.v4 = self.weights[:, :n].copy(), np.empty((3, n), np.int32), np.empty((2, n), np.int64)
+        self.v, self.new, self.error = np.empty((2, n), np.int32), np.empty((2, n), np.int32), np.empty(n, np.int32)
         self.at_16, self.at_8 = every * 16, self.lanes * 16 + every * 8
 
     def close(self) -> None:
@@ -177,7 +179,7 @@ class Mixer:
 
     def mix(self, at: np.ndarray, s: np.ndarray, out: np.ndarray) -> np.ndarray:
         """The share of the guesses. at: which of the probabilities hold; s: the third row has the level of order 0, the others are filled in."""
-        v = self.v = self.sure.take(at)
+        v = self.sure.take(at, out=self.v, mode="clip")
         STRETCH.take(np.right_shift(v, 4, out=self.v4), out=s[:2], mode="clip")
         m = np.multiply(self.w, s, out=self.m)
         dot = np.add(m[0], m[1], out=m[0])
@@ -188,16 +190,16 @@ class Mixer:
 
     def learn(self, at: np.ndarray, s: np.ndarray, top: np.ndarray, p: np.ndarray) -> None:
         """top: 65535 where the guess held, else 0."""
-        error = top - p
+        error = np.subtract(top, p, out=self.error)
         error *= 3
         error >>= 3
         m = np.multiply(s, error, out=self.m)
         m >>= 12
         self.w += m
-        new = top - self.v
+        new = np.subtract(top, self.v, out=self.new)
         new >>= 5
         new += self.v
-        self.sure[at] = new
+        self.sure[at.ravel()] = new.ravel()
 
 
 def foreseen(rows: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,17 +296,21 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, kinds: np.ndarray) -> n
     coder, shares, mixer, since, before = Reader(words), Shares(lengths, kinds, True), Mixer(lanes), 0, 0
     cum, level = shares.cum, shares.level
     # What followed in each context of order 1 and, after these, of order 2: the place plus 1, times 8, plus a confidence of 1 to 7. Steps take both orders at once, as rows.
-    followed = np.zeros(len(cum) + lanes * PAIRS, np.uint16)
-    b, times = kinds, kinds * 2053
+    followed = np.empty(len(cum) + lanes * PAIRS, np.uint16)  # empty, then filled: numpy asks for large pages for it then
+    followed[:] = 0
     for t, end, n in spells(lengths):
         if n != before:
             before, at_k, at_pairs, at_slots = n, shares.at[:n], len(cum) + every[:n] * PAIRS, every[:n] * 4096
-            b, times = b[:n], times[:n]
-            followed_at, sure_at, s, f = np.empty((2, n), np.int64), np.empty((2, n), np.int64), np.empty((3, n), np.int32), np.empty(n)
-            i, squashed = np.empty(n, np.int64), np.empty(n, np.int32)
-            np.add(at_k, b, out=followed_at[0])
+            above, none = at_k + 1, kinds[:n].astype(np.uint16)
+            followed_at, sure_at, i, at_key, of_hits = np.empty((2, n), np.int64), np.empty((2, n), np.int64), np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+            s, top, p, q, held, some, hit, miss = np.empty((3, n), np.int32), *(np.empty(n, np.int32) for _ in range(7))
+            e, guess, trust, new, key, other = np.empty((2, n), np.uint16), np.empty((2, n), np.uint16), np.empty((2, n), np.uint16), np.empty((2, n), np.uint16), np.empty(n, np.uint16), np.empty(n, np.uint16)
+            levels, slot, opens, closes, size = np.empty(n, np.int16), np.empty(n, np.int16), *(np.empty(n, np.uint32) for _ in range(3))
+            flat_at, flat_new = followed_at.ravel(), new.ravel()
+            np.add(at_k, out[t - 1, :n] if t else none, out=followed_at[0])
             coder.only(n)
             mixer.only(n)
+            sure_of = np.stack([mixer.at_16, mixer.at_8])
         if t in FRESH:
             if t:
                 shares.learn(at_k + out[since:t, :n])
@@ -312,52 +318,84 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, kinds: np.ndarray) -> n
             shares.renew(t)
             slots = shares.slots
         for step in range(t, end):
-            np.add(times, b, out=i)
-            i &= PAIRS - 1
-            np.add(at_pairs, i, out=followed_at[1])
-            e = followed.take(followed_at)
-            guess, trust = e >> 3, e & 7
-            key = np.where(guess[1] > 0, guess[1], guess[0])
-            at_key = at_k + key
-            which = trust[0] << 1
-            which += guess[0] == key
-            np.add(mixer.at_16, which, out=sure_at[0])
-            np.add(mixer.at_8, trust[1], out=sure_at[1])
-            s[2] = level.take(at_key)
-            # Without a guess what is left is the least share, so that q stays below 65,536 and products in 32 bits.
-            held = mixer.mix(sure_at, s, squashed)
-            held *= key > 0
-            p = np.maximum(held, 16)
-            q = (65536 - p).view(np.uint32)
+            # Of 16 bits the lowest twelve are those of the number that PAIRS is a divisor for.
+            np.multiply(out[step - 2, :n] if step > 1 else none, 2053, out=key)
+            key += out[step - 1, :n] if step else none
+            key &= PAIRS - 1
+            np.add(at_pairs, key, out=followed_at[1])
+            followed.take(followed_at, out=e, mode="clip")
+            np.right_shift(e, 3, out=guess)
+            np.bitwise_and(e, 7, out=trust)
+            # The guess of order 2, or where that is 0 the one of order 1; masks here and below, as numpy is slow where it has to choose.
+            np.minimum(guess[1], 1, out=key)
+            key -= 1
+            key &= guess[0]
+            key |= guess[1]
+            np.add(at_k, key, out=at_key)
+            np.minimum(np.bitwise_xor(guess[0], key, out=other), 1, out=other)
+            trust[0] <<= 1
+            trust[0] |= 1
+            trust[0] -= other
+            np.add(sure_of, trust, out=sure_at)
+            s[2] = level.take(at_key, out=levels, mode="clip")
+            mixer.mix(sure_at, s, held)
+            # Without a guess no share is held, and what is left is the least one, so that q stays below 65,536 and products in 32 bits.
+            some[:] = key
+            some <<= 16
+            np.minimum(held, some, out=held)
+            np.maximum(held, 16, out=p)
+            np.subtract(65536, p, out=q)
+            scale = q.view(np.uint32)
             x = coder.target()
-            hit = x < held
+            np.subtract(x, held, out=hit)
+            hit >>= 31  # all bits of a hit, else none
+            np.invert(hit, out=miss)
             x -= p
-            # The last y with (y * q >> 16) <= x, a 16th of it; floats hold all of these numbers exactly enough. Lanes with a hit get any place of the tables.
-            np.add(x, 1 - 2**-16, out=f)
-            f *= 4096
-            f /= q
-            i[:] = f
-            i += at_slots
-            np.add(at_k, slots.take(i, mode="clip"), out=i)
-            i += 1
-            i -= (cum.take(i, mode="clip") * q >> 16).view(np.int32) > x
-            opens, closes = cum.take(i, mode="clip"), cum.take(i + 1, mode="clip")
-            opens *= q
+            x &= miss
+            # The place whose range has the last y with (y * q >> 16) <= x is that of the 16th y is in or the next; lanes with a hit find the first place.
+            np.left_shift(x, 16, out=some)
+            some |= 65535
+            np.left_shift(scale, 4, out=size)
+            np.add(at_slots, np.floor_divide(some.view(np.uint32), size, out=size), out=i)
+            np.add(above, slots.take(i, out=slot, mode="clip"), out=i)
+            cum.take(i, out=opens, mode="clip")
+            opens *= scale
             opens >>= 16
-            closes *= q
+            np.subtract(x, opens.view(np.int32), out=some)
+            some >>= 31
+            i += some
+            cum.take(i, out=opens, mode="clip")
+            cum[1:].take(i, out=closes, mode="clip")
+            opens *= scale
+            opens >>= 16
+            closes *= scale
             closes >>= 16
             closes -= opens
             opens += p.view(np.uint32)
-            coder.take(np.where(hit, 0, opens), np.where(hit, p.view(np.uint32), closes))
+            opens &= miss.view(np.uint32)
+            closes &= miss.view(np.uint32)
+            np.bitwise_and(p, hit, out=some)
+            closes |= some.view(np.uint32)
+            coder.take(opens, closes)
             at_key -= 1
-            i = np.where(hit, at_key, i)
-            times = b * 2053
-            b = i - at_k
-            out[step, :n] = b
+            at_key -= i
+            of_hits[:] = hit
+            at_key &= of_hits
+            i += at_key
+            said = np.subtract(i, at_k, out=out[step, :n], casting="unsafe")
             # What was coded teaches every order.
-            mixer.learn(sure_at, s, hit * np.int32(65535), p)
-            new = out[step, :n] + np.uint16(1)
-            followed[followed_at] = np.where(guess == new, np.minimum(e + np.uint16(1), e | np.uint16(7)), (new << 3) + np.uint16(1))
+            mixer.learn(sure_at, s, np.bitwise_and(hit, 65535, out=top), p)
+            # The place plus 1, times 8, plus 1; where it was guessed, one more than the confidence was, up to 7.
+            np.add(said, 1, out=key)
+            key <<= 3
+            np.minimum(np.bitwise_xor(e, key, out=new), 8, out=new)
+            np.right_shift(new, 3, out=guess)
+            guess -= 1
+            np.minimum(new, 6, out=new)
+            new &= guess
+            key += 1
+            new += key
+            followed[flat_at] = flat_new
             followed_at[0] = i
         mixer.close()
     return out
@@ -393,7 +431,9 @@ def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> byte
     head = struct.pack("<5sqqq", b"PLID3", len(doc_ids), len(ids), len(blocks)) + known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + counts.astype("<i8").tobytes()
     parts = [head]
     for block, distinct, coded_words in zip(blocks, kinds, words, strict=True):
-        listed = zlib.compress(np.diff(distinct, prepend=0).astype("<u4").tobytes(), 1)
+        small = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)  # gaps seldom repeat in runs
+        listed = small.compress(np.diff(distinct, prepend=0).astype("<u4").tobytes())
+        listed += small.flush()
         parts += [struct.pack("<IIIII", len(block), len(distinct), len(listed), len(coded_words), zlib.crc32(block.astype("<u4").tobytes())), listed, coded_words.astype("<u4").tobytes()]
     return b"".join(parts)
 
@@ -425,39 +465,6 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return doc_ids, counts, np.concatenate(out)
 
 
-class LibraryIds(Bpe):
-    """Ids by the tokenizers library itself, each distinct piece of a worker's texts once: its pre-tokeniser keeps pieces with a space between apart."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        suffix = self.suffix.encode()
-        #: Whether a token ends a piece: the last of each piece has the suffix, and no other.
-        self.ends = np.array([bool(suffix) and x.endswith(suffix) for x in self.strings])
-        self.ends[list(self.added.values())] = True
-
-    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [w.removeprefix(b"\0 ").decode("utf-8", "replace") for w in words]
-        groups = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
-        found, lengths = [], []
-        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.int32)
-            n = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
-            if len(n) != len(group) or n.sum() != len(ids):  # no suffix in this file, or a piece that is cut again
-                each = [x.ids for x in self.library.encode_batch_fast(group, add_special_tokens=False)]
-                ids, n = np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
-            found.append(ids)
-            lengths.append(n)
-        return np.concatenate(found), np.concatenate(lengths)
-
-
-@lru_cache(2)
-def library(path: str) -> LibraryIds:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return LibraryIds(path)
-
-
 def parts_of(total: int, segment_ids: int, cores: int) -> int:
     """So many parts that each is a segment of five sixths of segment_ids, as a step of the coder costs about the same for few blocks as for many; of few ids so many that all cores have some, an eighth of a segment at least."""
     return max(-(-total * 6 // (segment_ids * 5)), min(cores, -(-total * 8 // segment_ids)), 1)
@@ -473,7 +480,7 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 1, segment
     def encode(batches):
         import pyarrow as pa
 
-        coder = library(path)
+        coder = loaded(path, decoded=False)
         for batch, texts in arrow_parts(batches):
             ids, starts, *_ = coder.encode(texts, decoded=False)
             small, n = max(int(ids.max(initial=0)), end_id) < 1 << 16, np.diff(starts) + 1

@@ -342,3 +342,16 @@ def test_bpe_long_pieces_and_mixed_texts():
     texts = ["it's we'll 'quoted'", "a" * 9000 + " tail 12", "", "zero\0byte", "<|endoftext|> it's", "x" * 8 + " " + "x" * 9 + " " + "x" * 17, "ΣΑΣ ﬁn", "it's again"] * 2
     ids, starts, *_ = bpe.Bpe(bpe.default_path()).encode([t.encode() for t in texts])
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bpe_merges_look_up_only_what_changed(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    coder, library, rng, asked = bpe.Bpe(bpe.default_path()), tokenizers.Tokenizer.from_file(bpe.default_path()), np.random.default_rng(5), []
+    words = ["".join(rng.choice(list("aabcdeghilnorstuyéßñ"), n)) for n in [*range(1, 48), 200] * 12] + ["a" * n for n in range(1, 40)]
+    raw = [w.encode() for w in words]
+    monkeypatch.setattr(bpe.Bpe, "ranked", lambda self, left, right, f=bpe.Bpe.ranked: asked.append(len(left)) or f(self, left, right))
+    ids, n = coder.merge(raw)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    short = [w for w in raw if len(w) <= bpe.SHORT]
+    assert sum(asked) < 8192 + 3 * sum(map(len, short))
+    assert all(len(x) == 0 for x in coder.merge([])) and coder.merge([b"", b"ab", b""])[1].tolist() == [0, 1, 0]
