@@ -78,13 +78,26 @@ class Model:
             at += v.size
         return self
 
-    def step(self, h, x):
-        p, n = self.p, HIDDEN
-        e, u = p["E"][x] + p["b"], h @ p["U"]
-        zr = 1 / (1 + np.exp(-(e[:, : 2 * n] + u[:, : 2 * n])))
-        z, r = zr[:, :n], zr[:, n:]
-        g = np.tanh(e[:, 2 * n :] + r * u[:, 2 * n :])
-        return g + z * (h - g), (h, z, r, g, u[:, 2 * n :])
+    def given(self, x):
+        """What inputs x, a row for each step, give the units: steps x 3 HIDDEN x lanes, so that each unit's lanes lie together."""
+        return np.ascontiguousarray((self.p["E"] + self.p["b"]).take(x, 0, mode="clip").transpose(0, 2, 1))
+
+    def step(self, h, a, out):
+        """Writes the states after h into out, a row for each unit. a: what the inputs give; the gates z, r and g take its place. Returns what h gives g."""
+        n = HIDDEN
+        u = self.p["U"].T @ h
+        zr, g = a[: 2 * n], a[2 * n :]
+        zr += u[: 2 * n]
+        np.subtract(np.float32(0), zr, out=zr)  # np.negative in place is wrong on some arrays that are not contiguous (numpy 2.3.5)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        g += zr[n:] * u[2 * n :]
+        np.tanh(g, out=g)
+        np.subtract(h, g, out=out)
+        out *= zr[:n]
+        out += g
+        return u[2 * n :]
 
     def classes_of(self, y):
         return np.where(y < self.vocabulary, y // CLASS, self.neural + y - self.vocabulary)
@@ -97,10 +110,13 @@ class Model:
         p = self.p
         k = self.classes_of(y)
         order = np.argsort(k.astype(self.symbol), kind="stable")
-        h, y, k = h[order], y[order], k[order]
-        cuts = np.searchsorted(k, np.arange(self.neural + 1))
-        s = p["C"].T @ h.T
-        s += p["c"][:, None]
+        y, k = y[order], k[order]
+        # The biases are weights of a last unit that is always 1, so that each product has them.
+        one = np.empty((len(y), HIDDEN + 1), np.float32)
+        one[:, :HIDDEN], one[:, HIDDEN] = h[order], 1
+        columns = np.ascontiguousarray(one.T)
+        cuts = np.searchsorted(k, np.arange(self.neural + 1)).tolist()
+        s = np.concatenate([p["C"], p["c"][None]]).T @ columns
         s -= s.max(0)
         every = np.arange(len(y))
         own = s[k, every]
@@ -111,27 +127,31 @@ class Model:
         if grads is not None:
             q /= total
             q[k, every] -= 1
-            grads["C"] += (q @ h).T
-            grads["c"] += q.sum(1)
+            more = q @ one
+            grads["C"] += more[:, :HIDDEN].T
+            grads["c"] += more[:, HIDDEN]
             dh = q.T @ p["C"].T
+            more = np.zeros((len(p["W"]), HIDDEN + 1), np.float32)
+        weights, j, sums, own = np.concatenate([p["W"], p["w"][:, None]], 1), y - k * CLASS, np.ones(len(y), np.float32), np.zeros(len(y), np.float32)
         for c in range(self.neural):
             rows, at = slice(c * CLASS, (c + 1) * CLASS), slice(cuts[c], cuts[c + 1])
             m = at.stop - at.start
             if m:
-                t = p["W"][rows] @ h[at].T
-                t += p["w"][rows, None]
+                t = weights[rows] @ columns[:, at]
                 t -= t.max(0)
-                j = y[at] - c * CLASS
-                own = t[j, every[:m]]
+                place = (j[at], every[:m])
+                own[at] = t[place]
                 v = np.exp(t, out=t)
-                sums = v.sum(0)
-                got[at] += own - np.log(sums)
+                total = v.sum(0, out=sums[at])
                 if grads is not None:
-                    v /= sums
-                    v[j, every[:m]] -= 1
-                    grads["W"][rows] += v @ h[at]
-                    grads["w"][rows] += v.sum(1)
+                    v /= total
+                    v[place] -= 1
+                    np.matmul(v, one[at], out=more[rows])
                     dh[at] += v.T @ p["W"][rows]
+        got += own - np.log(sums)
+        if grads is not None:
+            grads["W"] += more[:, :HIDDEN]
+            grads["w"] += more[:, HIDDEN]
         out = np.empty_like(got)
         out[order] = got
         if dh is not None:
@@ -152,37 +172,52 @@ class Model:
             self._pass(tail[None, :], start, rate, squares)
 
     def _pass(self, cut, start, rate, squares):
-        p, n = self.p, HIDDEN
-        h, last = np.zeros((len(cut), n), np.float32), np.full(len(cut), start)
+        p, n, lanes = self.p, HIDDEN, len(cut)
+        h, last = np.zeros((n, lanes), np.float32), np.full(lanes, start)
         for t0 in range(0, cut.shape[1], STEPS):
-            y = cut[:, t0 : t0 + STEPS]
-            x = np.concatenate([last[:, None], y[:, :-1]], 1)
-            states, kept, inputs = [], [], []
-            for t in range(y.shape[1]):
-                h = np.where((x[:, t] == start)[:, None], np.float32(0), h)
-                h, k = self.step(h, x[:, t])
-                states.append(h)
-                kept.append(k)
-            last = y[:, -1]
+            y = cut[:, t0 : t0 + STEPS].T
+            steps = len(y)
+            x = np.concatenate([last[None], y[:-1]])
+            keep, a = (x != start).astype(np.float32), self.given(x)
+            before, states, un = (np.empty((steps, n, lanes), np.float32) for _ in range(3))
+            for t in range(steps):
+                np.multiply(h, keep[t], out=before[t])
+                h = states[t]
+                un[t] = self.step(before[t], a[t], h)
+            last = y[-1]
             grads = {k: np.zeros_like(v) for k, v in p.items()}
-            _, dh = self.losses(np.concatenate(states), y.T.ravel(), grads)
-            dh = dh.reshape(y.shape[1], len(cut), n)
+            _, dh = self.losses(states.transpose(0, 2, 1).reshape(-1, n), y.ravel(), grads)
+            dh = np.ascontiguousarray(dh.reshape(steps, lanes, n).transpose(0, 2, 1))
+            z, r, g = a[:, :n], a[:, n : 2 * n], a[:, 2 * n :]
+            rest = 1 - z
+            of_g, of_z, of_r = rest * (1 - g * g), (before - g) * z * rest, un * r * (1 - r)
+            du, dg = np.empty_like(a), np.empty_like(un)
             back = np.zeros_like(h)
-            for t in reversed(range(y.shape[1])):
-                before, z, r, g, un = kept[t]
-                d = dh[t] + back
-                dg = d * (1 - z) * (1 - g * g)
-                dz = d * (before - g) * z * (1 - z)
-                dr = dg * un * r * (1 - r)
-                du = np.concatenate([dz, dr, dg * r], 1)
-                inputs.append(np.concatenate([dz, dr, dg], 1))
-                grads["U"] += before.T @ du
-                back = np.where((x[:, t] == start)[:, None], 0, d * z + du @ p["U"].T)
-            de, ids = np.concatenate(inputs[::-1]), x.T.ravel()
-            grads["b"] = de.sum(0)
+            for t in reversed(range(steps)):
+                d = dh[t]
+                d += back
+                np.multiply(d, of_g[t], out=dg[t])
+                np.multiply(d, of_z[t], out=du[t, :n])
+                np.multiply(dg[t], of_r[t], out=du[t, n : 2 * n])
+                np.multiply(dg[t], r[t], out=du[t, 2 * n :])
+                d *= z[t]
+                d += p["U"] @ du[t]
+                d *= keep[t]
+                back = d
+            grads["U"] = np.matmul(before, du.transpose(0, 2, 1)).sum(0)
+            du[:, 2 * n :] = dg
+            grads["b"] = du.sum((0, 2))
+            ids = x.ravel().astype(self.symbol)
             order = np.argsort(ids, kind="stable")
-            heads = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
-            grads["E"][ids[order][heads]] = np.add.reduceat(de[order], heads, axis=0)
+            symbols, size = np.unique(ids[order], return_counts=True)
+            given = du.transpose(0, 2, 1).reshape(-1, 3 * n).take(order, 0)
+            # Long runs of a symbol are summed one by one, which is faster than reduceat.
+            long, ends = size > 32, np.cumsum(size)
+            for i in np.flatnonzero(long).tolist():
+                grads["E"][symbols[i]] = given[ends[i] - size[i] : ends[i]].sum(0)
+            if not long.all():
+                heads = np.cumsum(size[~long]) - size[~long]
+                grads["E"][symbols[~long]] = np.add.reduceat(given[np.repeat(~long, size)], heads, axis=0)
             scale = np.float32(1 / y.size)
             for k, g in grads.items():
                 g *= scale
@@ -197,17 +232,19 @@ class Model:
             at = order[i : i + lanes]
             lengths = np.array([len(texts[j]) for j in at])
             flat, first = np.concatenate([texts[j] for j in at]), np.cumsum(lengths) - lengths
-            h, last = np.zeros((len(at), HIDDEN), np.float32), np.full(len(at), start)
+            h, last, every = np.zeros((HIDDEN, len(at)), np.float32), np.full(len(at), start), np.arange(len(at))
             for t0 in range(0, lengths[0], STEPS):
-                states, targets, rows = [], [], []
-                for t in range(t0, min(t0 + STEPS, lengths[0])):
-                    live = int(np.searchsorted(-lengths, -t, side="left"))
-                    h, _ = self.step(h[:live], last[:live])
-                    last = flat[first[:live] + t]
-                    states.append(h)
-                    targets.append(last)
-                    rows.append(at[:live])
-                np.add.at(out, np.concatenate(rows), self.losses(np.concatenate(states), np.concatenate(targets))[0])
+                steps = np.arange(t0, min(t0 + STEPS, lengths[0]))
+                lives = np.searchsorted(-lengths, -steps, side="left").tolist()
+                y = flat.take(first[: lives[0]] + steps[:, None], mode="clip")  # of texts that are over something else, which is not looked at
+                a = self.given(np.concatenate([last[None, : lives[0]], y[:-1]]))
+                states, last = [], y[-1]
+                for t, live in enumerate(lives):
+                    before, h = np.ascontiguousarray(h[:, :live]), np.empty((HIDDEN, live), np.float32)
+                    self.step(before, np.ascontiguousarray(a[t, :, :live]), h)
+                    states.append(h.T)
+                got = self.losses(np.concatenate(states), np.concatenate([y[t, :live] for t, live in enumerate(lives)]))[0]
+                out[at[: lives[0]]] += np.bincount(np.concatenate([every[:live] for live in lives]), got, lives[0])
         return out
 
 

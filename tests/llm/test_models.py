@@ -282,3 +282,21 @@ def test_passages_against_brute_force(spark, small):
     assert len(want) > 120 and len(held) >= 0.97 * len(want), (len(held), len(want))
     clean = {i for i, _ in rows} - {x for p in want for x in p}
     assert sum(told[i][1] > 0 for i in clean) <= 0.01 * len(clean)
+
+
+def test_gru_gradients_and_lookups(monkeypatch):
+    rng, looked, given = np.random.default_rng(8), [], gru.Model.given
+    texts = [np.append(rng.integers(1, 105, n), 0) for n in (gru.STEPS - 8, 6)]  # a window of whole texts, each ends with the symbol 0
+    monkeypatch.setattr(gru.Model, "given", lambda self, x: looked.append(x.shape) or given(self, x))
+    model = gru.Model(100, 5)
+    before, squares = model.flat(), {k: np.full_like(v, 1e-6) for k, v in model.p.items()}
+    model.train(np.concatenate(texts), 0, squares=squares)
+    assert looked == [(gru.STEPS, 1)]  # what a window's inputs give is looked up once
+    model.load(before)
+    for name, at in (("E", (0, 20)), ("E", (texts[0][1], 3)), ("U", (2, 5)), ("U", (7, 40)), ("b", (1,)), ("b", (45,)), ("C", (3, 1)), ("c", (2,)), ("W", (texts[1][0] % 96, 4)), ("w", (texts[1][0] % 96,))):
+        loss, was = [], model.p[name][at]
+        for change in (1e-2, -1e-2):
+            model.p[name][at] = was + change
+            loss.append(-model.score(texts, 0).sum() / gru.STEPS)
+        model.p[name][at] = was
+        assert abs(abs(loss[0] - loss[1]) / 2e-2 - max(0, squares[name][at] - 1e-6) ** 0.5) < 1e-3, name
