@@ -58,6 +58,17 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def utf8_all(texts: list[bytes]) -> bool:
+    """Whether all texts are valid UTF-8, as Python's strict decoder has it."""
+    import pyarrow as pa
+
+    try:
+        pa.array([b"\n".join(texts)], pa.large_binary()).cast(pa.large_string())
+    except pa.ArrowInvalid:
+        return False
+    return True
+
+
 def cuts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the pieces of `USUAL` start and end in bytes that end in two blanks."""
     kind = np.frombuffer(raw.tobytes().translate(KIND_BYTES), np.uint8)
@@ -167,24 +178,25 @@ class Bpe:
                 return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in found]
         return self.pattern.findall(said.lower().encode())
 
-    def lowered(self, text: bytes) -> bytes | None:
-        """The text in lower case if it is plain, without added tokens and zero bytes: cuts() then finds its pieces."""
+    def lowered(self, text: bytes, valid: bool = False) -> bytes | None:
+        """The text in lower case if it is plain, without added tokens and zero bytes: cuts() then finds its pieces. valid: whether it is known to be UTF-8, so that not all of it need be decoded to see."""
         if not self.usual or any(t in text for t in self.added) or b"\0" in text:
             return None
         if text.isascii():
             return text.lower()
-        said = text.decode("utf-8", "replace")
+        said = "" if valid else text.decode("utf-8", "replace")
         # Where nothing was replaced the bytes are whole characters, and those outside ASCII can be had alone.
         chars = set(said if "\ufffd" in said else text.translate(None, ASCII).decode())
         if not chars <= self.plain:
             self.probe(chars - self.plain - self.odd)
         if not chars <= self.plain:
             return None
-        return said.lower().encode() if "\ufffd" in chars or any(c.lower() != c for c in chars) else text.lower()
+        return (said or text.decode()).lower().encode() if "\ufffd" in chars or any(c.lower() != c for c in chars) else text.lower()
 
     def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all texts' pieces in the cache, end to end, and where each text's start. New pieces get numbers; remember() is to follow."""
-        low = [self.lowered(t) for t in texts]
+        valid = utf8_all(texts)
+        low = [self.lowered(t, valid) for t in texts]
         joined = b"\n".join([t or b"" for t in low]) + b" " * 9
         raw = np.frombuffer(joined, np.uint8)
         begins, ends = cuts(raw)
@@ -228,7 +240,13 @@ class Bpe:
             # In the order of the texts, so that numbers do not depend on keys.
             fresh = fresh[np.argsort(sample[fresh], kind="stable")]
             spot = missing[sample[fresh]]
-            number[fresh] = [self.words[joined[b : b + n]] for b, n in zip(begins[spot].tolist(), lengths[spot].tolist(), strict=True)]
+            words = [joined[b : b + n] for b, n in zip(begins[spot].tolist(), lengths[spot].tolist(), strict=True)]
+            if self.words.keys().isdisjoint(words):  # else texts cut by the pattern had some of them; different keys are of different pieces
+                at_first = len(self.words)
+                self.words.update(zip(words, range(at_first, at_first + len(words)), strict=True))
+                number[fresh] = np.arange(at_first, at_first + len(words))
+            else:
+                number[fresh] = [self.words[w] for w in words]
             fresh = np.sort(fresh)
             self.sorted_keys, self.sorted_at = np.insert(self.sorted_keys, place[fresh], new[fresh]), np.insert(self.sorted_at, place[fresh], number[fresh])
             free = fresh[self.slots[(new[fresh] & np.uint64((1 << SLOTS) - 1)).astype(np.int64)] < 0]
@@ -252,7 +270,7 @@ class Bpe:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, end to end, and how many each has. Short pieces go in columns of about the same length."""
-        n = np.array([len(w) for w in words], np.int64)
+        n = np.fromiter(map(len, words), np.int64, len(words))
         raw, first = np.frombuffer(b"".join(words), np.uint8), np.cumsum(n) - n
         ends = np.zeros(len(raw), np.int64)
         ends[(first + n - 1)[n > 0]] = 1
@@ -359,7 +377,7 @@ class Bpe:
 
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new pieces, end to end, and how many each has."""
-        fixed = [i for i, w in enumerate(words) if w[:2] == b"\0 "]
+        fixed = [i for i, w in enumerate(words) if w[:2] == b"\0 "] if b"\0 " in b"".join(words) else []
         plain = [b"" if w[:2] == b"\0 " else w for w in words] if fixed else words
         ids, n = self.merge(plain) if any(plain) else (np.zeros(0, np.int32), np.zeros(len(words), np.int64))
         if fixed:
@@ -389,7 +407,7 @@ class Bpe:
         known = len(self.words)
         at, starts = self.numbers(texts)
         if len(self.words) > known:
-            self.remember(list(islice(self.words, known, None)), decoded)
+            self.remember(list(islice(reversed(self.words), len(self.words) - known))[::-1], decoded)
         n = self.lengths.take(at)
         total = np.zeros(len(at) + 1, np.int64)
         np.cumsum(n, out=total[1:])

@@ -30,14 +30,29 @@ BLOCK, RATE, PAIRS = 4096, 24, 4096
 #: Steps before which the order-0 shares are computed anew from the counts so far.
 FRESH = frozenset([0, 64, 192, 448, 960, 1984])
 U = np.uint64
-MASK32, SHIFT16, SHIFT32 = U(0xFFFFFFFF), U(16), U(32)
+
+
+class Numbers(dict):
+    """Numbers of one type as arrays without a dimension, made when first asked for: of a Python number numpy makes one at each call, for about what a step's lanes cost."""
+
+    def __init__(self, kind: type):
+        self.kind = kind
+
+    def __missing__(self, number: float) -> np.ndarray:
+        self[number] = made = np.array(number, self.kind)
+        return made
+
+
+U16, I32, U32, I64, U64, REAL = map(Numbers, (np.uint16, np.int32, np.uint32, np.int64, np.uint64, np.float64))
+MASK32 = 0xFFFFFFFF
 STRETCH = np.array([int(round(256 * np.log((p + 0.5) / (4096.5 - p)))) for p in range(4097)], np.int32)
+LEVELS = STRETCH.astype(np.int16)
 #: In 65,536ths; a miss keeps a sixteenth, so that each place, of 16 of 65,536 at least, keeps a share.
 SQUASH = np.array([min(61440, max(32, int(round(65536 / (1 + np.exp(-x / 256)))))) for x in range(-2048, 2048)], np.int32)
 
 
 class Coder:
-    """Low end and range of each lane; the range is 2 ** 32 at least before each decision of 16 bits. Lanes that need a word of 32 bits get it in the same passes as the others."""
+    """Low end and range of each lane; the range is 2 ** 32 at least before each decision of 16 bits. All types of a step are alike, as numpy is slow where it has to convert within one."""
 
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
@@ -45,24 +60,24 @@ class Coder:
     def only(self, n: int) -> None:
         """From now on the first n lanes alone; their arrays are views, so that those of the others stay as they are."""
         self.l, self.r = self.low[:n], self.range[:n]
-        self.t, self.shift, self.more, self.need, self.far = np.empty(n, U), np.empty(n, U), np.empty(n, U), np.empty(n, bool), np.empty(n, bool)
+        self.t, self.need = np.empty(n, U), np.empty(n, bool)
 
-    def narrow(self, size: np.ndarray) -> None:
-        """The range, a 65,536th of what it was, becomes that of the decision; need, and more as a number, say which lanes are to shift by a word."""
-        span, t = self.r, self.t
+    def narrow(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range, a 65,536th of what it was, becomes that of the decision. Lanes that need a word of 32 bits shift by it: which these are, and their low ends before."""
+        span = self.r
         span *= size
-        np.less_equal(span, MASK32, out=self.need)
+        at = np.less_equal(span, U64[MASK32], out=self.need).nonzero()[0]
+        low, left = self.l.take(at), span.take(at)
         # Where the high words of both ends differ, the range is cut at the border between them.
-        np.add(self.l, span, out=t)
-        t ^= self.l
-        far = np.greater(t, MASK32, out=self.far)
-        far &= self.need
-        np.subtract(U(0), self.l, out=t)
-        t &= MASK32
-        np.copyto(span, t, where=far)
-        self.more[:] = self.need
-        np.left_shift(self.more, U(5), out=self.shift)
-        span <<= self.shift
+        ends = low + left
+        ends ^= low
+        far = (ends > U64[MASK32]).nonzero()[0]
+        if len(far):
+            left[far] = U64[0] - low.take(far) & U64[MASK32]
+        left <<= U64[32]
+        span[at] = left
+        self.l[at] = low << U64[32]
+        return at, low
 
 
 class Writer(Coder):
@@ -74,22 +89,18 @@ class Writer(Coder):
 
     def code(self, starts: np.ndarray, sizes: np.ndarray) -> None:
         """Decisions of the first lanes, a row for each step."""
-        n = starts.shape[1]
-        self.only(n)
-        lows, needs = np.empty(starts.shape, U), np.empty(starts.shape, bool)
-        low, span, t = self.l, self.r, self.t
-        for start, size, at, need in zip(starts, sizes, lows, needs, strict=True):
-            span >>= SHIFT16
-            np.multiply(span, start, out=t)
-            self.l, self.need = np.add(low, t, out=at), need
-            self.narrow(size)
-            np.left_shift(at, self.shift, out=low)
-        at = np.flatnonzero(needs)
-        self.out.append((at % n, (lows.ravel()[at] >> SHIFT32).astype(np.uint32)))
+        self.only(starts.shape[1])
+        low, span, t, said = self.l, self.r, self.t, []
+        for start, size in zip(starts, sizes, strict=True):
+            span >>= U64[16]
+            low += np.multiply(span, start, out=t)
+            said.append(self.narrow(size))
+        at, was = (np.concatenate(x) for x in zip(*said, strict=True))
+        self.out.append((at, (was >> U64[32]).astype(np.uint32)))
 
     def words(self) -> list[np.ndarray]:
         every = np.arange(len(self.low))
-        self.out += [(every, (self.low >> SHIFT32).astype(np.uint32)), (every, (self.low & MASK32).astype(np.uint32))]
+        self.out += [(every, (self.low >> U64[32]).astype(np.uint32)), (every, (self.low & U64[MASK32]).astype(np.uint32))]
         lanes, said = (np.concatenate(x) for x in zip(*self.out, strict=True))
         order = np.argsort(lanes.astype(np.uint16) if len(every) < 1 << 16 else lanes, kind="stable")
         return np.split(said[order], np.cumsum(np.bincount(lanes, minlength=len(every)))[:-1])
@@ -103,31 +114,33 @@ class Reader(Coder):
         pad = np.zeros(4, np.uint32)
         self.words = np.concatenate([x for w in words for x in (w, pad)])
         self.at = np.cumsum([0, *(len(w) + 4 for w in words)])[:-1]
-        self.above = (self.words[self.at].astype(U) << SHIFT32) | self.words[self.at + 1]
+        self.above = (self.words[self.at].astype(U) << U64[32]) | self.words[self.at + 1]
         self.at += 2
 
     def only(self, n: int) -> None:
         super().only(n)
-        self.d, self.a, self.x, self.where = self.above[:n], self.at[:n], np.empty(n, U), np.empty(n, np.int32)
-        self.word = np.empty(n, np.uint32)
+        self.d, self.a, self.x, self.where, self.most = self.above[:n], self.at[:n], np.empty(n, U), np.empty(n, np.int32), np.full(n, 65535, np.int32)
 
     def target(self) -> np.ndarray:
         """Where in 0 .. 65535 the code of each lane is; the next call writes into the same array."""
-        self.r >>= SHIFT16
+        self.r >>= U64[16]
         self.where[:] = np.floor_divide(self.d, self.r, out=self.x)  # 65,536 at most, as the range was 2 ** 32 at least
-        return np.minimum(self.where, 65535, out=self.where)
+        return np.minimum(self.where, self.most, out=self.where)
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
-        np.multiply(self.r, start, out=self.t)
-        self.l += self.t
-        self.d -= self.t
-        self.narrow(size)
-        self.l <<= self.shift
-        self.d <<= self.shift
-        self.t[:] = self.words.take(self.a, out=self.word, mode="clip")
-        self.t *= self.more
-        self.d += self.t
-        self.a += self.more.view(np.int64)
+        x, t = self.x, self.t
+        x[:] = start
+        np.multiply(self.r, x, out=t)
+        self.l += t
+        self.d -= t
+        x[:] = size
+        at, _ = self.narrow(x)
+        d, a = self.d.take(at), self.a.take(at)
+        d <<= U64[32]
+        d |= self.words.take(a, mode="clip").astype(U)
+        self.d[at] = d
+        a += I64[1]
+        self.a[at] = a
 
 
 class Shares:
@@ -136,26 +149,33 @@ class Shares:
     def __init__(self, lengths: np.ndarray, kinds: np.ndarray, slots: bool):
         self.lengths, self.kinds = lengths, kinds
         self.at = np.cumsum(kinds + 1) - kinds - 1
-        self.lane_of, self.ends = np.repeat(np.arange(len(kinds)), kinds + 1), self.at + kinds
-        self.counts = np.ones(len(self.lane_of), np.int64)
+        self.ends, size = self.at + kinds, int((kinds + 1).sum())
+        self.counts = np.ones(size, np.int32)
         self.counts[self.ends] = 0
-        self.cum, self.level = np.zeros(len(self.lane_of), np.uint32), np.zeros(len(self.lane_of) + 1, np.int16)
-        self.slots, self.number = None, (np.arange(len(self.lane_of)) - np.repeat(self.at, kinds + 1)).astype(np.int16) if slots else None
+        self.cum, self.level = np.zeros(size, np.uint32), np.zeros(size + 1, np.int16)
+        #: What the shares of the lanes before sum up to; sums are taken modulo 2 ** 32.
+        self.before = np.repeat(np.arange(len(kinds)).astype(np.uint32) << U32[16], kinds + 1)
+        self.slots, self.number = None, (np.arange(size) - np.repeat(self.at, kinds + 1)).astype(np.int16) if slots else None
 
     def learn(self, places: np.ndarray) -> None:
         """places: of the tables, as often as they came."""
-        self.counts += RATE * np.bincount(places.ravel(), minlength=len(self.counts))
+        self.counts += RATE * np.bincount(places.ravel(), minlength=len(self.counts)).astype(np.int32)
 
     def renew(self, t: int) -> None:
         scale = ((65536 - 16 * self.kinds) << 15) // (self.kinds + RATE * np.minimum(t, self.lengths))
-        share = (self.counts * np.repeat(scale, self.kinds + 1) >> 15) + 16
+        share = np.repeat(scale.astype(np.int32), self.kinds + 1)
+        share *= self.counts  # below 2 ** 31, as all counts of a lane times its scale are
+        share >>= I32[15]
+        share += I32[16]
         share[self.ends] = 0
         share[self.ends - 1] += 65536 - np.add.reduceat(share, self.at)
-        self.level[1:] = STRETCH.take(share >> 4)  # of place k at k + 1: a guess is kept plus 1
-        self.cum[:] = np.cumsum(share) - share - 65536 * self.lane_of
+        self.level[1:] = LEVELS.take(share >> I32[4])  # of place k at k + 1: a guess is kept plus 1
+        np.cumsum(share, dtype=np.uint32, out=self.cum)
+        self.cum -= share.view(np.uint32)
+        self.cum -= self.before
         self.cum[self.ends] = 65536
         if self.number is not None:  # the place at each 16th of the range: no share is less, so the one sought is it or the next
-            first = self.cum + np.uint32(15) >> np.uint32(4)
+            first = self.cum + U32[15] >> U32[4]
             width = np.diff(first.astype(np.int64), append=0)
             width[self.ends] = 0
             self.slots = np.repeat(self.number, width)
@@ -170,7 +190,7 @@ class Mixer:
 
     def only(self, n: int) -> None:
         every = np.arange(n)
-        self.w, self.m, self.v4 = self.weights[:, :n].copy(), np.empty((3, n), np.int32), np.empty((2, n), np.int64)
+        self.w, self.m, self.at_v, self.at_dot = self.weights[:, :n].copy(), np.empty((3, n), np.int32), np.empty((2, n), np.int64), np.empty(n, np.int64)
         self.v, self.new, self.error = np.empty((2, n), np.int32), np.empty((2, n), np.int32), np.empty(n, np.int32)
         self.at_16, self.at_8 = every * 16, self.lanes * 16 + every * 8
 
@@ -180,24 +200,26 @@ class Mixer:
     def mix(self, at: np.ndarray, s: np.ndarray, out: np.ndarray) -> np.ndarray:
         """The share of the guesses. at: which of the probabilities hold; s: the third row has the level of order 0, the others are filled in."""
         v = self.sure.take(at, out=self.v, mode="clip")
-        STRETCH.take(np.right_shift(v, 4, out=self.v4), out=s[:2], mode="clip")
-        m = np.multiply(self.w, s, out=self.m)
-        dot = np.add(m[0], m[1], out=m[0])
-        dot += m[2]
-        dot >>= 16
-        dot += 2048
-        return SQUASH.take(dot, out=out, mode="clip")
+        self.at_v[:] = np.right_shift(v, I32[4], out=self.new)
+        STRETCH.take(self.at_v, out=s[:2], mode="clip")
+        dot, m, level = np.multiply(self.w, s, out=self.m)
+        dot += m
+        dot += level
+        dot >>= I32[16]
+        dot += I32[2048]
+        self.at_dot[:] = dot
+        return SQUASH.take(self.at_dot, out=out, mode="clip")
 
     def learn(self, at: np.ndarray, s: np.ndarray, top: np.ndarray, p: np.ndarray) -> None:
         """top: 65535 where the guess held, else 0."""
         error = np.subtract(top, p, out=self.error)
-        error *= 3
-        error >>= 3
+        error *= I32[3]
+        error >>= I32[3]
         m = np.multiply(s, error, out=self.m)
-        m >>= 12
+        m >>= I32[12]
         self.w += m
         new = np.subtract(top, self.v, out=self.new)
-        new >>= 5
+        new >>= I32[5]
         new += self.v
         self.sure[at.ravel()] = new.ravel()
 
@@ -215,7 +237,7 @@ def foreseen(rows: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         one = np.concatenate([none, part[:, :-1]], 1)
         two = (np.concatenate([none, one[:, :-1]], 1) * np.uint16(2053) + one) & np.uint16(PAIRS - 1)
         said, size = part.ravel(), part.size
-        every, first, found = np.arange(size, dtype=np.int32), np.arange(0, size, steps), []
+        first, found = np.arange(0, size, steps), []
         for context in (one, two):
             order = np.argsort(context, 1, kind="stable")
             order += first[:, None]
@@ -226,21 +248,26 @@ def foreseen(rows: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarra
             same[first] = False
             np.equal(s[1:], s[:-1], out=again[1:])
             again &= same
-            run = every - np.maximum.accumulate(np.where(again, np.int32(0), every))
-            np.minimum(run, 6, out=run)
+            # How often it came again in a row, up to 6: a byte more for each of so many that lie together.
+            once = again.view(np.uint8)
+            run, together = once.copy(), once
+            for _ in range(5):
+                together = np.append(np.uint8(0), together[:-1] & once[1:])
+                run += together
             # What followed last plus 1, times 8, plus how often in a row: up to 7.
-            e = (s << np.uint16(3)) + run.astype(np.uint16) + np.uint16(9)
+            e = (s << np.uint16(3)) + run + np.uint16(9)
             entry = np.zeros(size, np.uint16)
             entry[order[1:]] = e[:-1] * same[1:]
             found.append((entry >> np.uint16(3), (entry & np.uint16(7)).astype(np.uint8)))
         (guess_1, trust_1), (guess_2, trust_2) = found
-        key = np.where(guess_2 > 0, guess_2, guess_1)
+        key = guess_1 * (guess_2 == 0)
+        key += guess_2
         keys[low : low + 8] = key.reshape(part.shape)
         mark = trust_2 << np.uint8(3)
         mark += trust_1
         mark <<= np.uint8(1)
-        mark += guess_1 == key
-        mark[key == said + np.uint16(1)] += np.uint8(128)
+        mark += (guess_1 == key).view(np.uint8)
+        mark += (key == said + np.uint16(1)).view(np.uint8) << np.uint8(7)
         marks[low : low + 8] = mark.reshape(part.shape)
     return keys, marks
 
@@ -302,15 +329,17 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, kinds: np.ndarray) -> n
         if n != before:
             before, at_k, at_pairs, at_slots = n, shares.at[:n], len(cum) + every[:n] * PAIRS, every[:n] * 4096
             above, none = at_k + 1, kinds[:n].astype(np.uint16)
-            followed_at, sure_at, i, at_key, of_hits = np.empty((2, n), np.int64), np.empty((2, n), np.int64), np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+            followed_at, sure_at, both_at, i, at_key, wide = *(np.empty((2, n), np.int64) for _ in range(3)), *(np.empty(n, np.int64) for _ in range(3))
             s, top, p, q, held, some, hit, miss = np.empty((3, n), np.int32), *(np.empty(n, np.int32) for _ in range(7))
-            e, guess, trust, new, key, other = np.empty((2, n), np.uint16), np.empty((2, n), np.uint16), np.empty((2, n), np.uint16), np.empty((2, n), np.uint16), np.empty(n, np.uint16), np.empty(n, np.uint16)
-            levels, slot, opens, closes, size = np.empty(n, np.int16), np.empty(n, np.int16), *(np.empty(n, np.uint32) for _ in range(3))
-            flat_at, flat_new = followed_at.ravel(), new.ravel()
+            e, guess, trust, new, key, other = *(np.empty((2, n), np.uint16) for _ in range(4)), *(np.empty(n, np.uint16) for _ in range(2))
+            levels, slot, both, y, scale = np.empty(n, np.int16), np.empty(n, np.int16), np.empty((2, n), np.uint32), np.empty(n), np.empty(n)
+            flat_at, flat_new, (guess_1, guess_2), trust_1, found, (opens, closes) = followed_at.ravel(), new.ravel(), guess, trust[0], both_at[0], both
+            one, six, eight, least = np.full(n, 1, np.uint16), np.full((2, n), 6, np.uint16), np.full((2, n), 8, np.uint16), np.full(n, 16, np.int32)
             np.add(at_k, out[t - 1, :n] if t else none, out=followed_at[0])
             coder.only(n)
             mixer.only(n)
-            sure_of = np.stack([mixer.at_16, mixer.at_8])
+            sure_of = np.stack([mixer.at_16 + 1, mixer.at_8])
+            p_bits, q_bits, some_bits, miss_bits = (x.view(np.uint32) for x in (p, q, some, miss))
         if t in FRESH:
             if t:
                 shares.learn(at_k + out[since:t, :n])
@@ -319,84 +348,89 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, kinds: np.ndarray) -> n
             slots = shares.slots
         for step in range(t, end):
             # Of 16 bits the lowest twelve are those of the number that PAIRS is a divisor for.
-            np.multiply(out[step - 2, :n] if step > 1 else none, 2053, out=key)
+            np.multiply(out[step - 2, :n] if step > 1 else none, U16[2053], out=key)
             key += out[step - 1, :n] if step else none
-            key &= PAIRS - 1
-            np.add(at_pairs, key, out=followed_at[1])
+            key &= U16[PAIRS - 1]
+            wide[:] = key
+            np.add(at_pairs, wide, out=followed_at[1])
             followed.take(followed_at, out=e, mode="clip")
-            np.right_shift(e, 3, out=guess)
-            np.bitwise_and(e, 7, out=trust)
+            np.right_shift(e, U16[3], out=guess)
+            np.bitwise_and(e, U16[7], out=trust)
             # The guess of order 2, or where that is 0 the one of order 1; masks here and below, as numpy is slow where it has to choose.
-            np.minimum(guess[1], 1, out=key)
-            key -= 1
-            key &= guess[0]
-            key |= guess[1]
-            np.add(at_k, key, out=at_key)
-            np.minimum(np.bitwise_xor(guess[0], key, out=other), 1, out=other)
-            trust[0] <<= 1
-            trust[0] |= 1
-            trust[0] -= other
-            np.add(sure_of, trust, out=sure_at)
+            np.minimum(guess_2, one, out=key)
+            key -= U16[1]
+            key &= guess_1
+            key |= guess_2
+            at_key[:] = key
+            at_key += at_k
+            # Twice the confidence of order 1, and 1 more, which is in sure_of, unless its guess is another.
+            np.bitwise_xor(guess_1, key, out=other)
+            trust_1 += trust_1
+            trust_1 -= np.minimum(other, one, out=other)
+            sure_at[:] = trust.view(np.int16)
+            sure_at += sure_of
             s[2] = level.take(at_key, out=levels, mode="clip")
             mixer.mix(sure_at, s, held)
             # Without a guess no share is held, and what is left is the least one, so that q stays below 65,536 and products in 32 bits.
             some[:] = key
-            some <<= 16
+            some <<= I32[16]
             np.minimum(held, some, out=held)
-            np.maximum(held, 16, out=p)
-            np.subtract(65536, p, out=q)
-            scale = q.view(np.uint32)
+            np.maximum(held, least, out=p)
+            np.subtract(I32[65536], p, out=q)
             x = coder.target()
             np.subtract(x, held, out=hit)
-            hit >>= 31  # all bits of a hit, else none
+            hit >>= I32[31]  # all bits of a hit, else none
             np.invert(hit, out=miss)
             x -= p
             x &= miss
             # The place whose range has the last y with (y * q >> 16) <= x is that of the 16th y is in or the next; lanes with a hit find the first place.
-            np.left_shift(x, 16, out=some)
-            some |= 65535
-            np.left_shift(scale, 4, out=size)
-            np.add(at_slots, np.floor_divide(some.view(np.uint32), size, out=size), out=i)
-            np.add(above, slots.take(i, out=slot, mode="clip"), out=i)
+            # The 16th is (65536 x + 65535) / 16 q, rounded down: never nearer than 2 ** -21 to the next whole number, and 2 ** 16 at most.
+            y[:] = x
+            y *= REAL[4096]
+            y += REAL[65535 / 16]
+            scale[:] = q
+            y /= scale
+            i[:] = y
+            i += at_slots
+            i[:] = slots.take(i, out=slot, mode="clip")
+            i += above
             cum.take(i, out=opens, mode="clip")
-            opens *= scale
-            opens >>= 16
+            opens *= q_bits
+            opens >>= U32[16]
             np.subtract(x, opens.view(np.int32), out=some)
-            some >>= 31
-            i += some
-            cum.take(i, out=opens, mode="clip")
-            cum[1:].take(i, out=closes, mode="clip")
-            opens *= scale
-            opens >>= 16
-            closes *= scale
-            closes >>= 16
+            some >>= I32[31]
+            wide[:] = some
+            np.add(i, wide, out=found)
+            np.add(found, I64[1], out=both_at[1])
+            cum.take(both_at, out=both, mode="clip")
+            both *= q_bits
+            both >>= U32[16]
             closes -= opens
-            opens += p.view(np.uint32)
-            opens &= miss.view(np.uint32)
-            closes &= miss.view(np.uint32)
+            opens += p_bits
+            opens &= miss_bits
+            closes &= miss_bits
             np.bitwise_and(p, hit, out=some)
-            closes |= some.view(np.uint32)
+            closes |= some_bits
             coder.take(opens, closes)
-            at_key -= 1
-            at_key -= i
-            of_hits[:] = hit
-            at_key &= of_hits
-            i += at_key
-            said = np.subtract(i, at_k, out=out[step, :n], casting="unsafe")
+            at_key -= I64[1]
+            at_key -= found
+            wide[:] = hit
+            at_key &= wide
+            found += at_key
+            said = out[step, :n]
+            said[:] = np.subtract(found, at_k, out=wide)
             # What was coded teaches every order.
-            mixer.learn(sure_at, s, np.bitwise_and(hit, 65535, out=top), p)
+            mixer.learn(sure_at, s, np.bitwise_and(hit, I32[65535], out=top), p)
             # The place plus 1, times 8, plus 1; where it was guessed, one more than the confidence was, up to 7.
-            np.add(said, 1, out=key)
-            key <<= 3
-            np.minimum(np.bitwise_xor(e, key, out=new), 8, out=new)
-            np.right_shift(new, 3, out=guess)
-            guess -= 1
-            np.minimum(new, 6, out=new)
-            new &= guess
-            key += 1
+            np.left_shift(said, U16[3], out=key)
+            key += U16[8]
+            np.minimum(np.bitwise_xor(e, key, out=new), eight, out=new)
+            new &= U16[7]
+            np.minimum(new, six, out=new)
+            key += U16[1]
             new += key
             followed[flat_at] = flat_new
-            followed_at[0] = i
+            followed_at[0] = found
         mixer.close()
     return out
 
@@ -408,10 +442,17 @@ def coded(places: np.ndarray | None, lengths: np.ndarray, kinds: np.ndarray, wor
 
 def places_in(block: np.ndarray, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids of a block, rising, and the place of each of its ids among them. scratch: room for a number for each id; ids beyond it are searched for."""
-    ids = np.sort(block.astype(np.uint16) if len(scratch) <= 1 << 16 else block, kind="stable")  # a radix sort where ids have 16 bits
-    distinct = ids[np.append(True, ids[1:] != ids[:-1])].astype(np.int64)
-    if distinct[-1] >= len(scratch):
-        return distinct, np.searchsorted(distinct, block)
+    if len(scratch) <= 1 << 16 and block.max() < len(scratch):
+        seen = np.zeros(-(-len(scratch) // 8) * 8, bool)
+        seen[block] = True
+        some = np.flatnonzero(seen.view(np.uint64))  # few of the eights have one
+        at = np.flatnonzero(seen.reshape(-1, 8)[some])
+        distinct = (some[at >> 3] << 3) + (at & 7)
+    else:
+        ids = np.sort(block, kind="stable")
+        distinct = ids[np.append(True, ids[1:] != ids[:-1])].astype(np.int64)
+        if distinct[-1] >= len(scratch):
+            return distinct, np.searchsorted(distinct, block)
     scratch[distinct] = np.arange(len(distinct))
     return distinct, scratch[block]
 

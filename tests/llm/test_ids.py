@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from plumaria.llm import idfile
+from plumaria.llm import bpe, idfile
 
 
 def test_round_trip_and_damage():
@@ -76,3 +76,61 @@ def test_segments_are_filled_whatever_the_shuffle_partitions(spark):
     assert [d for _, d, _ in got] == list(range(3000)) and [s for s, _, _ in got] == np.cumsum([0, *(n for _, _, n in got)])[:-1].tolist()
     sizes = [r.n_ids for r in spark.read.parquet(folder).select("n_ids").collect()]
     assert max(sizes) <= 9000 and len(sizes) < 1.6 * sum(sizes) / 9000 + spark.sparkContext.defaultParallelism
+
+
+def test_narrowing_equals_whole_numbers():
+    """Lanes that shift, and the border that a range is cut at, against Python's integers."""
+    rng = np.random.default_rng(7)
+    n = 3000
+    low = rng.integers(0, 1 << 62, n).astype(np.uint64) * np.uint64(4) + np.uint64(3)
+    low[::3] |= np.uint64(0xFFFFFF00)  # near a border
+    span, size = rng.integers(1 << 16, 1 << 20, n).astype(np.uint64), rng.integers(16, 65537, n).astype(np.uint64)
+    coder = idfile.Coder(n)
+    coder.low[:], coder.range[:] = low, span
+    coder.only(n)
+    at, was = coder.narrow(size)
+    want, cut = [], 0
+    for i, (a, b) in enumerate(zip(low.tolist(), (span * size).tolist(), strict=True)):
+        if b < 1 << 32:
+            if a >> 32 != a + b >> 32:
+                b, cut = -a % (1 << 32), cut + 1
+            want.append((i, a))
+            a, b = a << 32 & (1 << 64) - 1, b << 32
+        assert (int(coder.low[i]), int(coder.range[i])) == (a, b)
+    assert list(zip(at.tolist(), was.tolist(), strict=True)) == want and 0 < cut < len(want) < n
+
+
+def test_places_and_ranges_of_few_and_of_many_kinds():
+    rng = np.random.default_rng(8)
+    for most, room in ((3, 4), (50_000, 50_001), (200_000, 200_001), (3_000_000, 1 << 20)):
+        block = rng.integers(0, most + 1, 4096)
+        block[0] = most
+        distinct, at = idfile.places_in(block, np.empty(room, np.int32))
+        assert (distinct == np.unique(block)).all() and (distinct[at] == block).all()
+    for ids in (np.full(9000, 7), np.arange(9000), np.array([0]), np.arange(5000) % 2):
+        assert (idfile.unpack(idfile.pack([1], np.array([len(ids)]), ids.astype(np.int64)))[2] == ids).all()
+    # Sums of products stay below 2 ** 31, so that shares are had in 32 bits: one kind, as often as can be.
+    shares = idfile.Shares(np.array([4096]), np.array([1]), False)
+    shares.learn(np.zeros(4032, np.int64))
+    shares.renew(4032)
+    assert shares.counts.dtype == np.int32 and shares.cum.tolist() == [0, 65536]
+
+
+def test_texts_known_to_be_valid_are_lowered_alike():
+    pytest.importorskip("tokenizers")
+    coder = idfile.loaded(idfile.default_path(), decoded=False)
+    texts = ["Plain TEXT", "", "Éclair ÀÉ straße", "naïve café", "ΟΔΟΣ", "日本 text", "é joined", "odd   space", "a�b", "<|endoftext|> É", "\0 É"]
+    texts = [t.encode() for t in texts]
+    assert bpe.utf8_all(texts) and [coder.lowered(t, True) for t in texts] == [coder.lowered(t) for t in texts]
+    assert coder.lowered(texts[2], True) == "éclair àé straße".encode()
+    for broken in ([b"\xff"], [b"\xed\xa0\x80"], [b"fine", b"\xc3", b"\xa9"], [b"\xc3a\xa9"]):
+        assert not bpe.utf8_all(broken)
+
+
+def test_pieces_that_the_pattern_cut_before_keep_their_numbers():
+    pytest.importorskip("tokenizers")
+    coder = bpe.Bpe(idfile.default_path())
+    for texts in (["  zyxqv wvu", "plain zyxqv"], ["zyxqv wvu newer", "  newer zyxqv"], ["wvu newer zyxqv newest"]):
+        ids, starts, *_ = coder.encode([t.encode() for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(coder.words.values()) == list(range(len(coder.words))) and len(coder.lengths) == len(coder.words)
